@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, quality, simhash
-from .common import table
+from . import chat, exact_dedup, language, packing, quality, simhash, token_files
+from .common import scratch, table
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +70,20 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), folder, BYTE_BPE)
+    return token_files.read_ids(spark, folder, digest=True)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op5_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op5_exact_dedup, op6_packing, op8_token_files, op10_simhash_near_dedup)}
 SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL}
