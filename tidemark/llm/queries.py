@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, packing, quality, simhash, token_files
+from . import bpe, chat, exact_dedup, language, packing, quality, simhash, token_files
 from .common import scratch, table
 
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -58,6 +59,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), MULTI_BPE)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -85,5 +90,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op5_exact_dedup, op6_packing, op8_token_files, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op8_token_files, op10_simhash_near_dedup)}
 SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL}
