@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, packing, quality, simhash, token_files
+from . import bpe, chat, exact_dedup, language, packing, quality, simhash, token_files, warc
 from .common import scratch, table
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -79,6 +79,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM r
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-ids")
     token_files.write_ids(table(spark, sf_dir, "documents"), folder, BYTE_BPE)
@@ -90,5 +107,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op8_token_files, op10_simhash_near_dedup)}
-SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op7_warc, op8_token_files, op10_simhash_near_dedup)}
+SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
