@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, packing, quality, simhash, token_files, warc
+from . import bpe, chat, exact_dedup, html, language, packing, quality, simhash, token_files, warc
 from .common import scratch, table
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -102,10 +102,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, digest=True)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op7_warc, op8_token_files, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op7_warc, op8_token_files, op9_html_extraction, op10_simhash_near_dedup)}
 SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
