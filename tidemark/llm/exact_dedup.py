@@ -54,7 +54,8 @@ def first_seen(landing: DataFrame, path: str, files_per_batch: int | None = None
     def keep_batch(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with setting(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    store = "spark__sql__streaming__stateStore__"
+    with setting(spark, **{f"{store}providerClass": ROCKSDB, f"{store}rocksdb__allowFAllocate": "false"}):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", scratch(spark, "dedup-progress"))
