@@ -103,7 +103,7 @@ def exact_dedup(
     hits = written(state.where("n > 1").select("digest"), "dedup-hits")
     variants = written(
         rows.select(digest(text).alias("digest"), text.alias("full"), F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"))
-        .join(hits, "digest", "left_semi")
+        .join(hits.hint("merge"), "digest", "left_semi")
         .groupBy("full")
         .agg(F.first("digest").alias("digest"), F.min("row").alias("keep"), F.count(F.lit(1)).alias("n"))
         .select("digest", "keep", "n", F.sha2("full", 512).alias("variant")),
