@@ -1,6 +1,6 @@
 """SimHash near-dedup over a segment-popcount embedding.
 
-A fingerprint of 64 bits maps to 16 counts, the set bits of each segment of four. The Manhattan
+A fingerprint of 64 bits maps to 32 counts, the set bits of each segment of two. The Manhattan
 distance of two such vectors is at most the Hamming distance of their fingerprints, so fingerprints
 within two bits lie within distance two on the grid of counts, and then share a grid cell that is at
 most one step from either. A range join on cells finds the fingerprints that have another one so near
@@ -57,27 +57,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def popcounts(fp: Column) -> Column:
-    """The 16 segment counts of a fingerprint, a hexadecimal digit (0 to 4) each."""
-    odd, two = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
-    right = F.shiftrightunsigned(fp, 1)
-    pairs = fp.bitwiseXOR(right).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(right).bitwiseAND(odd), 1))
-    return pairs.bitwiseAND(two) + F.shiftrightunsigned(pairs, 2).bitwiseAND(two)
+    """The 32 segment counts of a fingerprint, two bits (0 to 2) each."""
+    odd, right = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
+    one, both = fp.bitwiseXOR(right).bitwiseAND(odd), fp.bitwiseAND(right).bitwiseAND(odd)
+    return one.bitwiseOR(F.shiftleft(both, 1))
 
 
 def cells(counts: Column) -> Column:
-    """The grid cells at most one step from a vector of counts."""
-    steps = [F.shiftleft(F.lit(1).cast("long"), 4 * i) for i in range(16)]
-    digit = [F.shiftright(counts, 4 * i).bitwiseAND(F.lit(15)) for i in range(16)]
-    up = [F.when(d < 4, counts + s) for d, s in zip(digit, steps)]
-    down = [F.when(d > 0, counts - s) for d, s in zip(digit, steps)]
-    return F.array_compact(F.array(counts, *up, *down))
+    """The grid cells at most one step from a vector of counts: 0 and 1 differ by binary 01, 1 and 2 by 11."""
+    near = [counts]
+    for i in range(0, 64, 2):
+        digit = F.shiftrightunsigned(counts, i).bitwiseAND(F.lit(3))
+        near.append(F.when(digit != 2, counts.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i))))
+        near.append(F.when(digit != 0, counts.bitwiseXOR(F.shiftleft(F.lit(3).cast("long"), i))))
+    return F.array_compact(F.array(*near))
 
 
 def near_on_grid(distinct: DataFrame) -> DataFrame:
     """The fingerprints that have another one within Manhattan distance two on the grid of counts."""
     probes = distinct.select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
     shared = probes.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    return probes.join(shared, "cell", "left_semi").select("fp").distinct()
+    return probes.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct()
 
 
 def links(candidates: DataFrame) -> DataFrame:
