@@ -139,4 +139,4 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with docs' columns."""
     rows, at = located(docs)
     dropped = exact_dedup(docs, **options).where(~F.col("kept")).select(F.col("at").alias(at))
-    return rows.join(dropped, at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

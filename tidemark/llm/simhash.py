@@ -153,4 +153,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     groups = simhash_groups(docs, id_col, text_col, words)
     gone, again = fresh_name(docs, "gone"), groups.where((F.col(id_col) != F.col("component_id")))
     dropped = again.select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    return docs.join(dropped.hint("merge"), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
