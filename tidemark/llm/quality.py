@@ -15,12 +15,12 @@ from xxhash import xxh64_intdigest
 
 from . import linear
 
-DIM = 8192
+DIM = 4096
 ORDERS = (2, 3)
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Labelled rows of each class that training reads, about.
-ROWS_PER_CLASS = 2000
+ROWS_PER_CLASS = 1000
 #: Probability of good quality from which a text is kept.
 KEEP_FROM = 0.5
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
