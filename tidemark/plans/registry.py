@@ -1,4 +1,4 @@
 """All registered queries of the library's own operators, by name, with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import onboarding, relational  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
