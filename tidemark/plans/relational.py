@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.matching import contained_in
+from ..operators.ranges import place
 from .base import EDGES, Tables, amount, mean_sql, query, total_sql
 
 YEAR = "year(o_orderdate)"
@@ -266,12 +268,6 @@ def f2_order_by_several(t: Tables) -> DataFrame:
     return place(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice"), [F.desc("o_orderdate"), F.desc("o_totalprice"), F.asc("o_orderkey")])
 
 
-def place(df: DataFrame, order: list) -> DataFrame:
-    """df with each row's place in a total order, without a single-partition sort of the rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    return spread.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn("place", F.col("_i") + F.col("_b") + 1).drop("_p", "_i", "_b")
 
 
 @query("SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 100)")
@@ -338,8 +334,6 @@ def h2_merge_source(t: Tables) -> DataFrame:
 EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""")
 def h3_overlap(t: Tables) -> DataFrame:
     """Whole-text matches by hash join; containment by runs of eight words that the item shares with a document, then checked."""
-    from ..operators.matching import contained_in
-
     whole = R.overlap(t.benchmark, "text", t.documents, "text").select("item_id", "in_corpus")
     inside = contained_in(t.benchmark, "item_id", "text", t.documents, "text")
     return whole.join(inside, "item_id")
