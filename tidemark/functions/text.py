@@ -63,13 +63,15 @@ def keyword_hints(text: Column, legacy: bool = False) -> Column:
     body = F.lower(text) if legacy else F.concat(F.lit(" "), F.regexp_replace(F.lower(text), NOT_WORD, " "), F.lit(" "))
     none = F.array().cast("array<struct<begin:int,end:int,keyword:string>>")
 
-    def take(spans: Column, p: Column) -> Column:
-        at = F.locate(p["phrase"], body)
+    def take(spans: Column, p: Column, text: Column) -> Column:
+        at = F.position(p["phrase"], text)
         end = at + p["n"]
         clash = F.exists(spans, lambda s: (at < s["end"]) & (end > s["begin"]) & (s["keyword"] != p["keyword"]))
         return F.when((at > 0) & ~clash, F.concat(spans, F.array(F.struct(at.alias("begin"), end.alias("end"), p["keyword"].alias("keyword"))))).otherwise(spans)
 
-    return F.array_sort(F.array_distinct(F.transform(F.aggregate(table, none, take), lambda s: s["keyword"])))
+    # the text is prepared once and handed to the fold
+    spans = F.element_at(F.transform(F.array(body), lambda text: F.aggregate(table, none, lambda s, p: take(s, p, text))), 1)
+    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["keyword"])))
 
 
 def numbers(text: Column) -> Column:
@@ -118,7 +120,7 @@ def question_intent(text: Column) -> Column:
     """The intent of a question by its words, when no model answers."""
     low, out = F.lower(text), None
     for intent, parts in W.QUESTION_INTENTS:
-        out = (out or F).when(has_any(low, parts), intent)
+        out = (F if out is None else out).when(has_any(low, parts), intent)
     return out.otherwise("SELECT")
 
 
@@ -150,5 +152,5 @@ def follow_up(text: Column, first: Column) -> Column:
 def error_kind(message: Column) -> Column:
     low, out = F.lower(message), None
     for part, kind in W.ERRORS:
-        out = (out or F).when(low.contains(part), kind)
+        out = (F if out is None else out).when(low.contains(part), kind)
     return out.otherwise("unknown")

@@ -52,7 +52,7 @@ def choose(draw: Column, weights: dict[str, int]) -> Column:
     out, upto = None, 0
     for name, w in weights.items():
         upto += w
-        out = (out or F).when(draw < upto, name)
+        out = (F if out is None else out).when(draw < upto, name)
     return out
 
 
@@ -70,7 +70,7 @@ def synthesise(rows: DataFrame, key: Column, templates: Sequence[tuple[str, str,
         pick = bucket(F.lit(seed), key, F.lit("template"), of=len(found))
         for n, (_, q, s) in enumerate(found):
             here = (F.col("intent") == i) & (pick == n)
-            question, query = (question or F).when(here, q), (query or F).when(here, s)
+            question, query = (F if question is None else question).when(here, q), (F if query is None else query).when(here, s)
     fill = lambda c: reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1].cast("string")), slots.items(), F.col(c))
     drawn = rows.withColumn("intent", intent).withColumn("question", question).withColumn("query", query)
     return drawn.select(key.alias("key"), "intent", fill("question").alias("question"), fill("query").alias("query"))

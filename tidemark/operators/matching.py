@@ -37,9 +37,14 @@ def partial_ratio(a: str, b: str) -> int:
     return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)) if a else 100
 
 
-@F.pandas_udf("int")
-def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([max(ratio(x, y), int(partial_ratio(x, y) * 0.9)) for x, y in zip(a, b)], dtype="int32")
+def fuzzy_score(a: Column, b: Column) -> Column:
+    """The larger of the ratio and nine tenths of the partial ratio, in Arrow batches."""
+
+    @F.pandas_udf("int")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([max(ratio(i, j), int(partial_ratio(i, j) * 0.9)) for i, j in zip(x, y)], dtype="int32")
+
+    return of(a, b)
 
 
 def edit_score(a: Column, b: Column) -> Column:
@@ -107,8 +112,8 @@ def lexicon_correct(rows: DataFrame, key: str, text: str, lexicon: Sequence[str]
 def terms(text: Column, stop: Sequence[str] = ()) -> Column:
     """One- and two-grams of the lower-case words of two characters or more that aren't stop words."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*(stop or [""])))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
-    return F.concat(words, F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>")))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def tfidf(items: DataFrame, key: str, text: str, idf: DataFrame | None = None, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
