@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Generations, in_groups
+from .pieces import PieceTable, by_text, code_points, in_groups
 
 #: Classes: letter, number, lone space before something, other white space before something, white space
 #: before white space or the end, anything else, apostrophe before one or two letters of a contraction.
@@ -32,7 +32,6 @@ BREAK, IN_L, IN_N, IN_LEAD, IN_W, IN_O, TO_1, TO_2 = range(8)
 #: White space as the pattern's \s has it.
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 BLOCK = 128
-CACHE = 400_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +129,10 @@ class Ranks:
             self.tokens[rank] = token
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.dtype = np.dtype("<u4" if len(self.tokens) > 65536 else "<u2")
-        self.cache = Generations(CACHE)
+        self.table = PieceTable(self._learn, self.dtype)
+
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(self.merge(p.encode("utf-8", "surrogatepass")), self.dtype) for p in pieces]
 
     def merge(self, piece: bytes) -> list[int]:
         """The pair of neighbours with the lowest rank (leftmost first) is merged until none has a rank."""
@@ -184,29 +186,13 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
-        filled = np.flatnonzero(sizes)
-        if not len(filled):
-            return out
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = (np.cumsum(sizes) - sizes)[filled]
+        text, points, bounds = code_points(texts)
+        if not len(points):
+            return [np.zeros(0, self.dtype)] * len(texts)
+        first = bounds[:-1][np.diff(bounds) > 0]
         starts = np.flatnonzero(begins(classes(points, first)))
-        width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
-        place = np.cumsum(width, dtype=np.int64) - width
-        own = np.searchsorted(starts, first)  # each text's first piece
-        at = place[starts].tolist()
-        joined = b"".join(data)
-        pieces = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])]
-        table = {p: self.cache.get(p) for p in set(pieces)}
-        for p, found in table.items():
-            if found is None:
-                table[p] = self.cache.put(p, np.array(self.merge(p), self.dtype).tobytes())
-        coded = list(map(table.__getitem__, pieces))
-        for i, a, b in zip(filled.tolist(), own.tolist(), [*own[1:].tolist(), len(pieces)]):
-            out[i] = np.frombuffer(b"".join(coded[a:b]), self.dtype)
-        return out
+        ids, sizes = self.table.ids(text, points, starts)
+        return by_text(ids, sizes, starts, bounds)
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token's bytes begin in the text, and the text's length in bytes."""

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, in_groups
+from .pieces import in_groups
+from .tokens import encoder
 
 CAPACITY = 1024
 END = 0

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from . import rans
 from .common import scratch, written
 from .files import listed, new_file, opened, stored_file
-from .tokens import encoder, in_groups
+from .pieces import in_groups
+from .tokens import encoder
 
 MAGIC = b"IDSRANS1"
 HEAD = struct.Struct("<7I")

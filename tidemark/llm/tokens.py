@@ -1,140 +1,105 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of space-led pieces.
+"""Token ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
-The byte-level pre-tokenizer always starts a new piece at a space that stands alone between two
-characters that aren't white space, and nothing before that space changes what follows. So a text is cut
-there, and each distinct piece is encoded once while it stays in the cache.
+The byte-level pre-tokenizer always begins a new piece at a space that stands alone between two
+characters that aren't white space, and nothing before that space changes what follows. So texts are cut
+there, and cuts go through a table. A cut that is nothing but letters, perhaps with marks at its end, is
+also known to be one piece of letters and one of marks; the library's model then encodes the letters
+without pre-tokenising them again.
 """
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-#: Cuts in each of the two generations of the cache.
-CACHE = 400_000
+from .pieces import PieceTable, by_text, code_points
 
+MARKS = ".,;:!?%$#&*|"
+GROUP = 2000
 
-class Generations:
-    """A dict of bounded size: what hasn't been asked for while one generation filled up is forgotten."""
 
-    def __init__(self, size: int = CACHE):
-        self.size, self.new, self.old = size, {}, {}
-
-    def put(self, key, value):
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-        return value
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-
-def open_ended(piece: str) -> bool:
-    """Whether a piece between two spaces is empty or has white space at an end: no cut beside it then."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
-
-
-def joined(parts: list[str]) -> list[str]:
-    """The pieces of a text between its spaces, put together again where a cut isn't safe.
-
-    The space before a piece is left out: every piece but the first has one before it.
-    """
-    out, shut = [], False
-    for i, p in enumerate(parts):
-        if i and (shut or not p or p[0].isspace()):
-            out[-1] += " " + p
-        else:
-            out.append(p)
-        shut = not p or p[-1].isspace()
-    return out
+@lru_cache(maxsize=1)
+def white() -> np.ndarray:
+    """Whether each code point is white space, for Python or for the pattern of the pre-tokenizer."""
+    table = np.zeros(0x110000, bool)
+    table[[c for c in range(0x3001) if chr(c).isspace()]] = True
+    return table
 
 
 class Encoder:
-    """Ids of a tokenizer file of the tokenizers library, without special tokens."""
+    """Ids of a byte-level BPE file of the tokenizers library, without special tokens."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced, self.first = Generations(), Generations(CACHE // 10)
         self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 65536 else "<u2")
-        self.newline = self._ids(["\n"])[0]
+        # The file's model alone, for letters that are set in the byte-level alphabet already.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = set(pre_tokenizers.ByteLevel.alphabet())  # printable bytes stand for themselves, the others follow in order
+        others = iter(sorted(letters - {chr(b) for b in range(256)}))
+        self.alphabet = {b: chr(b) if chr(b) in letters else next(others) for b in range(256)}
+        self.space, line_feed = self.alphabet[32], self.alphabet[10]
+        feed = self._ids(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.alphabet[10] = f" {line_feed} "
+        self.table = PieceTable(self._learn, self.dtype)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Packed ids of pieces that follow a space.
-
-        Pieces without white space are encoded as lines of one text: a line feed before a space is a
-        piece of its own, so its id marks where each ends.
-        """
-        found: dict[str, bytes] = {}
-        lines = [p for p in pieces if len(p.split()) == 1 and len(p) < 200] if len(self.newline) == 1 else []
-        groups = [lines[i : i + 2000] for i in range(0, len(lines), 2000)]
-        for group, ids in zip(groups, self._ids(["\n".join(" " + p for p in g) for g in groups])):
-            packed = np.array(ids, self.dtype)
-            ends = [*np.flatnonzero(packed == self.newline[0]).tolist(), len(packed)]
-            if len(ends) != len(group):
-                continue
-            data, size, begin = packed.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(group, ends):
-                found[p] = data[begin * size : end * size]
-                begin = end + 1
-        rest = [p for p in pieces if p not in found]
-        for i in range(0, len(rest), 2000):
-            found.update(zip(rest[i : i + 2000], map(self._pack, self._ids([" " + p for p in rest[i : i + 2000]]))))
-        return found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
-        distinct = set(chain.from_iterable(split))
-        unsafe = set(filter(open_ended, distinct))
-        if unsafe:
-            split = [p if unsafe.isdisjoint(p) else joined(p) for p in split]
-            distinct = set(chain.from_iterable(split))
-        table = {p: self.spaced.get(p) for p in distinct}
-        learnt = self._learn([p for p, ids in table.items() if ids is None])
-        for p, ids in learnt.items():
-            self.spaced.put(p, ids)
-        table.update(learnt)
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters, each perhaps after a space; the id of a line feed marks where each ends."""
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        lines = ["\n".join(g).encode().decode("latin-1").translate(self.alphabet) for g in groups]
         out = []
-        for parts in split:
-            start = self.first.get(parts[0])
-            if start is None:
-                start = self.first.put(parts[0], self._pack(self._ids([parts[0]])[0]))
-            out.append(np.frombuffer(start + b"".join(map(table.__getitem__, parts[1:])), self.dtype))
+        for e in self.letters.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(ids == self.feed).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)])]
+        return out
+
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(pieces)
+        words, marked, rest = [], [], []
+        for i, p in enumerate(pieces):
+            word = p.rstrip(MARKS)
+            if self.feed is not None and word[word.startswith(" ") :].isalpha():
+                words.append(word)
+                marked.append((i, p[len(word) :]))
+            else:
+                rest.append(i)
+        marks = list({m for _, m in marked if m})
+        marks = dict(zip(marks, (np.array(x, self.dtype) for x in self._ids(marks)))) if marks else {}
+        for (i, m), ids in zip(marked, self._words(words), strict=True):
+            out[i] = np.concatenate([ids, marks[m]]) if m else ids
+        for k in range(0, len(rest), GROUP):
+            part = rest[k : k + GROUP]
+            for i, ids in zip(part, self._ids([pieces[i] for i in part])):
+                out[i] = np.array(ids, self.dtype)
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        text, points, bounds = code_points(texts)
+        if not len(points):
+            return [np.zeros(0, self.dtype)] * len(texts)
+        blank = white()[points]
+        cut = np.zeros(len(points), bool)
+        cut[1:-1] = (points[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
+        begins = bounds[:-1][np.diff(bounds) > 0]
+        cut[begins[1:] - 1] = False  # a text's last character has nothing after it
+        cut[begins] = True
+        starts = np.flatnonzero(cut)
+        ids, sizes = self.table.ids(text, points, starts)
+        return by_text(ids, sizes, starts, bounds)
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file; one thread, as Spark runs several tasks."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
-
-
-def in_groups(texts, most_chars: int = 4_000_000):
-    """Slices of texts of bounded total length (one text at least)."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most_chars:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
