@@ -122,7 +122,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
     the end id alone; very long documents make a large block; an empty table writes a table and no
     shards. Other columns aren't read.
     """
-    blocks = written(tokenised(docs, tokenizer, id_col, text_col, block), "token-blocks")
+    blocks = written(tokenised(docs, tokenizer, id_col, text_col, block), "token-blocks", compression="zstd")
     table = rans.Table.of(frequencies(blocks, tokenizer))
     with new_file(f"{folder}/table.freq") as f:
         f.write(table.freq.astype("<u4").tobytes())
@@ -193,8 +193,7 @@ def blocks_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids before it), n_tokens and ids (or, with digest, ids_crc32) of every document of a folder."""
-    blocks = blocks_of(spark, folder)
-    blocks = blocks.repartition("shard", "block")
+    blocks = blocks_of(spark, folder).repartition(max(1, len(listed(spark, folder, ".ids"))), "shard", "block")
 
     def read(frames):
         table = stored_table(folder)
