@@ -25,11 +25,13 @@ from .tokens import encoder
 CAPACITY = 1024
 END = 0
 #: What a cut costs, in tokens of padding: at a document's end, after a sentence, at a spare place.
-COST = (0, 2, 12)
+COST = (0, 2, 16)
 #: What each sequence costs besides, so that short ones aren't taken for the sake of a power of two.
 EACH = 24
 #: Spare places stand so many ids apart where no sentence ends.
-SPARE = 8
+SPARE = 32
+#: The shortest sequences that are tried for their power of two; those shorter than that cost more than padding does.
+LEAST = 128
 #: Ids that one run of the program covers, at least.
 SEGMENT = 1 << 17
 
@@ -57,31 +59,31 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY) -> lis
     """The cheapest increasing list of cuts from at[0] to at[-1] with steps of at most capacity."""
     index = np.full(int(at[-1]) + 1, -1, np.int64)
     index[at] = np.arange(len(at))
-    exact: dict[int, list[int]] = {}
-    size = 1
+    whole = []  # for each power of two, the place that begins a sequence of that length, or -1
+    size = min(LEAST, capacity)
     while size <= capacity:
         from_ = at - size
-        ok = np.flatnonzero((from_ >= 0) & (index[np.maximum(from_, 0)] >= 0))
-        for j, i in zip(ok.tolist(), index[from_[ok]].tolist()):
-            exact.setdefault(j, []).append(i)
+        whole.append(np.where(from_ >= 0, index[np.maximum(from_, 0)], -1).tolist())
         size *= 2
     places, prices = at.tolist(), cost.tolist()
     f, back = [0] * len(places), [0] * len(places)
-    queue = deque([(0, 0)])  # (g, index), g rising
-    for j in range(1, len(places)):
-        p = places[j]
-        while places[queue[0][1]] < p - capacity:
+    queue = deque([(0, 0, 0)])  # (g, index, place), g rising
+    for j, (p, price, *exact) in enumerate(zip(places, prices, *whole)):
+        if not j:
+            continue
+        while queue[0][2] < p - capacity:
             queue.popleft()
-        g, i = queue[0]
-        best = g + capacity - p
-        for k in exact.get(j, ()):
-            if f[k] < best:
+        best, i, _ = queue[0]
+        best += capacity - p
+        for k in exact:
+            if k >= 0 and f[k] < best:
                 best, i = f[k], k
-        f[j], back[j] = best + prices[j] + EACH, i
-        g = f[j] + p
-        while queue and queue[-1][0] >= g:
+        best += price + EACH
+        f[j], back[j] = best, i
+        best += p
+        while queue and queue[-1][0] >= best:
             queue.pop()
-        queue.append((g, j))
+        queue.append((best, j, p))
     cuts, j = [], len(places) - 1
     while j:
         cuts.append(places[j])
