@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import text_batches, written
 from .files import listed, new_file, stored_file
 
 SKIPPABLE = 0x184D2A5D
@@ -120,7 +120,7 @@ def referents(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.xxhash64("payload"))
     large = rows.where(F.col("size") >= REVISIT_FROM)
     groups = written(large.groupBy(*key).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-groups")
-    return rows.join(groups, key, "left").withColumn("refers_to", F.when(F.col("keep") != F.col("id"), F.col("keep"))).drop("keep", "other")
+    return rows.join(groups, key, "left").withColumn("refers_to", F.when(~F.col("keep").eqNullSafe(F.col("id")), F.col("keep"))).drop("keep", "other")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     urls are left out. Records go by input partition, in archives of about ARCHIVE_BYTES of payload; a
     very long page makes a large record. An empty table makes no archive. Other columns aren't read.
     """
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))
+    rows = text_batches(pages).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))
     dictionary = train_dictionary(rows, F.col("payload"), F.col("id"))
     today = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -164,7 +164,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if held is not None:
             held.__exit__(None, None, None)
             done.append(name)
-        yield pd.DataFrame({"archive": done})
+        if done:
+            yield pd.DataFrame({"archive": done})
 
     written(referents(rows).select("id", "url", "payload", "digest", "refers_to").mapInPandas(archives, "archive string"), "warc-archives")
 
