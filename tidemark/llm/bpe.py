@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .pieces import PieceTable, by_text, code_points, in_groups
 
 #: Classes: letter, number, lone space before something, other white space before something, white space
@@ -217,11 +218,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     @F.pandas_udf("ids array<int>, offsets array<bigint>")
     def of(text: pd.Series) -> pd.DataFrame:
         coder, texts, out = ranks(path), [t or "" for t in text], []
-        for a, b in in_groups(texts, 1_000_000):
+        for a, b in in_groups(texts):
             out += [(ids.astype(np.int32), coder.offsets(ids)) for ids in coder.encode(texts[a:b])]
         return pd.DataFrame(out, columns=["ids", "offsets"])
 
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
+    return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -240,10 +241,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def of(text: pd.Series) -> pd.DataFrame:
         coder, texts, out = ranks(path), [t or "" for t in text], []
-        for a, b in in_groups(texts, 1_000_000):
+        for a, b in in_groups(texts):
             for ids in coder.encode(texts[a:b]):
                 listed = ",".join(map(str, ids.tolist())).encode()
                 out.append((len(ids), sha256(listed).hexdigest(), sha256(coder.decode(ids)).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
+    return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")

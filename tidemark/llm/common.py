@@ -60,6 +60,18 @@ def setting(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of an Arrow batch that carries whole texts or pages: Spark's default of 10,000 may be hundreds of megabytes.
+TEXT_BATCH = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands rows to Python in small batches from now on (where none smaller are set)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_BATCH:
+        conf.set(key, str(TEXT_BATCH))
+    return df
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df has it (compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea template noscript iframe xmp noembed noframes svg math head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -352,9 +354,9 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
         for h in html:
             held.append(blocks(h or ""))
             size += len(h or "")
-            if size >= 2_000_000:
+            if size >= 1_000_000:
                 flush()
         flush()
         return pd.DataFrame(out, columns=["text", "n_chars", "n_blocks", "n_kept"])
 
-    return pages.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col), of(F.col(f"`{html_col}`")).alias("_x")).select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), "_x.*")
+    return text_batches(pages).select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col), of(F.col(f"`{html_col}`")).alias("_x")).select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), "_x.*")

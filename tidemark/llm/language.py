@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
+from .common import text_batches
 
 DIM = 4096
 ORDERS = (1, 2, 3)
@@ -62,7 +63,7 @@ def train(labelled: DataFrame, key_col: str, text_col: str, lang_col: str, rows_
 
     Each row gives its whole text and a passage of 12 words, so that short texts are known too.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+    rows = text_batches(labelled).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     picked = linear.bounded(rows, F.col("lang"), F.col("key"), rows_per_language).select("lang", "text")
 
     def vectors(batches):
@@ -73,7 +74,8 @@ def train(labelled: DataFrame, key_col: str, text_col: str, lang_col: str, rows_
                 for t in (text, " ".join(words[len(words) // 2 :][:12])):
                     if any(map(str.isalpha, t)):
                         out.append((lang, *linear.sparse(vector(t))))
-            yield pd.DataFrame(out, columns=["lang", "at", "v"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "at", "v"])
 
     found = picked.mapInPandas(vectors, "lang string, at array<int>, v array<float>").toPandas()
     languages = sorted(found["lang"].unique())
@@ -100,7 +102,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list, text_col: str = "
     def of(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score", "ambiguous"])
 
-    return docs.select(*keep, of(F.col(text_col)).alias("_p")).select(*[c for c in docs.select(*keep).columns], "_p.*")
+    return text_batches(docs).select(*keep, of(F.col(text_col)).alias("_p")).select(*[c for c in docs.select(*keep).columns], "_p.*")
 
 
 def held_out(key: Column) -> Column:
@@ -120,4 +122,4 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def known(text: pd.Series) -> pd.Series:
         return pd.Series([not shared.value.predict(t)[2] for t in text], dtype="bool")
 
-    return docs.where(known(F.col("text")))
+    return text_batches(docs).where(known(F.col("text")))

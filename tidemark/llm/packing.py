@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .pieces import in_groups
 from .tokens import encoder
 
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     packed apart, so each has one last sequence that may be short. sequence_id is unique over all.
     An empty table gives an empty result; other columns aren't read.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = text_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
     kind = dict(rows.dtypes)["id"]
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

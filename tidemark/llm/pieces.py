@@ -15,7 +15,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Pieces after which the table starts anew.
-LIMIT = 2_000_000
+LIMIT = 1_000_000
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -115,7 +115,7 @@ def by_text(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, bounds: np.n
     return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
-def in_groups(texts, most_chars: int = 2_000_000):
+def in_groups(texts, most_chars: int = 1_000_000):
     """Slices of texts of bounded total length (one text at least)."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import linear
+from .common import text_batches
 
 DIM = 4096
 ORDERS = (2, 3)
@@ -84,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).alias("y"))
     picked = linear.bounded(marks, F.col("y"), F.col("key"), rows_per_class)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    texts = text_batches(docs).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "key")  # two classes of about rows_per_class rows
 
     def vectors(batches):
@@ -95,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 words = data.split()
                 if len(words) >= MIN_WORDS:  # shorter texts never reach the model
                     out.append((crc32(str(key).encode()) % 5 == 0, int(y), *linear.sparse(vector(data, words))))
-            yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
+            if out:
+                yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
 
     found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toPandas()
     if found["y"].nunique() < 2:
@@ -134,7 +136,7 @@ def assess(docs: DataFrame, model: QualityModel | None, keep: list[str], text_co
         names = [c.split()[0] for c in f"{BASE}, probability double, kept boolean".split(", ")]
         return pd.DataFrame(out, columns=names).astype({"probability": "float64"})
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], of(F.col(f"`{text_col}`")).alias("_q")).select(*[F.col(f"`{c}`") for c in keep], "_q.*")
+    return text_batches(docs).select(*[F.col(f"`{c}`") for c in keep], of(F.col(f"`{text_col}`")).alias("_q")).select(*[F.col(f"`{c}`") for c in keep], "_q.*")
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
@@ -152,4 +154,4 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
 
         return pd.Series([one(t) for t in text], dtype="bool")
 
-    return docs.where(good(F.col(f"`{text_col}`")))
+    return text_batches(docs).where(good(F.col(f"`{text_col}`")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fresh_name, written
+from .common import fresh_name, text_batches, written
 
 SEED = 42
 CHUNK = 1 << 15
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, words) for t in text], dtype="int64")
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), of(F.col(f"`{text_col}`")).alias("fp"))
+    return text_batches(docs).select(F.col(f"`{id_col}`").alias("id"), of(F.col(f"`{text_col}`")).alias("fp"))
 
 
 def popcounts(fp: Column) -> Column:

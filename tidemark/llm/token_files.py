@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import scratch, written
+from .common import text_batches, written
 from .files import listed, new_file, opened, stored_file
 from .pieces import in_groups
 from .tokens import encoder
@@ -62,7 +62,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     A block closes with the document that fills it. Null text: the end id alone.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = text_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def blocks(batches):
