@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, PLACE = "<|turn:", "<|end|>\n", "<|part:"
 #: Strings that other templates use as controls; each is escaped in texts by a backslash after its first character.
-CONTROLS = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+CONTROLS = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Tokens that an attachment expands to: so many for one, and so many for each unit (image tile, second of audio, page).
 EXPANSION = {"image": (85, 170), "audio": (0, 25), "document": (0, 400)}
 PART = "struct<type:string,text:string,ref:string,units:bigint>"

@@ -87,8 +87,11 @@ def exact_dedup(
     decision back; other columns of docs, whatever their names, are not touched. An empty table gives
     an empty result. Two texts with one digest are told apart by their bytes.
     """
-    spark = docs.sparkSession
-    rows, at = located(docs)
+    return _decided(*located(docs), id_col, text_col, digest, files_per_batch)
+
+
+def _decided(rows: DataFrame, at: str, id_col: str, text_col: str, digest: Callable[[Column], Column], files_per_batch: int | None) -> DataFrame:
+    spark = rows.sparkSession
     text = normalised(F.col(f"`{text_col}`"))
     narrow = rows.select(
         F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"),
@@ -135,8 +138,8 @@ def _decision(id_col: str) -> list[Column]:
     ]
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with docs' columns."""
     rows, at = located(docs)
-    dropped = exact_dedup(docs, **options).where(~F.col("kept")).select(F.col("at").alias(at))
+    dropped = _decided(rows, at, id_col, text_col, sha256, files_per_batch).where(~F.col("kept")).select(F.col("at").alias(at))
     return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
