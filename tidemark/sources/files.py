@@ -44,7 +44,7 @@ def ingest_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
         return spark.read.option("header", header).option("inferSchema", True).option("encoding", charset).option("multiLine", False).csv(path)
 
     raw = spark.read.text(path)
-    if encoding == "UTF-8" and raw.where(F.col("value").contains("�")).limit(1).count():
+    if encoding == "UTF-8" and raw.where(~F.is_valid_utf8("value")).limit(1).count():
         encoding = "ISO-8859-1"
     df = read(True, encoding)
     if df.columns and all(_number(c) for c in spark.read.option("header", False).csv(path).first() or ["x"]):
