@@ -70,9 +70,9 @@ def boosted(score: Column, a: Column, b: Column) -> Column:
 def did_you_mean(typed: DataFrame, values: DataFrame, score=fuzzy_score, least: int = 50, top: int = 3) -> DataFrame:
     """typed, value, score, rank: up to `top` values for each typed one that is no value itself (without case).
 
-    Both frames have one column. Pairs are made of distinct typed values and distinct values; the values
-    are broadcast while they are few, and beyond that paired by shared runs of two letters, which a
-    score from the letters needs but for very unlike lengths.
+    Both frames have one column. Pairs are made of distinct typed values and distinct values. Up to
+    BROADCAST_ROWS / 10 values are broadcast and scored one and all; of larger dictionaries only the values
+    that share a run of two letters with what was typed are scored.
     """
     t = typed.select(F.col(typed.columns[0]).alias("typed")).where("typed is not null").distinct().withColumn("a", F.lower("typed"))
     v = values.select(F.col(values.columns[0]).alias("value")).where("value is not null").distinct().withColumn("b", F.lower("value"))

@@ -25,17 +25,19 @@ def l1_did_you_mean(t: Tables) -> DataFrame:
     return M.did_you_mean(typed(t), t.part.select("p_name"))
 
 
-@query("WITH v AS (SELECT DISTINCT p_name AS value FROM part) SELECT x.value AS a, y.value AS b, CAST(floor(jaccard(x.value, y.value) * 100 + 1e-9) AS INT) AS overlap FROM v x, v y")
+def suggestions_sql(score: str) -> str:
+    return f"""WITH t AS (SELECT DISTINCT {TYPED} AS typed FROM part), v AS (SELECT DISTINCT p_name AS value FROM part),
+p AS (SELECT typed, value, lower(typed) AS a, lower(value) AS b FROM t, v WHERE lower(typed) NOT IN (SELECT lower(value) FROM v)),
+s AS (SELECT typed, value, {score} AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY score DESC, value) AS rank FROM s WHERE score >= 50)
+SELECT * FROM r WHERE rank <= 3"""
+
+
+@query(suggestions_sql(BOOST.replace(EDIT, "CAST(floor(jaccard(a, b) * 100 + 1e-9) AS INT)")))
 def l2_char_overlap(t: Tables) -> DataFrame:
-    v = t.part.select("p_name").distinct()  # the distinct names, few
-    a, b = v.withColumnRenamed("p_name", "a"), v.withColumnRenamed("p_name", "b")
-    return a.join(F.broadcast(b)).select("a", "b", M.char_overlap(F.col("a"), F.col("b")).alias("overlap"))
+    return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.char_overlap)
 
 
-@query(f"""WITH t AS (SELECT DISTINCT {TYPED} AS typed FROM part), v AS (SELECT DISTINCT p_name AS value FROM part),
-p AS (SELECT typed, value, lower(typed) AS a, lower(value) AS b FROM t, v WHERE lower(typed) NOT IN (SELECT lower(value) FROM v)),
-s AS (SELECT typed, value, {BOOST} AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY score DESC, value) AS rank FROM s WHERE score >= 50)
-SELECT * FROM r WHERE rank <= 3""")
+@query(suggestions_sql(BOOST))
 def l3_did_you_mean_by_edits(t: Tables) -> DataFrame:
     return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.edit_score)
 
