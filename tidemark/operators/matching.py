@@ -90,8 +90,6 @@ def did_you_mean(typed: DataFrame, values: DataFrame, score=fuzzy_score, least:
 def apply_corrections(df: DataFrame, column: str, corrections: DataFrame) -> DataFrame:
     """df with the column's wrong values replaced; corrections has typed, value."""
     table = corrections.select(F.col("typed").alias("_typed"), F.col("value").alias("_value"))
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     return df.join(table, F.col(column) == F.col("_typed"), "left").withColumn(column, F.coalesce("_value", column)).drop("_typed", "_value")
 
 

@@ -11,8 +11,6 @@ from .ranges import place
 
 SPECIALS = ("<pad>", "<sos>", "<eos>", "<unk>")
 PAD, SOS, EOS, UNKNOWN = range(4)
-#: Vocabularies of up to so many rows are broadcast to encode; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
 
 
 def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, force: Sequence[str] = ()) -> DataFrame:
@@ -27,21 +25,19 @@ def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, fo
 
 
 def encode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "tokens", name: str = "ids") -> DataFrame:
-    """key, ids: the array of ids of each row's tokens, unknown ones as <unk>; rows without tokens get an empty array."""
-    table = vocab.select("token", "idx")
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
+    """key, ids: the array of ids of each row's tokens, unknown ones as <unk>; rows without tokens get an empty array.
+
+    Whether the vocabulary is broadcast is left to adaptive execution, which knows its size by then; a
+    frequent token's rows are split as a skewed join's are.
+    """
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "token"))
-    ids = flat.join(table, "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
+    ids = flat.join(vocab.select("token", "idx"), "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
     return ids.select(key, F.transform(F.sort_array("_a"), lambda x: x["idx"]).alias(name))
 
 
 def decode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "ids", name: str = "tokens") -> DataFrame:
-    table = vocab.select("token", "idx")
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "idx"))
-    back = flat.join(table, "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
+    back = flat.join(vocab.select("token", "idx"), "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
     return back.select(key, F.transform(F.sort_array("_a"), lambda x: x["token"]).alias(name))
 
 

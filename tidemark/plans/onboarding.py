@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import profiling as P
 from ..sources import files as S
+from ..sources.shared import scratch
 from .base import EDGES, TABLES, Tables, query
 
 
 def folder(t: Tables, label: str) -> str:
-    """A new folder where the cluster keeps shared files (a temporary one where it names none)."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return scratch(t.spark, label)
 
 
 @query("SELECT c_custkey AS c_custkey, c_name AS c_name, c_mktsegment AS market_segment, c_acctbal AS c_acctbal_2 FROM customer")
