@@ -116,7 +116,10 @@ def terms(text: Column, stop: Sequence[str] = ()) -> Column:
 
 def tfidf(items: DataFrame, key: str, text: str, idf: DataFrame | None = None, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """key, term, weight with vectors of length one, and term, idf: smooth idf of these items, or the one given."""
-    tf = items.select(key, F.explode(terms(F.col(text), stop)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    flat = items.select(key, F.explode(terms(F.col(text), stop)).alias("term"))
+    if idf is not None:
+        flat = flat.join(idf.select("term"), "term", "left_semi")  # other terms count for nothing, so they aren't shuffled
+    tf = flat.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     if idf is None:
         n = items.agg(F.count(F.lit(1)).alias("n"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
