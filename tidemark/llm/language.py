@@ -77,7 +77,7 @@ def train(labelled: DataFrame, key_col: str, text_col: str, lang_col: str, rows_
             if out:
                 yield pd.DataFrame(out, columns=["lang", "at", "v"])
 
-    found = picked.mapInPandas(vectors, "lang string, at array<int>, v array<float>").toPandas()
+    found = picked.mapInPandas(vectors, "lang string, at array<int>, v array<float>").toArrow().to_pandas()
     languages = sorted(found["lang"].unique())
     code = codewords(len(languages))
     if not languages:

@@ -99,18 +99,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if out:
                 yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
 
-    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toPandas()
+    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toArrow().to_pandas()
     if found["y"].nunique() < 2:
         return None
     x, y = linear.dense(found, 2 * DIM), np.where(found["y"] == 1, 1, -1).astype(np.float32)
-    held = found["held"].to_numpy(bool)
+    held = found["held"].to_numpy(bool).copy()
+    del found
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     share = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
-    w, b = linear.fit(x[~held], y[~held, None], weight=share[~held])
-    z = x[held if held.any() else ~held] @ w + b
-    target = y[held if held.any() else ~held, None]
-    slope, offset = linear.fit(z, target, rounds=200, rate=0.05, l2=1e-3)
+    w, b = linear.fit(x, y[:, None], weight=share * ~held)  # held rows weigh nothing
+    judged = held if held.any() else ~held
+    slope, offset = linear.fit((x @ w + b)[judged], y[judged, None], rounds=200, rate=0.05, l2=1e-3)
     return QualityModel(w[:, 0], float(b[0]), max(float(slope[0, 0]), 1e-3), float(offset[0]))
 
 
