@@ -39,9 +39,12 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path made by scratch()."""
-    jvm = spark.sparkContext._jvm
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table made by written(), when nothing will read it again."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if not files or not files[0].rpartition("/")[0].rpartition("/")[0].rstrip("/").endswith(shared_dir(spark).rpartition(":")[2].lstrip("/")):
+        return
+    jvm, path = spark.sparkContext._jvm, files[0].rpartition("/")[0]
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import text_batches, written
+from .common import discard, text_batches, written
 from .files import listed, new_file, opened, stored_file
 from .pieces import in_groups
 from .tokens import encoder
@@ -161,6 +161,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
         yield pa.RecordBatch.from_pydict({"shard": pa.array([d[0] for d in done], pa.string()), "blocks": pa.array([d[1] for d in done], pa.int64())})
 
     written(blocks.mapInArrow(shards, "shard string, blocks bigint"), "token-shards")
+    discard(blocks)
 
 
 def blocks_of(spark: SparkSession, folder: str) -> DataFrame:
