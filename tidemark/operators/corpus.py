@@ -76,6 +76,19 @@ def synthesise(rows: DataFrame, key: Column, templates: Sequence[tuple[str, str,
     return drawn.select(key.alias("key"), "intent", fill("question").alias("question"), fill("query").alias("query"))
 
 
+def exact_sizes(rows: DataFrame, split: str, key: str, sizes: dict[str, int]) -> DataFrame:
+    """Of each split, the rows with the smallest MD5 of their key, as many as asked for (all if there are fewer); other splits go."""
+    wanted = rows.where(F.col(split).isin(*sizes)).withColumn("_h", F.md5(F.col(key).cast("string")))
+    numbered = number_in_groups(wanted, [split], [F.asc("_h"), F.asc(key)], "_number")
+    limit = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    return numbered.where(F.col("_number") < F.element_at(limit, F.col(split))).drop("_number", "_h")
+
+
+def reject(rows: DataFrame, key: str, errors: DataFrame) -> DataFrame:
+    """rows without those that have an error."""
+    return rows.join(errors.select(key).distinct(), key, "left_anti")
+
+
 def _typo(word: str, r: random.Random) -> str:
     if len(word) <= 2:
         return word

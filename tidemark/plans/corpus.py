@@ -57,10 +57,10 @@ WEIGHTS = {"SELECT": 10, "SELECT_WHERE": 20, "SELECT_AGGREGATE": 15, "SELECT_ORD
 SLOTS = {"size": "p_size", "brand": "p_brand", "name": "p_name"}
 
 
-def drawn_sql(column: int) -> str:
+def drawn_sql(column: int, templates=TEMPLATES) -> str:
     out = []
     for i in WEIGHTS:
-        found = [x for x in TEMPLATES if x[0] == i]
+        found = [x for x in templates if x[0] == i]
         out += [f"WHEN intent = '{i}' AND {bucket_sql(quoted('a'), 'CAST(p_partkey AS VARCHAR)', quoted('template'), of=len(found))} = {n} THEN {quoted(x[column])}" for n, x in enumerate(found)]
     text = "CASE " + " ".join(out) + " END"
     for slot, c in SLOTS.items():
@@ -88,6 +88,23 @@ def k4_template_synthesis(t: Tables) -> DataFrame:
     return synthesised(t)
 
 
+#: With a template whose query names no table of the catalog.
+FAULTY = [*TEMPLATES, ("SELECT_LIMIT", "Show {size} of them", "SELECT * FROM parts LIMIT {size}")]
+SIZES = {"train": 500, "val": 100, "test": 50}
+KEY_SPLIT = DOC_SPLIT.replace("doc_id", "p_partkey")
+
+
+@query(f"""WITH {DRAWN_SQL}, s AS (SELECT p_partkey AS key, {drawn_sql(1, FAULTY)} AS question, {drawn_sql(2, FAULTY)} AS query, {KEY_SPLIT} AS split FROM drawn),
+n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(key AS VARCHAR)), key) AS r FROM s WHERE query NOT LIKE '%FROM parts%')
+SELECT key, question, query, split FROM n WHERE r <= CASE split WHEN 'train' THEN 500 WHEN 'val' THEN 100 ELSE 50 END""")
+def k4_exact_sizes(t: Tables) -> DataFrame:
+    """Synthesis, rejection of queries that refer to nothing, and exact sizes per split."""
+    made = C.synthesise(t.part, F.col("p_partkey"), FAULTY, WEIGHTS, {s: F.col(c) for s, c in SLOTS.items()}, "a")
+    catalog = t.spark.createDataFrame(CATALOG, "table_name string, column_name string")
+    valid = C.reject(made, "key", C.reference_errors(made, "key", "query", catalog))
+    return C.exact_sizes(valid.withColumn("split", C.split_of(F.col("key"))), "split", "key", SIZES).select("key", "question", "query", "split")
+
+
 PAIRS = EDGES[3:]
 EDGE_QUERY = "concat('SELECT {a}.{k} FROM {a} JOIN {b} ON {a}.{k} = {b}.{q}', {tail})"
 TAIL = "CASE {draw} WHEN 0 THEN '' WHEN 1 THEN concat(' WHERE {a}.{k} > ', CAST(o_orderkey AS STRING)) WHEN 2 THEN ' GROUP BY {a}.{k} HAVING COUNT(*) > 1' ELSE ' LIMIT 10' END"

@@ -41,7 +41,7 @@ CORPUS = StructType([StructField("id", LongType()), StructField("question", Stri
 def a3_read_corpus(t: Tables) -> DataFrame:
     path = folder(t, "corpus")
     t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("question"), "source").write.json(path)
-    lines = t.spark.read.schema(CORPUS).json(path)
+    lines = S.read_corpus(t.spark, path, CORPUS, lines=True)
     missing = S.read_corpus(t.spark, f"{path}-none", CORPUS)
     return lines.unionByName(missing)
 

@@ -66,10 +66,13 @@ def ingest_csv_dir(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataF
     return tables
 
 
-def read_corpus(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The records of a JSON array (or of one object); a missing or malformed file has none."""
+def read_corpus(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:
+    """The records of a JSON array (or of one object); a missing or malformed file has none.
+
+    With lines, each line is a record, which lets Spark split large files; malformed lines are left out.
+    """
     try:
-        df = spark.read.schema(StructType([*schema.fields]).add("_broken", "string")).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+        df = spark.read.schema(StructType([*schema.fields]).add("_broken", "string")).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_broken").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     return df.where(F.col("_broken").isNull()).drop("_broken")
