@@ -48,7 +48,7 @@ def test_a_full_table_starts_anew(library):
     texts = mixed(2, 300)
     for i in range(0, 300, 10):
         assert all(np.array_equal(a, b) for a, b in zip(coder.encode(texts[i : i + 10]), library(texts[i : i + 10])))
-    assert len(coder.table.key) <= 50
+    assert len(coder.table) <= 50
 
 
 def test_pieces_whose_hashes_meet_are_told_apart(library, monkeypatch):

@@ -15,7 +15,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Pieces after which the table starts anew.
-LIMIT = 1_000_000
+LIMIT = 2_000_000
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -43,6 +43,12 @@ def hashes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def merged(old: tuple, new: tuple) -> tuple:
+    """Two levels as one, by the order of their keys."""
+    where = np.searchsorted(old[0], new[0])
+    return tuple(np.insert(a, where, b) for a, b in zip(old, new))
+
+
 class PieceTable:
     """learn gives the token ids of pieces as strings; size bounds the table."""
 
@@ -51,49 +57,64 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64)
+        #: Two levels of (keys in order, checks, places in the pool, sizes): new pieces go to the second, small one.
+        self.levels = [(none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
 
-    def add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
-        """New keys in ascending order, none of which is in the table."""
-        if len(self.key) + len(key) > self.limit:
-            self.clear()
+    def __len__(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Puts in new keys, in ascending order; gives their places and sizes."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.dtype)])
         self.pool[self.used : self.used + total] = np.concatenate(ids)
-        where = np.searchsorted(self.key, key)
-        for name, new in (("key", key), ("check", check), ("at", self.used + np.cumsum(sizes) - sizes), ("size", sizes)):
-            setattr(self, name, np.insert(getattr(self, name), where, new))
+        new = (key, check, self.used + np.cumsum(sizes) - sizes, sizes)
         self.used += total
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
-        return row, (self.key[row] == key) if len(self.key) else np.zeros(len(key), bool)
+        main, recent = self.levels
+        recent = merged(recent, new)
+        if len(recent[0]) > max(50_000, len(main[0]) // 4):
+            main, recent = merged(main, recent), tuple(x[:0] for x in recent)
+        self.levels = [main, recent]
+        return new[2], sizes
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Checks, places, sizes of keys, and which are in the table."""
+        out = [np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)]
+        known = np.zeros(len(key), bool)
+        for level in self.levels:
+            if len(level[0]):
+                row = np.minimum(np.searchsorted(level[0], key), len(level[0]) - 1)
+                hit = level[0][row] == key
+                for x, values in zip(out, level[1:]):
+                    x[hit] = values[row[hit]]
+                known |= hit
+        return *out, known
 
     def ids(self, text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces in order, and how many each has. points are text's code points."""
         h, h2 = hashes(points, starts)
         key, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        row, known = self.find(key)
+        if len(key) > self.limit:
+            return self.plain(text, points, starts)
+        check, place, size, known = self.find(key)
+        if len(self) + len(key) - int(known.sum()) > self.limit:
+            self.clear()
+            known[:] = False
         new = np.flatnonzero(~known)
         if len(new):
             a = starts[index[new]].tolist()
             b = np.append(starts[1:], len(points))[index[new]].tolist()
-            learnt = self.learn([text[i:j] for i, j in zip(a, b)])
-            before = len(self.key)
-            self.add(key[new], h2[index[new]], learnt)
-            if len(self.key) < before + len(new):  # it started anew: this batch's other pieces are missing
-                return self.ids(text, points, starts) if len(key) <= self.limit else self.plain(text, points, starts)
-            row, known = self.find(key)
-        of = row[inverse]
-        if not (self.check[of] == h2).all():
+            check[new] = h2[index[new]]
+            place[new], size[new] = self.add(key[new], check[new], self.learn([text[i:j] for i, j in zip(a, b)]))
+        if not (check[inverse] == h2).all():
             return self.plain(text, points, starts)
-        sizes = self.size[of]
+        sizes = size[inverse]
         ends = np.cumsum(sizes)
-        take = np.repeat(self.at[of] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        take = np.repeat(place[inverse] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self.pool[take], sizes
 
     def plain(self, text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +136,7 @@ def by_text(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, bounds: np.n
     return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
-def in_groups(texts, most_chars: int = 1_000_000):
+def in_groups(texts, most_chars: int = 2_000_000):
     """Slices of texts of bounded total length (one text at least)."""
     begin = size = 0
     for i, t in enumerate(texts):
