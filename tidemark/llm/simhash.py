@@ -75,7 +75,8 @@ def cells(counts: Column) -> Column:
 
 def near_on_grid(distinct: DataFrame) -> DataFrame:
     """The fingerprints that have another one within Manhattan distance two on the grid of counts."""
-    probes = distinct.select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row makes some fifty probes
+    probes = distinct.repartition(spread, "fp").select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
     shared = probes.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
     return probes.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct()
 
