@@ -1,10 +1,10 @@
 """Token ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
-The byte-level pre-tokenizer always begins a new piece at a space that stands alone between two
-characters that aren't white space, and nothing before that space changes what follows. So texts are cut
-there, and cuts go through a table. A cut that is nothing but letters, perhaps with marks at its end, is
-also known to be one piece of letters and one of marks; the library's model then encodes the letters
-without pre-tokenising them again.
+The byte-level pre-tokenizer always begins a new piece at a space or line feed that stands alone between
+two characters that aren't white space, after such a line feed, and at a mark after a letter; and nothing
+before changes what follows. So texts are cut there, and cuts go through a table. A cut that is nothing
+but letters, perhaps with marks at its end, is also known to be one piece of letters and one of marks; the
+library's model then encodes the letters without pre-tokenising them again.
 """
 
 from __future__ import annotations
@@ -28,6 +28,19 @@ def white() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def mark_points() -> np.ndarray:
+    table = np.zeros(128, bool)
+    table[[ord(c) for c in MARKS]] = True
+    return table
+
+
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library, without special tokens."""
 
@@ -91,7 +104,12 @@ class Encoder:
         cut = np.zeros(len(points), bool)
         cut[1:-1] = (points[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
         begins = bounds[:-1][np.diff(bounds) > 0]
-        cut[begins[1:] - 1] = False  # a text's last character has nothing after it
+        feed = np.zeros(len(points), bool)
+        feed[1:-1] = (points[1:-1] == 10) & ~blank[:-2] & ~blank[2:]
+        cut[begins[1:] - 1] = feed[begins[1:] - 1] = False  # a text's last character has nothing after it
+        feed[begins] = False
+        cut |= feed
+        cut[1:] |= feed[:-1] | (mark_points()[np.minimum(points[1:], 127)] & letters()[points[:-1]])
         cut[begins] = True
         starts = np.flatnonzero(cut)
         ids, sizes = self.table.ids(text, points, starts)
