@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language, packing, quality, simhash
+from tidemark.llm import exact_dedup, language, near_copies, packing, quality
 from tidemark.llm.common import discard, table, written
 
 
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, leaves the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word Jaccard of 0.8 or more), leaves the row with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
