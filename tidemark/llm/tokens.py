@@ -5,6 +5,9 @@ two characters that aren't white space, after such a line feed, and at a mark af
 before changes what follows. So texts are cut there, and cuts go through a table. A cut that is nothing
 but letters, perhaps with marks at its end, is also known to be one piece of letters and one of marks; the
 library's model then encodes the letters without pre-tokenising them again.
+
+The library takes its file's added tokens out of a text before all this; so texts that hold one go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -42,13 +45,17 @@ def mark_points() -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a byte-level BPE file of the tokenizers library, without special tokens."""
+    """Ids of a byte-level BPE file of the tokenizers library; special tokens aren't added.
+
+    find_added: the file's added tokens are found in texts, as the library does unless it is told to spell them out.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, find_added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not find_added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if find_added else []
         self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 65536 else "<u2")
         # The file's model alone, for letters that are set in the byte-level alphabet already.
         self.letters = Tokenizer(self.tokenizer.model)
@@ -97,6 +104,16 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self._cut(texts)
+        apart = set(whole)
+        out = list(self._cut(["" if i in apart else t for i, t in enumerate(texts)]))
+        for i in whole:
+            out[i] = np.array(self._ids([texts[i]])[0], self.dtype)
+        return out
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
         text, points, bounds = code_points(texts)
         if not len(points):
             return [np.zeros(0, self.dtype)] * len(texts)
@@ -120,4 +137,4 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file; one thread, as Spark runs several tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, find_added=True)
