@@ -70,18 +70,13 @@ def boosted(score: Column, a: Column, b: Column) -> Column:
 def did_you_mean(typed: DataFrame, values: DataFrame, score=fuzzy_score, least: int = 50, top: int = 3) -> DataFrame:
     """typed, value, score, rank: up to `top` values for each typed one that is no value itself (without case).
 
-    Both frames have one column. Pairs are made of distinct typed values and distinct values. Up to
-    BROADCAST_ROWS / 10 values are broadcast and scored one and all; of larger dictionaries only the values
-    that share a run of two letters with what was typed are scored.
+    Both frames have one column. Every distinct typed value is scored against every distinct value, at any
+    size; up to BROADCAST_ROWS / 10 values are broadcast.
     """
     t = typed.select(F.col(typed.columns[0]).alias("typed")).where("typed is not null").distinct().withColumn("a", F.lower("typed"))
     v = values.select(F.col(values.columns[0]).alias("value")).where("value is not null").distinct().withColumn("b", F.lower("value"))
     t = t.join(v.select(F.col("b").alias("a")), "a", "left_anti")
-    if v.count() <= BROADCAST_ROWS // 10:
-        pairs = t.join(F.broadcast(v))
-    else:
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-        pairs = t.withColumn("g", F.explode(grams(F.col("a")))).join(v.withColumn("g", F.explode(grams(F.col("b")))), "g").drop("g").distinct()
+    pairs = t.crossJoin(F.broadcast(v) if v.count() <= BROADCAST_ROWS // 10 else v)
     scored = pairs.withColumn("score", boosted(score(F.col("a"), F.col("b")), F.col("a"), F.col("b"))).where(F.col("score") >= least)
     order = Window.partitionBy("typed").orderBy(F.desc("score"), "value")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("typed", "value", "score", "rank")
