@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import text_batches
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style title textarea template noscript iframe xmp noembed noframes svg math head".split())
+#: Elements whose content is no text of the page. Without an end those of RAW reach to the end of the page; those of SHUT are ordinary tags then.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+SHUT = frozenset("template svg head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes when it is the innermost open block.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -35,6 +37,7 @@ PARTS = re.compile(r"[a-z]+")
 
 PATH_DIM, WORD_DIM, MORE = 192, 64, 6
 DIM = PATH_DIM + WORD_DIM + MORE
+WHERE = DIM - 3  # the share of the page before a block
 HIDDEN = 16
 #: Pages that training reads, about, and the most blocks of each that it uses.
 TRAIN_PAGES, TRAIN_BLOCKS = 250, 120
@@ -62,7 +65,7 @@ def blocks(html: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    at, n = 0, len(html)
+    at, n, endless = 0, len(html), set()
     while at < n:
         m = TAG.search(html, at)
         if not m:
@@ -86,11 +89,15 @@ def blocks(html: str) -> list[Block]:
                         break
             elif tag == "a":
                 link_depth = max(0, link_depth - 1)
-        elif tag in RAW and not m[3].endswith("/"):
+        elif (tag in RAW or tag in SHUT) and not m[3].endswith("/"):
             close() if tag == "head" else None
-            end = _ends(tag).search(html, at)
-            if tag != "head" or end:
-                at = end.end() if end else n
+            end = None if tag in endless else _ends(tag).search(html, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                at = n
+            else:
+                endless.add(tag)  # there is none further on either
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
@@ -292,17 +299,26 @@ def laid_out(text: list[Block], other: list[Block], r: np.random.Generator) -> t
     return out, labels
 
 
+def spread(n: int) -> np.ndarray:
+    """The places of the blocks of a page of n that training reads: all, or TRAIN_BLOCKS from its first to its last."""
+    return np.arange(n) if n <= TRAIN_BLOCKS else np.linspace(0, n - 1, TRAIN_BLOCKS).round().astype(int)
+
+
 def train(pages: DataFrame, key_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, epochs: int = 14) -> Labeller:
     """A labeller from about train_pages pages, chosen by the hash of their key; with no page, an untrained one."""
     every = max(1, pages.count() // train_pages)
-    picked = pages.where(F.col(html_col).isNotNull() & (F.pmod(F.xxhash64(key_col), F.lit(every)) == 0)).select(F.xxhash64(key_col).alias("k"), F.substring(html_col, 1, 200_000).alias("html"))
-    found = [blocks(row["html"])[:TRAIN_BLOCKS] for row in picked.orderBy("k").limit(2 * train_pages).collect()]
+    picked = pages.where(F.col(html_col).isNotNull() & (F.pmod(F.xxhash64(key_col), F.lit(every)) == 0)).select(F.xxhash64(key_col).alias("k"), F.col(html_col).alias("html"))
     r, sequences = np.random.default_rng(5), []
-    for page in found:
+    for row in picked.orderBy("k").limit(2 * train_pages).toLocalIterator():
+        whole = blocks(row["html"])
+        at = spread(len(whole))
+        page = [whole[i] for i in at]
         labels = [by_structure(b) for b in page]
         text, other = [b for b, c in zip(page, labels) if c], [b for b, c in zip(page, labels) if not c]
         if page:
-            sequences.append((vectors(page), np.array(labels, np.float32)))
+            x = vectors(page)
+            x[:, WHERE] = at / len(whole)
+            sequences.append((x, np.array(labels, np.float32)))
         if text and other:
             for _ in range(3):
                 p, y = laid_out(text, other, r)
