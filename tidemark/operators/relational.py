@@ -74,9 +74,9 @@ def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
 
 
 def above_group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows whose value is above the mean of their own group."""
-    w = Window.partitionBy(group)
-    return df.withColumn("_mean", F.sum(money(value)).over(w).cast("double") / F.count(value).over(w)).where(F.col(value) > F.col("_mean")).drop("_mean")
+    """Rows whose value is above the mean of their own group; sums combine before they shuffle."""
+    means = df.groupBy(F.col(group).alias("_group")).agg((F.sum(money(value)).cast("double") / F.nullif(F.count(value), F.lit(0))).alias("_mean"))
+    return df.join(means, F.col(group).eqNullSafe(F.col("_group")) & (F.col(value) > F.col("_mean"))).drop("_group", "_mean")
 
 
 def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
