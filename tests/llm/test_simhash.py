@@ -59,8 +59,7 @@ def test_dense_groups_and_chains(spark):
     prints += [0, 2**64 - 1, 2**64 - 4, 1 << 63, 3 << 62, 7 << 61]
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     df = spark.createDataFrame([(p,) for p in signed], "fp bigint")
-    near = df.join(simhash.near_on_grid(df), "fp")
-    roots = {row["a"]: row["root"] for row in simhash.components(simhash.links(near.select("fp"))).collect()}
+    roots = {row["a"]: row["root"] for row in simhash.components(simhash.links(simhash.near_on_grid(df))).collect()}
     want = plain_components({p: p & (2**64 - 1) for p in signed})
     assert {p: roots.get(p, p) for p in signed} == want
 

@@ -3,12 +3,12 @@
 A fingerprint of 64 bits maps to 32 counts, the set bits of each segment of two. The Manhattan
 distance of two such vectors is at most the Hamming distance of their fingerprints, so fingerprints
 within two bits lie within distance two on the grid of counts, and then share a grid cell that is at
-most one step from either. A range join on cells finds the fingerprints that have another one so near
-on the grid; these few are then verified exactly on the bits.
+most one step from either. A range join on cells leaves each fingerprint with the cells that another one
+reaches too; these rows are then verified exactly on the bits.
 
 Nothing here makes all pairs of a dense group: cells are pre-aggregated to a smallest and a largest
-fingerprint, and the exact step groups fingerprints by 64-bit patterns at most one bit away, where a
-group has at most 65 members, all within two bits of one another.
+fingerprint, and in a cell fingerprints are compared with the smallest one around the bit pattern, one
+bit from either, through which they may be linked.
 """
 
 from __future__ import annotations
@@ -46,6 +46,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes, as a signed 64-bit integer: bits set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """<id_col>, fp of every row; whole texts, Arrow batches."""
 
@@ -73,18 +82,30 @@ def cells(counts: Column) -> Column:
     return F.array_compact(F.array(*near))
 
 
+def midpoints(fp: Column, cell: Column) -> Column:
+    """The patterns at most one bit from a fingerprint whose counts are those of a cell at most one step from it: two at most."""
+    step = popcounts(fp).bitwiseXOR(cell)
+    low = step.bitwiseOR(F.shiftrightunsigned(step, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    either = F.array_distinct(F.array(fp.bitwiseXOR(low), fp.bitwiseXOR(F.shiftleft(low, 1))))
+    return F.filter(either, lambda p: popcounts(p) == cell)
+
+
 def near_on_grid(distinct: DataFrame) -> DataFrame:
-    """The fingerprints that have another one within Manhattan distance two on the grid of counts."""
+    """fp, cell: the range join. Each fingerprint with the cells, at most one step from its counts, that another one reaches too."""
     spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row makes some fifty probes
     probes = distinct.repartition(spread, "fp").select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
     shared = probes.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    return probes.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct()
+    return probes.join(shared.hint("merge"), "cell", "left_semi")
+
 
+def links(met: DataFrame) -> DataFrame:
+    """Links a > b of fingerprints within two bits, from the rows of near_on_grid, that join every such pair, directly or through a third.
 
-def links(candidates: DataFrame) -> DataFrame:
-    """Links a > b of fingerprints within two bits that join every such pair, directly or through a third."""
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
-    near = candidates.select("fp", F.explode(flips).alias("pattern")).groupBy("pattern").agg(F.collect_set("fp").alias("fps"))
+    Two fingerprints within two bits are both at most one bit from some pattern, and so meet in its cell.
+    There they are verified against the smallest fingerprint at that pattern; 65 at most share one.
+    """
+    at = met.select("fp", F.explode(midpoints(F.col("fp"), F.col("cell"))).alias("pattern"))
+    near = at.groupBy("pattern").agg(F.collect_set("fp").alias("fps"))
     star = near.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
     return star.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
 
