@@ -48,3 +48,27 @@ def test_state_grows_over_batches(spark, tmp_path):
 def test_no_python_on_the_executors(spark):
     plan = queries.op5_exact_dedup(spark, compare.SF)._jdf.queryExecution().toString() + queries.op3_chat_formatting(spark, compare.SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_made_of_one_file_row_are_told_apart(spark, tmp_path):
+    """Exploded, joined and united frames repeat rows of a file; one of each text stays all the same."""
+    spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    twice = docs.selectExpr("doc_id", "explode(array(text, text)) AS text")
+    joined = docs.join(spark.range(3).withColumnRenamed("id", "more"))
+    for df in (docs, twice, joined, docs.union(docs), docs.where("doc_id > 2").selectExpr("doc_id", "text")):
+        left = exact_dedup.keep_first(df)
+        assert left.columns == df.columns and sorted(r["text"] for r in left.collect()) == ["text 0", "text 1", "text 2"]
+        rows = exact_dedup.exact_dedup(df).collect()
+        assert len(rows) == df.count() and sum(r["kept"] for r in rows) == 3 and {r["group_size"] for r in rows} == {df.count() // 3}
+
+
+def test_state_meets_the_rows_of_later_batches(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id bigint, text string").repartition(8).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    landing = docs.selectExpr("struct(false AS no_id, doc_id AS id, doc_id AS at) AS row", "unhex(sha2(text, 256)) AS digest").repartition(7)
+    landing.write.parquet(str(tmp_path / "l"))
+    landing = spark.read.parquet(str(tmp_path / "l"))
+    for files in (None, 1, 100):
+        found = exact_dedup.first_seen(landing, str(tmp_path / "l"), files).collect()
+        assert sorted((r["keep"]["id"], r["n"]) for r in found) == [(i, 8) for i in range(5)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -63,6 +66,14 @@ def setting(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def few_of_many(spark: SparkSession):
+    """Inside the block, a shuffled join of a large table with the few rows of a stored one that a comparison
+    leaves drops most other rows before it shuffles, by Spark's own runtime Bloom filter. The filter has a fixed
+    size of 1 MB; where more keys than it tells apart come, more rows are shuffled, and the join decides as ever."""
+    bloom = "spark__sql__optimizer__runtime__bloomFilter__"
+    return setting(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0", f"{bloom}creationSideThreshold": "1t"})
+
+
 #: Rows of an Arrow batch that carries whole texts or pages: Spark's default of 10,000 may be hundreds of megabytes.
 TEXT_BATCH = 500
 

@@ -1,6 +1,6 @@
 """Exact dedup: a streaming query whose keyed state (RocksDB on disk, no expiry) holds for each digest
 the stable identifier of the row that stays, where its content lies, and how many rows came; rows whose
-digest was there already have their full bytes compared.
+digest was there already are read again by their place and have their full bytes compared.
 
 DataFrame operations only: no Python runs on the executors.
 """
@@ -13,19 +13,29 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, normalised, scratch, setting, written
+from .common import discard, few_of_many, fresh_name, normalised, scratch, setting, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Micro-batches in which a table is read, about.
+BATCHES = 3
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df is files read with columns and rows chosen, so that each row of a file comes once at most."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column at = (file, row in the file), which is the same at every evaluation.
+    """docs with a column at = (file, row in the file), another for each row, which is the same at every evaluation.
 
-    Rows that don't come straight from files are written to the shared folder first.
+    Rows that don't come straight from files, once each, are written to the shared folder first.
     """
     at = fresh_name(docs, "at")
 
@@ -34,7 +44,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, str]:
         return df.select("*", F.struct(m["file_path"].alias("file"), m["row_index"].alias("row")).alias(at))
 
     try:
-        return place(docs), at
+        return place(docs if plain_scan(docs) else written(docs, "located")), at
     except AnalysisException:
         return place(written(docs, "located")), at
 
@@ -43,12 +53,10 @@ def first_seen(landing: DataFrame, path: str, files_per_batch: int | None = None
     """The final state of the stream over the files in path: digest, keep, n.
 
     Each micro-batch adds its rows to the state and writes the keys that it changed; a batch that is
-    run again after a failure overwrites what it wrote.
+    run again after a failure overwrites what it wrote. Without files_per_batch there are about BATCHES.
     """
     spark, out = landing.sparkSession, scratch(landing.sparkSession, "dedup-state")
-    reader = spark.readStream.schema(landing.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(landing.schema).option("maxFilesPerTrigger", files_per_batch or max(1, -(-len(landing.inputFiles()) // BATCHES)))
     state = reader.parquet(path).groupBy("digest").agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("n"))
 
     def keep_batch(batch: DataFrame, number: int) -> None:
@@ -92,36 +100,33 @@ def exact_dedup(
 
 def _decided(rows: DataFrame, at: str, id_col: str, text_col: str, digest: Callable[[Column], Column], files_per_batch: int | None) -> DataFrame:
     spark = rows.sparkSession
-    text = normalised(F.col(f"`{text_col}`"))
-    narrow = rows.select(
-        F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"),
-        digest(text).alias("digest"),
-    )
+    text, place = normalised(F.col(f"`{text_col}`")), F.col(f"`{at}`")
+    narrow = rows.select(F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), place.alias("at")).alias("row"), digest(text).alias("digest"))
     path = scratch(spark, "dedup-landing")
     narrow.write.parquet(path)
     landing = spark.read.schema(narrow.schema).parquet(path)
     state = first_seen(landing, path, files_per_batch)
 
-    # Hits: the full texts of digests that came more than once, compared byte by byte as grouping keys.
-    hits = written(state.where("n > 1").select("digest"), "dedup-hits")
-    variants = written(
-        rows.select(digest(text).alias("digest"), text.alias("full"), F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"))
-        .join(hits.hint("merge"), "digest", "left_semi")
-        .groupBy("full")
-        .agg(F.first("digest").alias("digest"), F.min("row").alias("keep"), F.count(F.lit(1)).alias("n"))
-        .select("digest", "keep", "n", F.sha2("full", 512).alias("variant")),
-        "dedup-groups",
-    )
+    # Hits: rows whose digest came more than once are fetched by their places; their texts are compared byte by byte as grouping keys.
+    repeated = written(state.where("n > 1").select("digest", "n"), "dedup-repeated")
+    hits = written(landing.join(repeated.hint("merge"), "digest").select(F.xxhash64("row.at").alias("spot"), "row", "digest", "n"), "dedup-hits")
+    with few_of_many(spark):
+        again = rows.select(F.xxhash64(place).alias("spot"), place.alias("at"), text.alias("full")).join(hits.where("n > 1").hint("merge"), "spot").where(F.col("at") == F.col("row.at"))
+        variants = again.groupBy("full").agg(F.first("digest").alias("digest"), F.min("row").alias("keep"), F.count(F.lit(1)).alias("n")).select("digest", "keep", "n", F.sha2("full", 512).alias("variant"))
+        variants = written(variants, "dedup-groups")
+    discard(repeated)
     clashing = variants.groupBy("digest").count().where("count > 1").select("digest")
     plain = landing.join(variants.join(clashing, "digest", "left_anti").drop("variant"), "digest", "left")
     result = plain.select(*_decision(id_col))
     if clashing.limit(1).count():
         clashing = written(clashing, "dedup-clashes")
+        spots = hits.join(clashing, "digest", "left_semi")
         apart = (
-            rows.select(digest(text).alias("digest"), F.sha2(text, 512).alias("variant"), F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"))
-            .join(clashing, "digest", "left_semi")
+            rows.select(F.xxhash64(place).alias("spot"), place.alias("at"), F.sha2(text, 512).alias("variant"))
+            .join(spots, "spot").where(F.col("at") == F.col("row.at"))
+            .select("digest", "variant", "row")
             .join(variants, ["digest", "variant"], "left")
-        )
+        )
         result = plain.join(clashing, "digest", "left_anti").select(*_decision(id_col)).unionByName(apart.select(*_decision(id_col)))
     return result
 
@@ -139,7 +144,11 @@ def _decision(id_col: str) -> list[Column]:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with docs' columns."""
+    """The rows of docs that exact_dedup keeps, with docs' columns, whatever their names.
+
+    Null and empty texts are equal to one another, so one row of them stays; of rows repeated with one id
+    one stays; very long texts are compared whole; an empty table gives an empty result.
+    """
     rows, at = located(docs)
     dropped = _decided(rows, at, id_col, text_col, sha256, files_per_batch).where(~F.col("kept")).select(F.col("at").alias(at))
     return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
