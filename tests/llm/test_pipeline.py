@@ -1,7 +1,8 @@
 import compare
 
 import corpus_pipeline as pipeline
-from tidemark.llm import exact_dedup, language, packing, quality, simhash
+from test_near_copies import plain_kept
+from tidemark.llm import exact_dedup, language, packing, quality
 from tidemark.llm.common import table, written
 
 
@@ -21,7 +22,7 @@ def test_stages_take_effect_in_order(spark):
         if name == "exact_dedup":
             want = {r["doc_id"] for r in exact_dedup.exact_dedup(before).where("kept").collect()}
         if name == "near_dedup":
-            want = {r["component_id"] for r in simhash.simhash_groups(before).collect()}
+            want = {i for i, _ in plain_kept([(r["doc_id"], r["text"]) for r in before.collect()])}
         assert ids == sorted(want)
         before = after
     pieces = pipeline.run(spark, compare.SF).collect()

@@ -1,23 +1,31 @@
-"""Near copies by the Jaccard similarity of their word shingles, exactly.
-
-Two sets of shingles whose similarity is at least SHARE share a shingle among the first ones of both, in
-any one order of all shingles: of n, the first n - ceil(SHARE n) + 1. So only these are joined; bounds on
-sizes and places leave out pairs that can't reach SHARE, and the others are verified on all their
-shingles. Nothing is estimated: every pair of SHARE or more is found, and no other. The order is that of
-the shingles' hashes, except that those a sample of the documents finds often come last.
+"""Near copies by the Jaccard similarity of their word shingles, exactly: SimHash near-dedup's grid first,
+then what it can't reach.
+
+Fingerprints of the shingle sets are linked on the grid of segment counts (simhash), and each link is
+verified on all shingles. That joins the nearest copies. Two sets of similarity SHARE may still lie many
+bits apart, so the rest is found by prefixes: they share a shingle among the first ones of both, in any
+one order of all shingles: of n, the first n - ceil(SHARE n) + 1. Nothing is estimated: every pair of
+SHARE or more is linked, directly or through others, and no other.
+
+Groups of copies don't make all their pairs. Of the sets that share a first shingle, each is compared with
+one of them, drawn for that shingle; then only sets of different components are compared, where sizes,
+places and the parity of the sets' hashed shingles leave it open whether they can reach SHARE. The order
+of shingles is that of their hashes, except that those a sample of the documents finds often come last.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_batches, written
+from . import simhash
+from .common import discard, few_of_many, text_batches, written
 from .exact_dedup import located
 from .simhash import SEED, components
 
@@ -25,6 +33,8 @@ from .simhash import SEED, components
 SHARE, WORDS = (4, 5), 5
 #: Documents, about, whose shingles are counted, the least count of an often found one, and the most such.
 SAMPLE, OFTEN, MOST = 2000, 5, 20_000
+#: Bits of a set's parity: of two sets no more bits differ than shingles.
+PARITY = 1024
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -47,6 +57,20 @@ def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])[: len(found) - -(-a * len(found) // b) + 1]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """For each of PARITY classes of hashes, whether an odd number of the shingles falls there, in 64-bit words."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """How many bits of two parities differ."""
+    out = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for i in range(1, PARITY // 64):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
+
+
 def often_found(rows: DataFrame, at: str, text_col: str, words: int) -> np.ndarray:
     """The shingles that many documents of a sample have, at most MOST."""
 
@@ -60,56 +84,139 @@ def often_found(rows: DataFrame, at: str, text_col: str, words: int) -> np.ndarr
     return np.array([r["shingle"] for r in counts.collect()], np.int64).view(np.uint64)
 
 
-def near_pairs(rows: DataFrame, at: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's set (hash of its shingles, the same for equal sets), and links a > b of similar sets."""
+def shingle_sets(rows: DataFrame, at: str, text_col: str, words: int) -> DataFrame:
+    """at, set (hash of the shingles, the same for equal sets), fp, size, first, parity of every row."""
     often = rows.sparkSession.sparkContext.broadcast(often_found(rows, at, text_col, words))  # bounded
 
-    @F.pandas_udf("set long, size int, first array<long>")
-    def heads(text: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("set long, fp long, size int, first array<long>, parity array<long>")
+    def of(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             s = shingles(t, words)
-            out.append((int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)), len(s), prefix(s, often.value).view(np.int64)))
-        return pd.DataFrame(out, columns=["set", "size", "first"])
+            name = int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64))
+            out.append((name, simhash.majority(s), len(s), prefix(s, often.value).view(np.int64), parity(s)))
+        return pd.DataFrame(out, columns=["set", "fp", "size", "first", "parity"])
+
+    return text_batches(rows).select(F.col(f"`{at}`").alias("at"), of(F.col(f"`{text_col}`")).alias("_s")).select("at", "_s.*")
+
+
+def side(rows: DataFrame, tag: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c if c == "shingle" else f"{c}_{tag}") for c in rows.columns])
+
+
+def reachable(placed: bool) -> Column:
+    """Whether sizes, and the places of a shared shingle, leave two sets a similarity of SHARE."""
+    n, d = SHARE
+    sizes = F.least("size_a", "size_b") * d >= F.greatest("size_a", "size_b") * n
+    if not placed:
+        return sizes
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    return sizes & (left * (n + d) >= (F.col("size_a") + F.col("size_b")) * n)
 
-    @F.pandas_udf("array<long>")
-    def whole(text: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in text])
 
-    place = F.col(f"`{at}`")
-    sets = written(text_batches(rows).select(place.alias("at"), heads(F.col(f"`{text_col}`")).alias("_s")).select("at", "_s.*"), "near-sets")
-    first = sets.select("set", "size", "first").dropDuplicates(["set"]).select("set", "size", F.posexplode("first").alias("place", "shingle"))
-    shared = first.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1").drop("n")
-    shared = written(shared, "near-shared")
-    a, b = (shared.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("set", "size", "place")]) for x in "ab")
+def even_enough() -> Column:
+    """Whether the parities leave two sets a similarity of SHARE: that many shingles may differ."""
     n, d = SHARE
-    may = (F.col("size_b") * d >= F.col("size_a") * n) & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) * (n + d) >= (F.col("size_a") + F.col("size_b")) * n)
-    later = F.struct("size_a", "set_a") > F.struct("size_b", "set_b")
-    pairs = written(a.join(b, "shingle").where(later & may).select("set_a", "set_b").distinct(), "near-pairs")
-    members = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).distinct()
-    one = sets.join(members, "set", "left_semi").groupBy("set").agg(F.min("at").alias(at))
-    full = written(text_batches(rows.select(place, F.col(f"`{text_col}`").alias("text")).join(one, at)).select("set", whole(F.col("text")).alias("all")), "near-full")
-    x, y = (full.select(F.col("set").alias(f"set_{k}"), F.col("all").alias(f"all_{k}")) for k in "ab")
+    return differing(F.col("parity_a"), F.col("parity_b")) * (n + d) <= (F.col("size_a") + F.col("size_b")) * (d - n)
+
+
+@dataclass
+class Texts:
+    """Rows whose shingles are read again where pairs are verified: their place column, text column and words a shingle."""
+
+    rows: DataFrame
+    at: str
+    text_col: str
+    words: int
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """set, all (its shingles) for members: set, at, pairs (how many, one at least)."""
+
+        words = self.words
+
+        @F.pandas_udf("array<long>")
+        def whole(text: pd.Series) -> pd.Series:
+            return pd.Series([shingles(t, words).view(np.int64) for t in text])
+
+        place = F.col(f"`{self.at}`")
+        with few_of_many(self.rows.sparkSession):
+            spots = written(members.select(F.xxhash64("at").alias("spot"), "at", "set", "pairs"), "near-members")
+            met = self.rows.select(F.xxhash64(place).alias("spot"), place.alias("place"), F.col(f"`{self.text_col}`").alias("text")).join(spots.where("pairs > 0").hint("merge"), "spot").where(F.col("place") == F.col("at"))
+            return written(text_batches(met).select("set", whole(F.col("text")).alias("all")), "near-full")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: Texts, label: str) -> DataFrame:
+    """Links a > b: the pairs set_a, set_b whose sets have a similarity of SHARE or more, on all their shingles."""
+    n, d = SHARE
+    short = sets.select("set", "size", "parity")
+    pairs = pairs.join(side(short, "a"), "set_a").join(side(short, "b"), "set_b").where(reachable(False) & even_enough()).select("set_a", "set_b")
+    pairs = written(pairs, label)
+    members = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("pairs"))
+    full = texts.of(members.join(sets.select("set", "at"), "set"))
     both, either = F.size(F.array_intersect("all_a", "all_b")), F.size("all_a") + F.size("all_b")
-    similar = pairs.join(x, "set_a").join(y, "set_b").where(both * (n + d) >= either * n)  # both / (either - both) >= n / d
-    return sets.select("at", "set"), similar.select(F.greatest("set_a", "set_b").alias("a"), F.least("set_a", "set_b").alias("b"))
+    similar = pairs.join(side(full, "a"), "set_a").join(side(full, "b"), "set_b").where(both * (n + d) >= either * n)  # both / (either - both) >= n / d
+    found = similar.select(F.greatest("set_a", "set_b").alias("a"), F.least("set_a", "set_b").alias("b")).checkpoint()
+    discard(pairs)
+    discard(full)
+    return found
+
+
+def grid_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs set_a, set_b that the SimHash grid puts within two bits, through the smallest set of each fingerprint."""
+    heads = written(sets.groupBy("fp").agg(F.min("set").alias("head")), "near-prints")
+    near = simhash.links(simhash.near_on_grid(heads.select("fp")))
+    across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("set_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("set_b")), "b")
+    same = sets.join(heads, "fp").where(F.col("set") != F.col("head")).select(F.col("set").alias("set_a"), F.col("head").alias("set_b"))
+    return across.select("set_a", "set_b").unionByName(same)
+
+
+def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
+    """Links a > b of distinct sets that join all sets of similarity SHARE or more, directly or through others."""
+    heads = sets.select("set", "size", F.posexplode("first").alias("place", "shingle"))
+    drawn = F.struct(F.xxhash64("set", "shingle").alias("draw"), "set", "size", "place")
+    buckets = heads.groupBy("shingle").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(heads.join(buckets.hint("merge"), "shingle").where("set <> one.set"), "near-shared")
+    to_one = shared.select(F.col("set").alias("set_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
+    first = to_one.where(reachable(True)).select("set_a", "set_b").unionByName(grid_pairs(sets))
+    ordered = first.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
+    found = verified(ordered, sets, texts, "near-first")
+
+    # What is left: members of one bucket that are in different components so far, the drawn one apart, which has met them all.
+    roots = rooted(found)
+    left = shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    left = written(left, "near-left")
+    mixed = left.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    left = written(left.join(mixed, "shingle", "left_semi").join(sets.select("set", "parity"), "set"), "near-mixed")
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("set_a") > F.col("set_b")) & reachable(True) & even_enough()
+    across = side(left, "a").join(side(left, "b"), "shingle").where(apart).select("set_a", "set_b").distinct()
+    return found.unionByName(verified(across, sets, texts, "near-second"))
+
+
+def rooted(links: DataFrame) -> DataFrame:
+    """set, root of all sets that have a link."""
+    roots = components(links)
+    return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "set")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with one row of each group of near copies, with docs' columns.
 
     Rows are linked where the Jaccard similarity of their shingles is SHARE or more, and texts without
-    words with each other; groups are what links reach. The row with the smallest id stays, of several
-    the first by file and row; rows with a null id stay and don't count. An empty table gives an empty
-    result.
+    words (null or empty ones too) with each other; groups are what links reach. The row with the smallest
+    id stays, of several the first by file and row; rows with a null id stay and don't count. Very long
+    texts are read whole. An empty table gives an empty result; other columns, whatever their names, are
+    handed on.
     """
     rows, at = located(docs)
-    sets, links = near_pairs(rows, at, text_col, words)
-    roots = components(links)
-    roots = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "set")
+    prints = written(shingle_sets(rows, at, text_col, words), "near-prints")
+    one = F.min(F.struct("at", "fp", "size", "first", "parity")).alias("_s")
+    sets = written(prints.groupBy("set").agg(one).select("set", "_s.*"), "near-sets")
+    roots = rooted(near_links(sets, Texts(rows, at, text_col, words)))
+    discard(sets)
     placed = rows.where(F.col(f"`{id_col}`").isNotNull()).select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"), F.col(f"`{at}`").alias("at"))
-    grouped = placed.join(sets, "at").join(roots, "set", "left").select("row", F.coalesce("root", "set").alias("root"))
+    grouped = placed.join(prints.select("at", "set"), "at").join(roots, "set", "left").select("row", F.coalesce("root", "set").alias("root"))
     grouped = written(grouped, "near-grouped")
+    discard(prints)
     least = grouped.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     dropped = grouped.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("row.at").alias(at))
     return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
