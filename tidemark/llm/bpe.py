@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .pieces import PieceTable, by_text, code_points, in_groups
+from .pieces import PieceTable, by_text, code_points, in_groups, places
 
 #: Classes: letter, number, lone space before something, other white space before something, white space
 #: before white space or the end, anything else, apostrophe before one or two letters of a contraction.
@@ -129,6 +129,7 @@ class Ranks:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.bytes, self.begin = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.dtype = np.dtype("<u4" if len(self.tokens) > 65536 else "<u2")
         self.table = PieceTable(self._learn, self.dtype)
 
@@ -199,8 +200,13 @@ class Ranks:
         """Where each token's bytes begin in the text, and the text's length in bytes."""
         return np.concatenate([[0], np.cumsum(self.sizes[ids])])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """The tokens' bytes, each put at its offset; offsets are those that encoding gave, or a slice of them with one more than ids."""
+        offsets = self.offsets(ids) if offsets is None else offsets
+        sizes = np.diff(offsets)
+        if len(offsets) != len(ids) + 1 or not (sizes == self.sizes[ids]).all():
+            raise ValueError("the offsets aren't those of the ids")
+        return self.bytes[places(self.begin[ids], sizes)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -225,14 +231,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
 
 
-def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """coded's columns and text: the decoded bytes."""
+def decode(coded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """coded's columns and text: the decoded bytes, by the offsets that encode gave.
+
+    Null ids give null; no ids give no bytes; repeated rows each get a row; an empty table gives an empty
+    result; coded's other columns are handed on, and one named text besides stays before the new one.
+    """
 
     @F.pandas_udf("binary")
-    def of(ids: pd.Series) -> pd.Series:
-        return pd.Series([ranks(path).decode(np.asarray(i, np.int64)) for i in ids], dtype=object)
+    def of(ids: pd.Series, offsets: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None else ranks(path).decode(np.asarray(i, np.int64), np.asarray(o, np.int64)) for i, o in zip(ids, offsets)], dtype=object)
 
-    return coded.select("*", of(F.col(ids_col)).alias("text"))
+    return coded.select("*", of(F.col(f"`{ids_col}`"), F.col(f"`{offsets_col}`")).alias("text"))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +254,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for a, b in in_groups(texts):
             for ids in coder.encode(texts[a:b]):
                 listed = ",".join(map(str, ids.tolist())).encode()
-                out.append((len(ids), sha256(listed).hexdigest(), sha256(coder.decode(ids)).hexdigest()))
+                decoded = coder.decode(ids, coder.offsets(ids))
+                out.append((len(ids), sha256(listed).hexdigest(), sha256(decoded).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")

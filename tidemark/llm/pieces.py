@@ -1,8 +1,8 @@
 """A table of text pieces and their packed token ids, looked up for a whole batch of texts at once.
 
-Pieces are found by two 64-bit hashes, both taken from prefix sums over the batch's code points: the
-first orders the table, the second tells apart what the first confuses. Only pieces that the table lacks
-are cut out as strings and encoded.
+Pieces are found by a 64-bit hash from prefix sums over the batch's code points. A hash proves nothing:
+every hit is compared code point by code point, within the batch and with what the table holds. Only
+pieces that the table lacks are cut out as strings and encoded.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-MIX = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+MIX = 0xC2B2AE3D27D4EB4F
 #: Pieces after which the table starts anew.
 LIMIT = 2_000_000
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
@@ -27,20 +27,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def hashes(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each piece of code points that begins at one of starts and ends at the next."""
-    place, back = powers(BASE, len(points)), powers(INVERSE, len(points))[starts]
-    out = []
-    for mix in MIX:
-        x = (points + np.uint64(1)) * np.uint64(mix)
-        x ^= x >> np.uint64(29)
-        x *= place
-        np.cumsum(x, out=x)
-        total = np.concatenate([[np.uint64(0)], x])
-        h = (total[np.append(starts[1:], len(points))] - total[starts]) * back
-        h ^= h >> np.uint64(32)
-        out.append(h)
-    return out[0], out[1]
+def hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each piece of code points that begins at one of starts and ends at the next."""
+    x = (points + np.uint64(1)) * np.uint64(MIX)
+    x ^= x >> np.uint64(29)
+    x *= powers(BASE, len(points))
+    np.cumsum(x, out=x)
+    total = np.concatenate([[np.uint64(0)], x])
+    h = (total[np.append(starts[1:], len(points))] - total[starts]) * powers(INVERSE, len(points))[starts]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, set end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def merged(old: tuple, new: tuple) -> tuple:
@@ -49,6 +51,14 @@ def merged(old: tuple, new: tuple) -> tuple:
     return tuple(np.insert(a, where, b) for a, b in zip(old, new))
 
 
+def held(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """pool with more put in from `used` on, made longer where need be."""
+    if used + len(more) > len(pool):
+        pool = np.concatenate([pool, np.zeros(max(len(more), len(pool)), pool.dtype)])
+    pool[used : used + len(more)] = more
+    return pool
+
+
 class PieceTable:
     """learn gives the token ids of pieces as strings; size bounds the table."""
 
@@ -57,33 +67,33 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.uint64)
-        #: Two levels of (keys in order, checks, places in the pool, sizes): new pieces go to the second, small one.
-        self.levels = [(none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        none = np.zeros(0, np.int64)
+        #: Two levels of (keys in order, places of the ids in the pool, how many, places of the letters, how many): new pieces go to the second, small one.
+        self.levels = [(np.zeros(0, np.uint64), none, none, none, none)] * 2
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.letters, self.spelt = np.zeros(1 << 16, np.uint32), 0
 
     def __len__(self) -> int:
         return sum(len(level[0]) for level in self.levels)
 
-    def add(self, key: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Puts in new keys, in ascending order; gives their places and sizes."""
+    def add(self, key: np.ndarray, ids: list[np.ndarray], points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts in new keys, in ascending order; gives the places and sizes of their ids."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.dtype)])
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
-        new = (key, check, self.used + np.cumsum(sizes) - sizes, sizes)
-        self.used += total
+        self.pool = held(self.pool, self.used, np.concatenate(ids))
+        self.letters = held(self.letters, self.spelt, points[places(begins, lengths)])
+        new = (key, self.used + np.cumsum(sizes) - sizes, sizes, self.spelt + np.cumsum(lengths) - lengths, lengths)
+        self.used += int(sizes.sum())
+        self.spelt += int(lengths.sum())
         main, recent = self.levels
         recent = merged(recent, new)
         if len(recent[0]) > max(50_000, len(main[0]) // 4):
             main, recent = merged(main, recent), tuple(x[:0] for x in recent)
         self.levels = [main, recent]
-        return new[2], sizes
+        return new[1], sizes
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Checks, places, sizes of keys, and which are in the table."""
-        out = [np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)]
+    def find(self, key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Places and sizes of ids and letters of keys, and which keys are in the table."""
+        out = [np.zeros(len(key), np.int64) for _ in range(4)]
         known = np.zeros(len(key), bool)
         for level in self.levels:
             if len(level[0]):
@@ -92,30 +102,31 @@ class PieceTable:
                 for x, values in zip(out, level[1:]):
                     x[hit] = values[row[hit]]
                 known |= hit
-        return *out, known
+        return out, known
 
     def ids(self, text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all pieces in order, and how many each has. points are text's code points."""
-        h, h2 = hashes(points, starts)
-        key, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        """Token ids of all pieces in order, and how many each has. points are text's code points, starts begin with 0."""
+        key, index, inverse = np.unique(hashes(points, starts), return_index=True, return_inverse=True)
         if len(key) > self.limit:
             return self.plain(text, points, starts)
-        check, place, size, known = self.find(key)
+        long = np.diff(np.append(starts, len(points)))
+        begins, lengths = starts[index], long[index]
+        # every piece is spelt like the first one with its hash
+        if not (long == lengths[inverse]).all() or not (points[places(begins[inverse], long)] == points).all():
+            return self.plain(text, points, starts)
+        (place, size, spelling, letters), known = self.find(key)
         if len(self) + len(key) - int(known.sum()) > self.limit:
             self.clear()
             known[:] = False
+        # and like the one in the table
+        if not (letters[known] == lengths[known]).all() or not (self.letters[places(spelling[known], letters[known])] == points[places(begins[known], lengths[known])]).all():
+            return self.plain(text, points, starts)
         new = np.flatnonzero(~known)
         if len(new):
-            a = starts[index[new]].tolist()
-            b = np.append(starts[1:], len(points))[index[new]].tolist()
-            check[new] = h2[index[new]]
-            place[new], size[new] = self.add(key[new], check[new], self.learn([text[i:j] for i, j in zip(a, b)]))
-        if not (check[inverse] == h2).all():
-            return self.plain(text, points, starts)
+            a, b = begins[new], begins[new] + lengths[new]
+            place[new], size[new] = self.add(key[new], self.learn([text[i:j] for i, j in zip(a.tolist(), b.tolist())]), points, a, lengths[new])
         sizes = size[inverse]
-        ends = np.cumsum(sizes)
-        take = np.repeat(place[inverse] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.pool[take], sizes
+        return self.pool[places(place[inverse], sizes)], sizes
 
     def plain(self, text: str, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without the table, where two pieces share a hash or don't fit."""

@@ -50,7 +50,7 @@ class Encoder:
     find_added: the file's added tokens are found in texts, as the library does unless it is told to spell them out.
     """
 
-    def __init__(self, path: str, find_added: bool = False):
+    def __init__(self, path: str, find_added: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -137,4 +137,4 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file; one thread, as Spark runs several tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, find_added=True)
+    return Encoder(path)
