@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, packing, pieces, queries, rans, token_files, tokens
 from tidemark.llm.common import scratch
+from tidemark.llm.files import new_file, stored_file
 
 PARTS = ["a", "ab", "word", "Über", "été.", "foo,", " ", "  ", "\n", "\n\n", "'s", " 's", "'", "'re", "'r", "'ll", "l", "!", "é", "1", "\t", "\r\n", "\x1c", "　", "<|endoftext|>", "x y", "​", "\x85", "日本", "\xa0", "Ⅷ", "²", "\U0001f600", "٣", "\x00", "%%%"]
 
@@ -24,7 +25,6 @@ def mixed(seed, n, most=40):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(queries.BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda texts: [np.array(e.ids, "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -53,7 +53,7 @@ def test_a_full_table_starts_anew(library):
 
 def test_pieces_whose_hashes_meet_are_told_apart(library, monkeypatch):
     real = pieces.hashes
-    monkeypatch.setattr(pieces, "hashes", lambda p, s: (real(p, s)[0] & np.uint64(7), real(p, s)[1]))
+    monkeypatch.setattr(pieces, "hashes", lambda p, s: real(p, s) & np.uint64(7))
     coder = tokens.Encoder(queries.BYTE_BPE)
     texts = mixed(3, 50)
     assert all(np.array_equal(a, b) for a, b in zip(coder.encode(texts), library(texts)))
@@ -146,7 +146,7 @@ def test_cuts_are_the_cheapest():
         cost = np.array([r.randint(0, 20) for _ in at])
         cuts = packing.best_cuts(at, cost, 16)
         price = dict(zip(at.tolist(), cost.tolist()))
-        pad = lambda k: 0 if k == 16 else 16 - k  # noqa: E731  powers of two below LEAST aren't tried
+        pad = lambda k: 0 if k & (k - 1) == 0 else 16 - k
         best = {0: 0}
         for j in at.tolist()[1:]:
             best[j] = min(best[i] + pad(j - i) + price[j] + packing.EACH for i in best if 0 < j - i <= 16)
@@ -154,6 +154,75 @@ def test_cuts_are_the_cheapest():
         assert sum(pad(b - a) + price[b] + packing.EACH for a, b in zip(cuts, cuts[1:])) == best[n]
 
 
+def test_cuts_of_small_streams_with_their_own_places():
+    """Cuts stand at document and sentence ends, inside only where a stretch without any is longer than a sequence; and no list of cuts is cheaper."""
+    r = random.Random(9)
+    for _ in range(100):
+        n, capacity = r.randint(2, 160), 64
+        doc, sentence = (np.array([r.random() < p for _ in range(n)]) for p in (0.03, r.choice([0.0, 0.01, 0.1])))
+        at, cost = packing.places(doc, sentence, capacity)
+        price = dict(zip(at.tolist(), cost.tolist()))
+        ends = [0, *(i + 1 for i in range(n) if doc[i] or sentence[i]), n]
+        assert all(any(a < p < b and b - a > capacity for a, b in zip(ends, ends[1:])) for p in price if p not in ends) and set(ends) <= set(price)
+        pad, best = (lambda k: 0 if k & (k - 1) == 0 else capacity - k), {0: 0}
+        for j in at.tolist()[1:]:
+            best[j] = min(best[i] + pad(j - i) + price[j] + packing.EACH for i in best if 0 < j - i <= capacity)
+        cuts = packing.best_cuts(at, cost, capacity)
+        assert sum(pad(b - a) + price[b] + packing.EACH for a, b in zip(cuts, cuts[1:])) == best[n]
+
+
+def morse(a, b, n=1024):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_texts_that_a_polynomial_hash_confuses_keep_their_own_ids(spark, library, reference):
+    texts = ["x " + morse("a", "b"), "x " + morse("b", "a"), "x " + morse("é", "日", 2048), "x " + morse("日", "é", 2048), "plain"]
+    assert (pieces.hashes(*pieces.code_points([morse("a", "b")])[1:2], np.array([0])) == pieces.hashes(*pieces.code_points([morse("b", "a")])[1:2], np.array([0]))).all()
+    for _ in range(2):
+        assert [x.tolist() for x in bpe.ranks(queries.MULTI_BPE).encode(texts)] == reference.encode_ordinary_batch(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(tokens.encoder(queries.BYTE_BPE).encode(texts), library(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = {i: np.append(x, np.uint32(0)) for i, x in enumerate(library(texts))}
+    holds(packing.pack(docs, queries.BYTE_BPE).collect(), want)
+    folder = scratch(spark, "ids")
+    token_files.write_ids(docs, folder, queries.BYTE_BPE)
+    assert {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, folder).collect()} == {i: x.tolist() for i, x in want.items()}
+    rows = {r["doc_id"]: r for r in bpe.digests(docs, queries.MULTI_BPE).collect()}
+    assert all(rows[i]["decoded_sha256"] == sha256(t.encode()).hexdigest() and rows[i]["n_tokens"] == len(reference.encode_ordinary(t)) for i, t in enumerate(texts))
+
+
+def test_large_ids_beside_null_stay_exact(spark):
+    ids = [2**53 + 1, 2**53, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id bigint, text string").coalesce(1)
+    same = lambda rows: sorted((r["doc_id"] for r in rows), key=str) == sorted(ids, key=str)
+    assert same(packing.pack(docs, queries.BYTE_BPE).collect())
+    folder = scratch(spark, "ids")
+    token_files.write_ids(docs, folder, queries.BYTE_BPE)
+    assert same(token_files.read_ids(spark, folder).collect()) and same(token_files.read_ids(spark, folder, digest=True).collect())
+
+
+def test_shards_of_attempts_that_did_not_count_are_not_read(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string")
+    folder = scratch(spark, "ids")
+    token_files.write_ids(docs, folder, queries.BYTE_BPE, block=10)
+    name = token_files.manifest(spark, folder).first()["shard"]
+    with stored_file(name) as f, new_file(name.replace(".ids", "9.ids")) as out:
+        out.write(f.read())
+    assert sorted(r["doc_id"] for r in token_files.read_ids(spark, folder).collect()) == list(range(20))
+
+
+def test_offsets_lead_the_decoder(reference):
+    coder = bpe.ranks(queries.MULTI_BPE)
+    text = "Some words, ünï 日本 and 12 more."
+    ids = coder.encode([text])[0]
+    at = coder.offsets(ids)
+    for i in range(len(ids)):
+        for j in range(i, len(ids)):
+            assert coder.decode(ids[i:j], at[i : j + 1]) == text.encode()[at[i] : at[j]]
+    with pytest.raises(ValueError):
+        coder.decode(ids, at + np.arange(len(at)))
+
+
 def holds(rows, ids):
     """Every id lies in one piece, pieces lie gapless in sequences of at most 1024; returns the share of padding."""
     seen, length = {}, {}
@@ -173,7 +242,14 @@ def holds(rows, ids):
 
 
 def test_packing_query(spark, library):
-    assert holds(queries.op6_packing(spark, compare.SF).collect(), ids_of(spark, library)) < 0.03
+    rows = queries.op6_packing(spark, compare.SF).collect()
+    assert holds(rows, ids_of(spark, library)) < 0.03
+    ids, ends = ids_of(spark, library), packing.sentence_ends(queries.BYTE_BPE)
+    inside = [(r["doc_id"], r["start"] + r["length"]) for r in rows if r["ends_at"] == "inside"]
+    for d, at in inside:  # in a stretch longer than a sequence that ends no sentence
+        stops = [0, *(np.flatnonzero(ends[ids[d]]) + 1).tolist(), len(ids[d])]
+        assert any(a < at < b and b - a > 1024 for a, b in zip(stops, stops[1:]))
+    assert {r["ends_at"] for r in rows} <= set(packing.KINDS) and len(inside) < 0.05 * len(rows)
 
 
 def test_packing_odd_rows(spark, odd_docs, no_docs, library):

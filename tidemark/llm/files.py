@@ -36,6 +36,15 @@ def stored_file(path: str):
         yield f
 
 
+#: Tasks, at most, among which files or blocks are dealt.
+MOST_TASKS = 20_000
+
+
+def tasks(files: int) -> int:
+    """A task for each of so many files, MOST_TASKS at most."""
+    return min(max(files, 1), MOST_TASKS)
+
+
 def listed(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     """Names of the folder's files with this suffix, in order."""
     jvm = spark.sparkContext._jvm

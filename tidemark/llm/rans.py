@@ -67,19 +67,25 @@ def encode(ids: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def decode(n: int, states: np.ndarray, places: np.ndarray, stream: np.ndarray, table: Table, start: int = 0) -> np.ndarray:
-    """Ids from checkpoint `start` (id start * CHECKPOINT * LANES) to the n-th."""
-    out = np.empty(n - start * CHECKPOINT * LANES, np.uint32)
-    if not len(out):
-        return out
-    x, at = states[start].copy(), int(places[start])
-    mask = U((1 << SCALE) - 1)
-    for i in range(0, len(out), LANES):
-        lane = x[: min(LANES, len(out) - i)]
+    """Ids from checkpoint `start` (id start * CHECKPOINT * LANES) to the n-th. What lies between checkpoints is decoded side by side."""
+    left = n - start * CHECKPOINT * LANES
+    if left <= 0:
+        return np.empty(0, np.uint32)
+    x, at = states[start:].copy(), places[start:].astype(np.int64)
+    out = np.empty((len(x), CHECKPOINT, LANES), np.uint32)
+    mask, whole = U((1 << SCALE) - 1), (len(x) - 1) * CHECKPOINT * LANES
+    for t in range(min(CHECKPOINT, -(-left // LANES))):
+        last = min(LANES, left - whole - t * LANES)  # lanes of the last part that have an id in this step
+        rows = len(x) - (last <= 0)
+        lane = x[:rows]
         slot = lane & mask
         s = table.symbol[slot]
-        out[i : i + LANES] = s
+        out[:rows, t] = s
         lane[:] = table.freq[s] * (lane >> U(SCALE)) + slot - table.first[s]
-        short = np.flatnonzero(lane < LOW)
-        lane[short] = (lane[short] << U(32)) | stream[at : at + len(short)]
-        at += len(short)
-    return out
+        short = lane < LOW
+        if 0 < last < LANES:
+            short[-1, last:] = False
+        word = at[:rows, None] + np.cumsum(short, axis=1) - 1
+        lane[short] = (lane[short] << U(32)) | stream[word[short]]
+        at[:rows] += short.sum(axis=1)
+    return out.reshape(-1)[:left]

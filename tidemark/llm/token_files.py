@@ -1,10 +1,10 @@
 """Token ids in binary files: blocks of whole documents, coded with a shared static table.
 
-A folder has `table.freq` (frequencies as unsigned 32-bit integers) and shards `*.ids`, whose names sort
-by document id. A shard is a row of blocks, then an index (a JSON list of [offset, size, block number,
+A folder has `table.freq` (frequencies as unsigned 32-bit integers), shards `*.ids`, whose names sort by
+document id, and `manifest`, a Parquet table of the shards that belong to it. A shard is a row of blocks, then an index (a JSON list of [offset, size, block number,
 documents, ids]), its length as 8 bytes, and the magic. A block is a header of seven 32-bit integers
 (documents, ids, checkpoints, words, CRC-32 of what follows, of the table, of the ids), then document
-ids, lengths, checkpoint states and places, and the stream of words. All numbers are little-endian.
+ids, a byte for each that is 1 for a null id, lengths, checkpoint states and places, and the stream of words. All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -23,38 +23,40 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import discard, text_batches, written
-from .files import listed, new_file, opened, stored_file
+from .files import new_file, stored_file, tasks
 from .pieces import in_groups
 from .tokens import encoder
 
-MAGIC = b"IDSRANS1"
+MAGIC = b"IDSRANS2"
 HEAD = struct.Struct("<7I")
 BLOCK = 1 << 18
 END = 0
 
 
-def pack_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, table: rans.Table) -> bytes:
+def pack_block(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, table: rans.Table) -> bytes:
     states, places, stream = rans.encode(ids, table)
-    body = b"".join(a.astype(t).tobytes() for a, t in ((doc_ids, "<i8"), (lengths, "<u4"), (states, "<u8"), (places, "<u4"), (stream, "<u4")))
+    none = np.array([d is None for d in doc_ids], bool)
+    numbers = np.array([0 if d is None else d for d in doc_ids], np.int64)
+    body = b"".join(np.asarray(a).astype(t).tobytes() for a, t in ((numbers, "<i8"), (none, "<u1"), (lengths, "<u4"), (states, "<u8"), (places, "<u4"), (stream, "<u4")))
     own = crc32(table.freq.astype("<u4").tobytes())
     return HEAD.pack(len(doc_ids), len(ids), len(states), len(stream), crc32(body), own, crc32(ids.astype("<u4").tobytes())) + body
 
 
-def unpack_block(data: bytes, table: rans.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_block(data: bytes, table: rans.Table) -> tuple[pd.Series, np.ndarray, np.ndarray]:
     """Document ids, lengths, ids; raises ValueError where a checksum or a length is wrong."""
     docs, n, checks, words, body_crc, table_crc, ids_crc = HEAD.unpack_from(data)
     body = memoryview(data)[HEAD.size :]
     if crc32(body) != body_crc or crc32(table.freq.astype("<u4").tobytes()) != table_crc:
         raise ValueError("a block's checksum is wrong")
     parts, at = [], 0
-    for count, kind in ((docs, "<i8"), (docs, "<u4"), (checks * rans.LANES, "<u8"), (checks, "<u4"), (words, "<u4")):
+    for count, kind in ((docs, "<i8"), (docs, "<u1"), (docs, "<u4"), (checks * rans.LANES, "<u8"), (checks, "<u4"), (words, "<u4")):
         parts.append(np.frombuffer(body, kind, count, at))
         at += parts[-1].nbytes
-    doc_ids, lengths, states, places, stream = parts
+    numbers, none, lengths, states, places, stream = parts
     ids = rans.decode(n, states.reshape(-1, rans.LANES), places, stream, table)
     if at != len(body) or lengths.sum(dtype=np.int64) != n or crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("a block's lengths or ids are wrong")
-    return doc_ids, lengths, ids
+    return pd.Series(numbers, dtype="Int64").mask(none.astype(bool)), lengths, ids
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -118,9 +120,10 @@ def stored_table(folder: str) -> rans.Table:
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> None:
     """Writes docs' token ids, each document's followed by the end id, to a folder of the shared file system.
 
-    Documents go by ascending id (null ids first, as the smallest 64-bit integer), rows repeated with one id by text; null text is
+    Documents go by ascending id (null ids first), rows repeated with one id by text; null text is
     the end id alone; very long documents make a large block; an empty table writes a table and no
-    shards. Other columns aren't read.
+    shards. Other columns aren't read. A task that runs again writes shards under new names, and the
+    manifest names those of the attempts that counted.
     """
     blocks = written(tokenised(docs, tokenizer, id_col, text_col, block), "token-blocks", compression="zstd")
     table = rans.Table.of(frequencies(blocks, tokenizer))
@@ -129,7 +132,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 
     def shards(batches):
         table, kind = stored_table(folder), encoder(tokenizer).dtype
-        done, stack, name = [], None, ""
+        done, stack, name, attempt = [], None, "", TaskContext.get().taskAttemptId()
 
         def close():
             nonlocal stack
@@ -147,11 +150,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
                 part, number = row[0].as_py(), row[1].as_py()
                 if last != (part, number - 1):
                     close()
-                    name, at = f"{folder}/part-{part:06d}-{number:08d}.ids", 0
+                    name, at = f"{folder}/part-{part:06d}-{number:08d}-{attempt}.ids", 0
                     holder = new_file(name)
                     stack = (holder.__enter__(), holder, [])
                 last = (part, number)
-                doc_ids = np.array([np.iinfo(np.int64).min if d is None else d for d in row[2].as_py()], np.int64)
+                doc_ids = row[2].as_py()
                 ids = np.frombuffer(row[4].as_buffer(), kind)
                 data = pack_block(doc_ids, np.array(row[3].as_py(), np.int64), ids, table)
                 stack[0].write(data)
@@ -160,14 +163,18 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
         close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([d[0] for d in done], pa.string()), "blocks": pa.array([d[1] for d in done], pa.int64())})
 
-    written(blocks.mapInArrow(shards, "shard string, blocks bigint"), "token-shards")
+    blocks.mapInArrow(shards, "shard string, blocks bigint").write.parquet(f"{folder}/manifest")
     discard(blocks)
 
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("shard string, blocks bigint").parquet(f"{folder}/manifest")
+
+
 def blocks_of(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of a folder from the shards' indexes: shard, part, offset, size, block, n_docs, n_ids, start."""
-    names = listed(spark, folder, ".ids")
-    shards = spark.createDataFrame([(n,) for n in names], "shard string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4)))
+    shards = manifest(spark, folder)
+    shards = shards.repartition(tasks(shards.count()))
 
     def index(frames):
         for pdf in frames:
@@ -193,8 +200,12 @@ def blocks_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
-    """doc_id, start (ids before it), n_tokens and ids (or, with digest, ids_crc32) of every document of a folder."""
-    blocks = blocks_of(spark, folder).repartition(max(1, len(listed(spark, folder, ".ids"))), "shard", "block")
+    """doc_id, start (ids before it), n_tokens and ids (or, with digest, ids_crc32) of every document of a folder.
+
+    Only shards of the manifest are read; a folder written from an empty table gives an empty result.
+    Raises ValueError where a block's checksums or lengths are wrong.
+    """
+    blocks = blocks_of(spark, folder).repartition(tasks(manifest(spark, folder).count()), "shard", "block")
 
     def read(frames):
         table = stored_table(folder)
@@ -206,8 +217,7 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 parts = [ids[a:b].astype("<u4") for a, b in zip(starts, ends)]
-                none = doc_ids == np.iinfo(np.int64).min
-                out = pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype="Int64").mask(none), "start": starts + start, "n_tokens": lengths.astype(np.int64)})
+                out = pd.DataFrame({"doc_id": doc_ids, "start": starts + start, "n_tokens": lengths.astype(np.int64)})
                 out["value"] = [crc32(p.tobytes()) for p in parts] if digest else [p.astype(np.int64) for p in parts]
                 yield out
 
