@@ -20,9 +20,10 @@ def by_template(page):
     return "\n".join(x for x in found if x)
 
 
-def test_query_matches_cutting(spark):
-    pages = {r["page_id"]: r for r in spark.read.parquet(f"{compare.SF}/pages.parquet").collect()}
-    rows = queries.op9_html_extraction(spark, compare.SF).collect()
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_matches_cutting(spark, sf):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op9_html_extraction(spark, sf).collect()
     assert len(rows) == len(pages)
     for r in rows:
         assert r["text"] == by_template(pages[r["page_id"]]["html"]) and r["url"] == pages[r["page_id"]]["url"] and r["n_chars"] == len(r["text"])

@@ -1,3 +1,5 @@
+import time
+
 from tidemark.llm import html
 
 
@@ -16,3 +18,36 @@ def test_training_reads_to_the_end_of_a_page():
     assert list(html.spread(5)) == [0, 1, 2, 3, 4]
     at = html.spread(1000)
     assert len(at) == html.TRAIN_BLOCKS and at[0] == 0 and at[-1] == 999 and len(set(at)) == len(at)
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    assert texts("<p data-x=it's>First.</p><p>It's second.</p>") == ["First.", "It's second."]
+    assert texts("<p title=\"a > b\" class='c>d' id = \"e\">x</p><p \"y>z\">w</p>") == ["x", 'z">w']
+    assert texts("<p>a</p><p title=\"never closed>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><p class='x") == ["a"]
+
+
+def test_deep_pages_take_room_and_time_in_proportion():
+    def took(n):
+        began = time.process_time()
+        page = html.blocks("<div class='a b'>a</i></p>" * n)
+        x = html.vectors(page)
+        assert len(page) == n and x.shape[0] == n
+        return time.process_time() - began
+
+    took(1000)
+    assert took(50_000) < 60 and page_depth() == 50_000
+
+
+def page_depth():
+    node, n = html.blocks("<div>a" * 50_000)[-1].node, 0
+    while node.parent is not None:
+        node, n = node.parent, n + 1
+    return n
+
+
+def test_pages_share_nodes_until_there_are_many():
+    for k in range(60):
+        page = html.blocks("".join(f"<div class='c{k}x{i}'><p>t{i}</p></div>" for i in range(1000)))
+        assert [b.text for b in page] == [f"t{i}" for i in range(1000)] and page[7].path == f"div c{k}x7/p"
+    assert html.Node.made <= 53_000

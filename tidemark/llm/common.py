@@ -74,18 +74,29 @@ def few_of_many(spark: SparkSession):
     return setting(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0", f"{bloom}creationSideThreshold": "1t"})
 
 
-#: Rows of an Arrow batch that carries whole texts or pages: Spark's default of 10,000 may be hundreds of megabytes.
-TEXT_BATCH = 500
+#: Rows and bytes of an Arrow batch that carries whole texts or pages: Spark's default of 10,000 rows may be hundreds of megabytes.
+TEXT_BATCH, TEXT_BATCH_BYTES = 500, 16 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """df; its session hands rows to Python in small batches from now on (where none smaller are set)."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXT_BATCH:
-        conf.set(key, str(TEXT_BATCH))
+    """df; its session hands rows to Python in batches of few rows and bytes (where none smaller are set).
+
+    The settings last: df is run later, by whoever asked for it. They don't change results.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < in_bytes(conf.get(key)) <= most:
+            conf.set(key, str(most))
     return df
 
 
+def in_bytes(value: str) -> int:
+    """A number as Spark writes it, with b, kb, mb or gb after it or not."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", value.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}.get(unit, 40)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df has it (compared without case)."""
     taken = {c.lower() for c in df.columns}

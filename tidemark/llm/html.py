@@ -12,6 +12,7 @@ laid out anew in random layouts, so that other names for the same regions are kn
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -31,7 +32,8 @@ SHUT = frozenset("template svg head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes when it is the innermost open block.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A value is quoted only right after its equals sign; a quote that nothing closes ends with the tag.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -43,17 +45,81 @@ HIDDEN = 16
 TRAIN_PAGES, TRAIN_BLOCKS = 250, 120
 
 
+class Node:
+    """An open element with those around it. A node knows its parent only, so deep pages take no more room than long ones."""
+
+    __slots__ = ("parent", "step", "children", "trail", "leaf", "out", "inside")
+    made = 0
+
+    def __init__(self, parent: Node | None, step: str):
+        self.parent, self.step, self.children, self.trail, self.leaf = parent, step, {}, None, None
+        Node.made += 1
+        self.out, self.inside = (parent.out, parent.inside) if parent else (False, False)
+        if step:
+            tag, *names = step.split(" ")
+            self.out = self.out or tag in _OUT or bool({p for w in names for p in PARTS.findall(w)} & _OUT_NAMES)
+            self.inside = self.inside or tag in ("article", "main")
+
+    def below(self, step: str) -> Node:
+        found = self.children.get(step)
+        if found is None:
+            found = self.children[step] = Node(self, step)
+        return found
+
+    def vector(self) -> np.ndarray:
+        """Hashed tags and name parts of the path, each twice; the innermost ones also as such."""
+        if self.leaf is None:
+            open_, node = [], self
+            while node.trail is None:
+                if node.parent is None:
+                    node.trail = np.zeros(PATH_DIM, np.float32)
+                else:
+                    open_.append(node)
+                    node = node.parent
+            for node in reversed(open_):
+                node.trail = np.maximum(node.parent.trail, step_vectors(node.step)[0])
+            self.leaf = np.maximum(self.trail, step_vectors(self.step)[1]) if self.step else self.trail
+        return self.leaf
+
+
+_root: list[Node] = []
+
+
+def root() -> Node:
+    """The node around every page. Pages share nodes, until so many are made that the next page begins a tree of its own."""
+    if not _root or Node.made > 50_000:
+        Node.made = 0
+        _root[:] = [Node(None, "")]
+    return _root[0]
+
+
+def node_of(path: str) -> Node:
+    node = root()
+    for step in path.split("/") if path else []:
+        node = node.below(step)
+    return node
+
+
 @dataclass
 class Block:
-    path: str
+    node: Node
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self.node
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return "/".join(reversed(steps))
+
 
 def blocks(html: str) -> list[Block]:
     """The leaf blocks with text, in page order. White space is collapsed and references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Node]] = [("", root())]
+    opened: Counter = Counter()  # how often each tag is on the stack
     parts: list[str] = []
     link_depth = linked = 0
 
@@ -61,7 +127,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block("/".join(s for _, s in stack), text, min(linked, len(text))))
+            out.append(Block(stack[-1][1], text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -82,11 +148,12 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 close()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        link_depth = 0
-                        break
+                if opened[tag]:
+                    last = ""
+                    while last != tag:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                    link_depth = 0
             elif tag == "a":
                 link_depth = max(0, link_depth - 1)
         elif (tag in RAW or tag in SHUT) and not m[3].endswith("/"):
@@ -103,11 +170,12 @@ def blocks(html: str) -> list[Block]:
         elif tag in BLOCKS:
             close()
             shut = CLOSES.get(tag, {"p"})
-            while stack and stack[-1][0] in shut:
-                stack.pop()
+            while stack[-1][0] in shut:
+                opened[stack.pop()[0]] -= 1
             if tag not in VOID:
                 names = " ".join(a or b or c for a, b, c in NAMES.findall(m[3])).lower() if m[3] else ""
-                stack.append((tag, f"{tag} {names}" if names else tag))
+                stack.append((tag, stack[-1][1].below(f"{tag} {names}" if names else tag)))
+                opened[tag] += 1
         elif tag == "a":
             link_depth += 1
     close()
@@ -120,25 +188,22 @@ def _ends(tag: str) -> re.Pattern:
 
 
 @lru_cache(maxsize=65536)
-def path_vector(path: str) -> np.ndarray:
-    """Hashed tags and name parts of the path, each twice; the innermost ones also as such."""
-    v = np.zeros(PATH_DIM, np.float32)
-    steps = path.split("/") if path else []
-    for depth, step in enumerate(steps):
-        tag, *names = step.split(" ")
-        # names go by their letters: side-bar and sidebar_2 share parts
-        for f in {tag + "<", *(p + "." for w in names for p in PARTS.findall(w)), *("".join(PARTS.findall(w)) + "." for w in names)}:
-            for salt in ("a", "b"):
-                v[crc32((salt + f).encode()) % PATH_DIM] = 1
-            if depth == len(steps) - 1:
-                v[crc32(("leaf" + f).encode()) % PATH_DIM] = 1
-    return v
+def step_vectors(step: str) -> tuple[np.ndarray, np.ndarray]:
+    """What an element adds to the path vectors of all that it holds, and what to its own."""
+    own, leaf = np.zeros(PATH_DIM, np.float32), np.zeros(PATH_DIM, np.float32)
+    tag, *names = step.split(" ")
+    # names go by their letters: side-bar and sidebar_2 share parts
+    for f in {tag + "<", *(p + "." for w in names for p in PARTS.findall(w)), *("".join(PARTS.findall(w)) + "." for w in names)}:
+        for salt in ("a", "b"):
+            own[crc32((salt + f).encode()) % PATH_DIM] = 1
+        leaf[crc32(("leaf" + f).encode()) % PATH_DIM] = 1
+    return own, leaf
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), DIM), np.float32)
     for i, b in enumerate(page):
-        x[i, :PATH_DIM] = path_vector(b.path)
+        x[i, :PATH_DIM] = b.node.vector()
         words = b.text.lower().encode("utf-8", "surrogatepass").split()
         h = np.fromiter(map(crc32, words), np.uint32, len(words)) % WORD_DIM
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(np.bincount(h, minlength=WORD_DIM) / len(words))
@@ -260,14 +325,7 @@ _OUT_NAMES = frozenset(p for r in AROUND for p in PARTS.findall(r.partition(" ")
 
 def by_structure(b: Block) -> bool:
     """The label that a page's own structure gives: inside article or main, under nothing that stands around."""
-    inside = False
-    for step in b.path.split("/"):
-        tag, *names = step.split(" ")
-        parts = {p for w in names for p in PARTS.findall(w)}
-        if tag in _OUT or parts & _OUT_NAMES:
-            return False
-        inside |= tag in ("article", "main")
-    return inside
+    return b.node.inside and not b.node.out
 
 
 def laid_out(text: list[Block], other: list[Block], r: np.random.Generator) -> tuple[list[Block], list[bool]]:
@@ -280,7 +338,7 @@ def laid_out(text: list[Block], other: list[Block], r: np.random.Generator) -> t
 
     def put(rows, label):
         for path, b in rows:
-            out.append(Block(path, b.text, b.linked))
+            out.append(Block(node_of(path), b.text, b.linked))
             labels.append(label)
 
     for _ in range(r.integers(1, 4)):
