@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import fresh_name, text_batches
 from .pieces import PieceTable, by_text, code_points, in_groups, places
 
 #: Classes: letter, number, lone space before something, other white space before something, white space
@@ -228,7 +228,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out += [(ids.astype(np.int32), coder.offsets(ids)) for ids in coder.encode(texts[a:b])]
         return pd.DataFrame(out, columns=["ids", "offsets"])
 
-    return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
+    key, said = F.col(f"`{id_col}`"), fresh_name(docs, "said")
+    return text_batches(docs).select(key, of(F.col(f"`{text_col}`")).alias(said)).select(key, f"{said}.*")
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
@@ -258,4 +259,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 out.append((len(ids), sha256(listed).hexdigest(), sha256(decoded).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_batches(docs).select(F.col(f"`{id_col}`").alias(id_col), of(F.col(f"`{text_col}`")).alias("_e")).select(F.col(f"`{id_col}`"), "_e.*")
+    key, said = F.col(f"`{id_col}`"), fresh_name(docs, "said")
+    return text_batches(docs).select(key, of(F.col(f"`{text_col}`")).alias(said)).select(key, f"{said}.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import fresh_name, text_batches
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is no text of the page. Without an end those of RAW reach to the end of the page; those of SHUT are ordinary tags then.
@@ -433,4 +433,5 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
         flush()
         return pd.DataFrame(out, columns=["text", "n_chars", "n_blocks", "n_kept"])
 
-    return text_batches(pages).select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias(url_col), of(F.col(f"`{html_col}`")).alias("_x")).select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), "_x.*")
+    kept, said = [F.col(f"`{id_col}`"), F.col(f"`{url_col}`")], fresh_name(pages, "said")
+    return text_batches(pages).select(*kept, of(F.col(f"`{html_col}`")).alias(said)).select(*kept, f"{said}.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import text_batches
+from .common import fresh_name, text_batches
 
 DIM = 4096
 ORDERS = (1, 2, 3)
@@ -34,7 +34,8 @@ def codewords(classes: int) -> np.ndarray:
 
 
 def vector(text: str) -> np.ndarray:
-    return linear.unit(linear.char_ngrams((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), ORDERS, DIM))
+    data = (" " + text.lower() + " ").encode("utf-8", "surrogatepass")
+    return linear.unit(linear.ngrams(np.frombuffer(data, np.uint8), ORDERS, DIM))
 
 
 @dataclass
@@ -61,10 +62,12 @@ class LanguageModel:
 def train(labelled: DataFrame, key_col: str, text_col: str, lang_col: str, rows_per_language: int = ROWS_PER_LANGUAGE, ambiguous_below: float = 0.1) -> LanguageModel:
     """A model from labelled rows with text and language; about rows_per_language rows of each are read.
 
-    Each row gives its whole text and a passage of 12 words, so that short texts are known too.
+    Each row gives its whole text and a passage of 12 words, so that short texts are known too. Of rows with
+    one key and language the smallest text is read.
     """
     rows = text_batches(labelled).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    picked = linear.bounded(rows, F.col("lang"), F.col("key"), rows_per_language).select("lang", "text")
+    picked = linear.bounded(rows, F.col("lang"), F.col("key"), rows_per_language)
+    picked = picked.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
 
     def vectors(batches):
         for pdf in batches:
@@ -77,23 +80,25 @@ def train(labelled: DataFrame, key_col: str, text_col: str, lang_col: str, rows_
             if out:
                 yield pd.DataFrame(out, columns=["lang", "at", "v"])
 
-    found = picked.mapInPandas(vectors, "lang string, at array<int>, v array<float>").toArrow().to_pandas()
-    languages = sorted(found["lang"].unique())
+    found = picked.mapInPandas(vectors, "lang string, at array<int>, v array<float>").toArrow()
+    names = found["lang"].to_pylist()
+    languages = sorted(set(names))
     code = codewords(len(languages))
     if not languages:
         return LanguageModel([], code, np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), ambiguous_below)
     x = linear.dense(found, DIM)
-    of = found["lang"].map({c: i for i, c in enumerate(languages)}).to_numpy()
+    of = np.array([languages.index(c) for c in names])
     size = np.bincount(of, minlength=len(languages))
     w, b = linear.fit(x, code[of], weight=1.0 / size[of])
     return LanguageModel(languages, code, w, b, ambiguous_below)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep's columns and lang_pred, score (0 to 1), ambiguous of every row of docs, from the whole text.
 
     Null text, or text without a letter: und, 0, ambiguous. Very long texts are read in chunks. Only
-    text_col is read beside keep; repeated rows each get a row; an empty table gives an empty result.
+    text_col is read beside keep, whose names may be any (those of the three new columns then come twice);
+    repeated rows each get a row; an empty table gives an empty result.
     With no labelled row to learn from, every prediction is und.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM floats at most
@@ -102,7 +107,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list, text_col: str = "
     def of(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score", "ambiguous"])
 
-    return text_batches(docs).select(*keep, of(F.col(text_col)).alias("_p")).select(*[c for c in docs.select(*keep).columns], "_p.*")
+    kept, said = [F.col(f"`{c}`") for c in keep], fresh_name(docs, "said")
+    return text_batches(docs).select(*kept, of(F.col(f"`{text_col}`")).alias(said)).select(*kept, f"{said}.*")
 
 
 def held_out(key: Column) -> Column:
@@ -115,7 +121,11 @@ def train_on_documents(docs: DataFrame) -> LanguageModel:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of docs whose language is known and not ambiguous, with docs' columns."""
+    """The rows of docs whose language is known and not ambiguous, with docs' columns, whatever their names.
+
+    Null texts and those without a letter go; very long texts are read whole; repeated rows share their
+    fate; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -5,19 +5,19 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
 
 
-def char_ngrams(data: bytes, orders: tuple[int, ...], dim: int) -> np.ndarray:
-    """Counts of hashed byte n-grams of the whole text, in chunks of bounded memory."""
+def ngrams(units: np.ndarray, orders: tuple[int, ...], dim: int) -> np.ndarray:
+    """Counts of hashed n-grams of a whole text's bytes or code points, in chunks of bounded memory."""
     counts = np.zeros(dim, np.float64)
     most = max(orders)
-    for i in range(0, max(len(data), 1), CHUNK):
-        b = np.frombuffer(data[i : i + CHUNK + most - 1], np.uint8).astype(np.uint32)
+    for i in range(0, max(len(units), 1), CHUNK):
+        b = units[i : i + CHUNK + most - 1].astype(np.uint32)
         for n in orders:
             m = min(len(b) - n + 1, CHUNK)
             if m <= 0:
@@ -71,11 +71,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, l2:
 
 
 def bounded(rows: DataFrame, by: Column, key: Column, most: int) -> DataFrame:
-    """At most about `most` rows of each value of by, chosen by the hash of key; columns of rows and take.
+    """The rows of about `most` keys at most of each value of by, chosen by the hash of key.
 
     The counts of the values of by go to the driver, so there must be few of them.
     """
-    sizes = {r["k"]: r["n"] for r in rows.groupBy(by.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["k"]: r["n"] for r in rows.groupBy(by.alias("k")).agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not sizes:
         return rows.where(F.lit(False))
     every = F.lit(1)
@@ -89,8 +89,11 @@ def sparse(vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), vector[at].astype(np.float32)
 
 
-def dense(rows: pd.DataFrame, dim: int) -> np.ndarray:
-    x = np.zeros((len(rows), dim), np.float32)
-    for i, (at, v) in enumerate(zip(rows["at"], rows["v"])):
-        x[i, np.asarray(at, np.int64)] = v
+def dense(vectors: pa.Table, dim: int) -> np.ndarray:
+    """The rows (at, v) of an Arrow table as a matrix, filled row by row."""
+    x, i = np.zeros((vectors.num_rows, dim), np.float32), 0
+    for batch in vectors.select(["at", "v"]).to_batches():
+        for at, v in zip(batch.column("at"), batch.column("v")):
+            x[i, at.values.to_numpy()] = v.values.to_numpy()
+            i += 1
     return x
