@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import compare
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from tidemark.llm import quality, queries
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    times = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(3)}
     lines, seen, dup = (text or "").split("\n"), set(), 0
     for line in lines:
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -23,7 +25,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def test_base_matches_brute_force(spark):
-    docs = spark.read.parquet(f"{compare.SF}/documents.parquet").where("n_chars < 9000")
+    docs = spark.read.parquet(f"{compare.SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = [r for r in queries.op2_quality_rules(spark, compare.SF).collect() if r["doc_id"] in texts]
     assert len(got) == len(texts)
@@ -60,4 +62,31 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == 0
     assert quality.train(no_docs, labels) is None and quality.train(docs, labels.where("false")) is None
     assert quality.assess(no_docs, model, ["doc_id"]).count() == 0
-    assert quality.keep_good(docs, None).count() == sum(not plain_statistics(r["text"])[-1] for r in docs.where("n_chars < 9000").collect()) + docs.where("n_chars >= 9000").count() - sum(quality.statistics(b := r["text"].encode(), 0, b.split())[-1] for r in docs.where("n_chars >= 9000").collect())
+    assert quality.keep_good(docs, None).count() == sum(not plain_statistics(r["text"])[-1] for r in docs.collect())
+
+
+def test_verdicts_match_plain_ngrams(spark):
+    """The model's probability from n-grams counted in dictionaries, over code points and not bytes."""
+    import math
+    import zlib
+
+    sf, mask, shift = "/root/testdata/sf0.01", 0xFFFFFFFF, 33 - quality.DIM.bit_length()
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    some = docs.where("n_chars between 300 and 2500").limit(40)
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    for r in quality.assess(some, model, ["doc_id"]).where("probability is not null").collect():
+        text = texts[r["doc_id"]]
+        words, points = [zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)], [ord(c) for c in text]
+        by_word = Counter((w * 0x9E3779B1 & mask) >> shift for w in words)
+        by_word.update(((((a * 0x85EBCA6B & mask) + b) & mask) * 0xC2B2AE35 & mask) >> shift for a, b in zip(words, words[1:]))
+        by_char = Counter()
+        for n in quality.ORDERS:
+            for i in range(len(points) - n + 1):
+                h = points[i] + n * 0x01000193
+                for k in range(1, n):
+                    h = (h * 0x9E3779B1 + points[i + k]) & mask
+                by_char[((h ^ h >> 15) * 0x85EBCA6B & mask) >> shift] += 1
+        z = model.bias + sum(math.sqrt(c / sum(by.values())) * float(model.weights[h + base]) for by, base in ((by_word, 0), (by_char, quality.DIM)) for h, c in by.items())
+        p = 1 / (1 + math.exp(-model.slope * z - model.offset))
+        assert math.isclose(p, r["probability"], rel_tol=1e-3, abs_tol=1e-6) and r["kept"] == (r["probability"] >= 0.5)

@@ -1,5 +1,5 @@
-"""Quality rules: text statistics with fixed limits, then a logistic regression on hashed word and byte
-n-grams, trained on labelled rows and calibrated to probabilities, scored in Arrow batches."""
+"""Quality rules: text statistics with fixed limits, then a logistic regression on hashed word and
+character n-grams, trained on labelled rows and calibrated to probabilities, scored in Arrow batches."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import linear
-from .common import text_batches
+from .common import fresh_name, text_batches
 
-DIM = 4096
+DIM = 8192
 ORDERS = (2, 3)
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Labelled rows of each class that training reads, about.
-ROWS_PER_CLASS = 1000
+ROWS_PER_CLASS = 2000
 #: Probability of good quality from which a text is kept.
 KEEP_FROM = 0.5
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -61,9 +61,10 @@ def statistics(data: bytes, chars: int, words: list[bytes]) -> tuple[int, int, i
     )
 
 
-def vector(data: bytes, words: list[bytes]) -> np.ndarray:
-    """Word n-grams, then byte n-grams, DIM dimensions each."""
-    return np.concatenate([linear.unit(linear.word_ngrams(words, DIM)), linear.unit(linear.char_ngrams(data, ORDERS, DIM))])
+def vector(text: str, words: list[bytes]) -> np.ndarray:
+    """Word n-grams, then n-grams of code points, DIM dimensions each."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([linear.unit(linear.word_ngrams(words, DIM)), linear.unit(linear.ngrams(points, ORDERS, DIM))])
 
 
 @dataclass
@@ -73,37 +74,39 @@ class QualityModel:
     slope: float
     offset: float
 
-    def probability(self, data: bytes, words: list[bytes]) -> float:
-        z = float(vector(data, words) @ self.weights) + self.bias
+    def probability(self, text: str, words: list[bytes]) -> float:
+        z = float(vector(text, words) @ self.weights) + self.bias
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> QualityModel | None:
     """A calibrated model from about rows_per_class labelled rows of each class; None unless both classes have rows.
 
-    A fifth of the rows, by crc32 of the id, is held back to fit the calibration.
+    A fifth of the rows, by crc32 of the id, is held back to fit the calibration. Ids with both labels
+    aren't used; of rows with one id the smallest text is.
     """
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).alias("y"))
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("most"))
+    marks = marks.where(F.col("y") == F.col("most")).select("key", "y")
     picked = linear.bounded(marks, F.col("y"), F.col("key"), rows_per_class)
     texts = text_batches(docs).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), "key")  # two classes of about rows_per_class rows
+    rows = texts.join(F.broadcast(picked), "key")  # two classes of about rows_per_class ids
+    rows = rows.groupBy("key", "y").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for pdf in batches:
             out = []
             for key, text, y in zip(pdf["key"], pdf["text"], pdf["y"]):
-                data = text.encode("utf-8", "surrogatepass")
-                words = data.split()
+                words = text.encode("utf-8", "surrogatepass").split()
                 if len(words) >= MIN_WORDS:  # shorter texts never reach the model
-                    out.append((crc32(str(key).encode()) % 5 == 0, int(y), *linear.sparse(vector(data, words))))
+                    out.append((crc32(str(key).encode()) % 5 == 0, int(y), *linear.sparse(vector(text, words))))
             if out:
                 yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
 
-    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toArrow().to_pandas()
-    if found["y"].nunique() < 2:
+    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toArrow()
+    of, held = found["y"].to_numpy(), found["held"].to_numpy().astype(bool)
+    if len(set(of.tolist())) < 2:
         return None
-    x, y = linear.dense(found, 2 * DIM), np.where(found["y"] == 1, 1, -1).astype(np.float32)
-    held = found["held"].to_numpy(bool).copy()
+    x, y = linear.dense(found, 2 * DIM), np.where(of == 1, 1, -1).astype(np.float32)
     del found
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
@@ -131,16 +134,21 @@ def assess(docs: DataFrame, model: QualityModel | None, keep: list[str], text_co
             data = (t or "").encode("utf-8", "surrogatepass")
             words = data.split()
             base = statistics(data, len(t or ""), words)
-            p = None if base[-1] or shared.value is None else shared.value.probability(data, words)
+            p = None if base[-1] or shared.value is None else shared.value.probability(t, words)
             out.append((*base, p, not base[-1] and (p is None or p >= keep_from)))
         names = [c.split()[0] for c in f"{BASE}, probability double, kept boolean".split(", ")]
         return pd.DataFrame(out, columns=names).astype({"probability": "float64"})
 
-    return text_batches(docs).select(*[F.col(f"`{c}`") for c in keep], of(F.col(f"`{text_col}`")).alias("_q")).select(*[F.col(f"`{c}`") for c in keep], "_q.*")
+    kept, said = [F.col(f"`{c}`") for c in keep], fresh_name(docs, "said")
+    return text_batches(docs).select(*kept, of(F.col(f"`{text_col}`")).alias(said)).select(*kept, f"{said}.*")
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs that assess keeps, with docs' columns."""
+    """The rows of docs that assess keeps, with docs' columns, whatever their names.
+
+    Null, empty and short texts fail the base rules and go; very long texts are read whole; repeated rows
+    share their fate; an empty table gives an empty result. Without a model the base rules decide alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -150,7 +158,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
             words = data.split()
             if statistics(data, len(t or ""), words)[-1]:
                 return False
-            return shared.value is None or shared.value.probability(data, words) >= keep_from
+            return shared.value is None or shared.value.probability(t, words) >= keep_from
 
         return pd.Series([one(t) for t in text], dtype="bool")
 
