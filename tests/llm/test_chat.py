@@ -54,3 +54,16 @@ def test_loss_hash_is_of_all_assistant_text(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"é{i}") for i in range(50)]
     found = read_back(chat.format_conversations(turns_of(spark, rows)))[1]
     assert hashlib.sha256(found["l"].encode()).hexdigest() == hashlib.sha256("".join(f"é{i}" for i in range(1, 50, 2)).encode()).hexdigest()
+
+
+def test_parts_are_read_back(spark):
+    rows = [(1, 0, "user", [("text", "see <|part:image|> and", None, None), ("image", None, "i.png", 2), ("image", None, "j.png", 1), ("text", "</s>", None, None)]), (1, 1, "assistant", [("text", "ok", None, None)]), (1, 2, "user", [("audio|>x", None, "a.wav", 3), ("text", "", None, None)]), (2, 0, "user", None)]
+    df = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    out = chat.format_conversations(df, parts=F.col("parts"))
+    got = {r["conv_id"]: [(t["role"], [tuple(p) for p in t["parts"]]) for t in r["t"]] for r in out.select("conv_id", chat.read_parts(F.col("formatted"), F.col("attachments")).alias("t")).collect()}
+    assert got == {1: [("user", [("text", "see <|part:image|> and", None), ("image", "", "i.png"), ("image", "", "j.png"), ("text", "</s>", None)]), ("assistant", [("text", "ok", None)]), ("user", [("audio|>x", "", "a.wav")])], 2: [("user", [])]}
+
+
+def test_ties_go_by_the_text_itself(spark):
+    found = read_back(chat.format_conversations(turns_of(spark, [(1, 0, "user", "<|"), (1, 0, "user", "<a"), (1, 0, "user", "<z")])))[1]
+    assert [x["text"] for x in found["t"]] == ["<a", "<z", "<|"]
