@@ -9,7 +9,8 @@ SHARE or more is linked, directly or through others, and no other.
 
 Groups of copies don't make all their pairs. Of the sets that share a first shingle, each is compared with
 one of them, drawn for that shingle; then only sets of different components are compared, where sizes,
-places and the parity of the sets' hashed shingles leave it open whether they can reach SHARE. The order
+places and the parity of the sets' hashed shingles leave it open whether they can reach SHARE. Whole
+shingle sets travel only for pairs that a parity as fine as their size leaves open too. The order
 of shingles is that of their hashes, except that those a sample of the documents finds often come last.
 """
 
@@ -33,8 +34,10 @@ from .simhash import SEED, components
 SHARE, WORDS = (4, 5), 5
 #: Documents, about, whose shingles are counted, the least count of an often found one, and the most such.
 SAMPLE, OFTEN, MOST = 2000, 5, 20_000
-#: Bits of a set's parity: of two sets no more bits differ than shingles.
-PARITY = 1024
+#: Bits of a set's parity, of which no more differ between two sets than shingles do; a fine one has so many for each shingle.
+PARITY, FINE = 1024, 4
+#: Draws of the set that others are compared with: shingles deal them out, so a set meets so many of a group, about.
+DRAWS = 8
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -57,12 +60,16 @@ def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])[: len(found) - -(-a * len(found) // b) + 1]
 
 
-def parity(found: np.ndarray) -> np.ndarray:
-    """For each of PARITY classes of hashes, whether an odd number of the shingles falls there, in 64-bit words."""
-    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+def parity(found: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """For each of so many classes of hashes, whether an odd number of the shingles falls there, in 64-bit words."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def fine_bits(size: int) -> int:
+    return max(PARITY, 1 << (FINE * size - 1).bit_length())
+
+
 def differing(a: Column, b: Column) -> Column:
     """How many bits of two parities differ."""
     out = F.bit_count(a[0].bitwiseXOR(b[0]))
@@ -71,6 +78,13 @@ def differing(a: Column, b: Column) -> Column:
     return out
 
 
+def finely_differing(a: Column, b: Column) -> Column:
+    """The same of two fine parities; one may have twice as many bits, and then the sum of its halves is taken."""
+    n = F.least(F.size(a), F.size(b))
+    half = lambda x: F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    return F.aggregate(F.zip_with(half(a), half(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, c: k + c)
+
+
 def often_found(rows: DataFrame, at: str, text_col: str, words: int) -> np.ndarray:
     """The shingles that many documents of a sample have, at most MOST."""
 
@@ -114,10 +128,11 @@ def reachable(placed: bool) -> Column:
     return sizes & (left * (n + d) >= (F.col("size_a") + F.col("size_b")) * n)
 
 
-def even_enough() -> Column:
-    """Whether the parities leave two sets a similarity of SHARE: that many shingles may differ."""
+def even_enough(bits: Column | None = None) -> Column:
+    """Whether the parities, of which so many bits differ, leave two sets a similarity of SHARE: that many shingles may differ."""
     n, d = SHARE
-    return differing(F.col("parity_a"), F.col("parity_b")) * (n + d) <= (F.col("size_a") + F.col("size_b")) * (d - n)
+    bits = differing(F.col("parity_a"), F.col("parity_b")) if bits is None else bits
+    return bits * (n + d) <= (F.col("size_a") + F.col("size_b")) * (d - n)
 
 
 @dataclass
@@ -130,34 +145,37 @@ class Texts:
     words: int
 
     def of(self, members: DataFrame) -> DataFrame:
-        """set, all (its shingles) for members: set, at, pairs (how many, one at least)."""
-
+        """set, all (its shingles), fine (their parity) for members: set, at, pairs (how many, one at least)."""
         words = self.words
 
-        @F.pandas_udf("array<long>")
-        def whole(text: pd.Series) -> pd.Series:
-            return pd.Series([shingles(t, words).view(np.int64) for t in text])
+        @F.pandas_udf("struct<all:array<bigint>,fine:array<bigint>>")
+        def whole(text: pd.Series) -> pd.DataFrame:
+            found = [shingles(t, words) for t in text]
+            return pd.DataFrame({"all": [s.view(np.int64) for s in found], "fine": [parity(s, fine_bits(len(s))) for s in found]})
 
         place = F.col(f"`{self.at}`")
         with few_of_many(self.rows.sparkSession):
             spots = written(members.select(F.xxhash64("at").alias("spot"), "at", "set", "pairs"), "near-members")
             met = self.rows.select(F.xxhash64(place).alias("spot"), place.alias("place"), F.col(f"`{self.text_col}`").alias("text")).join(spots.where("pairs > 0").hint("merge"), "spot").where(F.col("place") == F.col("at"))
-            return written(text_batches(met).select("set", whole(F.col("text")).alias("all")), "near-full")
+            return written(text_batches(met).select("set", whole(F.col("text")).alias("_w")).select("set", "_w.*"), "near-full")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: Texts, label: str) -> DataFrame:
     """Links a > b: the pairs set_a, set_b whose sets have a similarity of SHARE or more, on all their shingles."""
     n, d = SHARE
     short = sets.select("set", "size", "parity")
-    pairs = pairs.join(side(short, "a"), "set_a").join(side(short, "b"), "set_b").where(reachable(False) & even_enough()).select("set_a", "set_b")
-    pairs = written(pairs, label)
+    pairs = pairs.join(side(short, "a"), "set_a").join(side(short, "b"), "set_b").where(reachable(False) & even_enough())
+    pairs = written(pairs.select("set_a", "set_b", "size_a", "size_b"), label)
     members = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("pairs"))
     full = texts.of(members.join(sets.select("set", "at"), "set"))
+    fine, whole = full.select("set", "fine"), full.select("set", "all")
+    close = pairs.join(side(fine, "a"), "set_a").join(side(fine, "b"), "set_b").where(even_enough(finely_differing(F.col("fine_a"), F.col("fine_b"))))
+    close = written(close.select("set_a", "set_b"), f"{label}-close")
     both, either = F.size(F.array_intersect("all_a", "all_b")), F.size("all_a") + F.size("all_b")
-    similar = pairs.join(side(full, "a"), "set_a").join(side(full, "b"), "set_b").where(both * (n + d) >= either * n)  # both / (either - both) >= n / d
+    similar = close.join(side(whole, "a"), "set_a").join(side(whole, "b"), "set_b").where(both * (n + d) >= either * n)  # both / (either - both) >= n / d
     found = similar.select(F.greatest("set_a", "set_b").alias("a"), F.least("set_a", "set_b").alias("b")).checkpoint()
-    discard(pairs)
-    discard(full)
+    for done in (pairs, full, close):
+        discard(done)
     return found
 
 
@@ -173,7 +191,7 @@ def grid_pairs(sets: DataFrame) -> DataFrame:
 def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     """Links a > b of distinct sets that join all sets of similarity SHARE or more, directly or through others."""
     heads = sets.select("set", "size", F.posexplode("first").alias("place", "shingle"))
-    drawn = F.struct(F.xxhash64("set", "shingle").alias("draw"), "set", "size", "place")
+    drawn = F.struct(F.xxhash64("set", F.pmod("shingle", F.lit(DRAWS))).alias("draw"), "set", "size", "place")
     buckets = heads.groupBy("shingle").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(heads.join(buckets.hint("merge"), "shingle").where("set <> one.set"), "near-shared")
     to_one = shared.select(F.col("set").alias("set_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
