@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus as C
+from tidemark.operators import noise as N
 from tidemark.operators import matching as M
 from tidemark.operators import relational as R
 from tidemark.operators.ranges import number_in_groups
@@ -45,14 +45,32 @@ def test_numbers_in_groups(spark):
 
 
 def test_noise(spark):
-    asked = [(i, f"Show all orders with total above {i} from the customer number {i}") for i in range(200)]
+    asked = [(i, f"Show all orders with total above {i} from the customer number {i}") for i in range(400)]
     df = spark.createDataFrame([*asked, (900, None), (901, "")], "id int, question string")
-    rows = C.augment(df, "id", "question", seed=3).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, C.augment(df.repartition(7), "id", "question", seed=3).collect()))
+    rows = N.augment(df, "id", "question", seed=3).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, N.augment(df.repartition(7), "id", "question", seed=3).collect()))
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, N.augment(df, "id", "question", seed=4).collect()))
     by = {}
     for r in rows:
         by.setdefault(r["id"], []).append(r["question"].lower())
-    assert all(len(v) == len(set(v)) <= 3 and dict(asked)[i].lower() not in v for i, v in by.items()) and len(by) > 150
+    assert all(len(v) == len(set(v)) <= 3 and dict(asked)[i].lower() not in v for i, v in by.items()) and len(by) > 350
+    given = [r["question"] for r in rows if r["question"].startswith(("give me ", "tell me "))]
+    assert given and not any("show " in q for q in given)  # what the new beginning stands for is gone
+
+
+def test_letters_are_edited_as_named(spark):
+    draws = N.Draws(F.col("id"))
+    df = spark.range(4000).withColumn("word", F.lit("Water"))
+    got = {r["w"] for r in df.select(N.edited(F.col("word"), draws, F.lit(0)).alias("w")).collect()}
+    word, near = "Water", {"W": "QE", "a": "sq", "t": "ry", "e": "wr"}
+    want = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(4)} | {word[:i] + word[i + 1 :] for i in range(4)} | {word[:i] + word[i] + word[i:] for i in range(4)}
+    assert got == want | {word[:i] + c + word[i + 1 :] for i in range(4) for c in near[word[i]]}
+
+
+def test_at_most_two_words_without_known_misspellings_are_edited(spark):
+    df = spark.range(500).withColumn("q", F.lit(" ".join(["lantern"] * 30)))
+    got = [r["q"].lower().split() for r in df.select(N.misspelt(F.col("q"), N.Draws(F.col("id"))).alias("q")).collect()]
+    assert {sum(w not in ("lantern", "plz", "pls", "plese", "can", "u", "i", "want", "gimme") for w in ws) for ws in got} == {0, 1, 2}
 
 
 def test_containment(spark):
@@ -61,3 +79,13 @@ def test_containment(spark):
     docs = spark.createDataFrame([("start " + words + " end",), (None,), ("",)], "text string")
     got = {r["item_id"]: r["contained"] for r in M.contained_in(items, "item_id", "text", docs, "text").collect()}
     assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_containment_matches_plain_search(spark):
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(r.choices("abc", k=r.randint(0, 30))) for _ in range(60)]
+    items = [" ".join(r.choices("abc", k=r.randint(1, 14))) for _ in range(150)] + [t[3:-2] for t in texts if len(t) > 12]
+    rows = M.contained_in(spark.createDataFrame(list(enumerate(items)), "item_id int, text string"), "item_id", "text", spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    assert {r["item_id"]: r["contained"] for r in rows} == {i: any(x in t for t in texts) for i, x in enumerate(items)}

@@ -106,13 +106,16 @@ NEAR_KEYS = {
 }
 DROPPABLE = ("the", "a", "an", "is", "are", "all", "from", "in", "of")
 FILLERS = ("plz", "pls", "plese", "can u", "i want", "gimme")
-#: Grammar rewrites: what is replaced by what; then prefixes and suffixes around the question in lower case.
+#: Grammar rewrites: what is replaced by what; then what stands before and after the question in lower case, and what is taken out of it.
 REWRITES = (
     ("Show all ", "show me the "), ("List all ", "list me all "), ("How many ", "how much "), ("What is the ", "whats "),
     ("What is the ", "wat is "), ("Find all ", "find me "), ("Display ", "show me "), (" above ", " more then "),
     (" below ", " less then "), (" greater than ", " more then "), (" less than ", " less then "),
     (" more than ", " more then "), (" with ", " having "), (" with ", " wid "), ("earning", "who earn"),
 )
-AFFIXES = (("pls ", ""), ("i want ", ""), ("", " plz"), ("give me ", ""), ("tell me ", ""), ("", ""))
+AFFIXES = (
+    ("pls ", "", ()), ("i want ", "", ()), ("", " plz", ()), ("give me ", "", ("show ", "list ")),
+    ("tell me ", "", ("show ", "list ")), ("", "", ()),
+)
 
 ERRORS = (("no such table", "table"), ("no such column", "column"), ("syntax error", "syntax"), ("no results", "empty"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,79 +87,6 @@ def reject(rows: DataFrame, key: str, errors: DataFrame) -> DataFrame:
     return rows.join(errors.select(key).distinct(), key, "left_anti")
 
 
-def _typo(word: str, r: random.Random) -> str:
-    if len(word) <= 2:
-        return word
-    i, way = r.randint(0, len(word) - 2), r.choice(("swap", "drop", "double", "wrong"))
-    if way == "swap":
-        return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-    if way == "drop":
-        return word[:i] + word[i + 1 :]
-    if way == "double":
-        return word[: i + 1] + word[i:]
-    near = W.NEAR_KEYS.get(word[i].lower())
-    if not near:
-        return word
-    key = r.choice(near)
-    return word[:i] + (key.upper() if word[i].isupper() else key) + word[i + 1 :]
-
-
-def noisy(question: str, r: random.Random) -> str:
-    """One noisy variant: three in five times misspellings, else a grammar rewrite."""
-    if r.random() >= 0.6:
-        n = r.randrange(len(W.REWRITES) + len(W.AFFIXES))
-        if n < len(W.REWRITES):
-            return question.replace(*W.REWRITES[n])
-        before, after = W.AFFIXES[n - len(W.REWRITES)]
-        return before + question.lower() + after
-    out, wrong = [], 0
-    for word in question.split():
-        bare = word.strip(".,?!;:'\"")
-        if bare in W.MISSPELLINGS and r.random() < 0.4:
-            out.append(word.replace(bare, r.choice(W.MISSPELLINGS[bare])))
-            wrong += 1
-        elif len(bare) > 3 and wrong < 2 and r.random() < 0.15:
-            out.append(_typo(word, r))
-            wrong += 1
-        else:
-            out.append(word)
-    if r.random() < 0.3:
-        way = r.choice(("drop", "lower", "filler", "then"))
-        at = [i for i, w in enumerate(out) if w.lower() in W.DROPPABLE]
-        if way == "drop" and len(out) > 3 and at:
-            del out[r.choice(at)]
-        elif way == "lower":
-            out = [w.lower() for w in out]
-        elif way == "filler":
-            out.insert(0, r.choice(W.FILLERS))
-        elif way == "then":
-            out = [w.replace("than", "then").replace("Than", "Then") for w in out]
-    return " ".join(out)
-
-
-def augment(rows: DataFrame, key: str, question: str, seed: int = 0) -> DataFrame:
-    """key, variant, question: two or three noisy variants of each row's question.
-
-    A variant is left out if it equals, without case, the question or an earlier variant. Each row's
-    draws come from the seed and its key alone.
-    """
-
-    @F.pandas_udf("array<string>")
-    def variants(keys: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for k, text in zip(keys, texts):
-            r, seen, got = random.Random(f"{seed}|{k}"), {(text or "").lower()}, []
-            for _ in range(r.choice((2, 3)) if text else 0):
-                v = noisy(text, r)
-                if v.lower() not in seen:
-                    seen.add(v.lower())
-                    got.append(v)
-            out.append(got)
-        return pd.Series(out, dtype=object)
-
-    return rows.select(key, F.posexplode(variants(F.col(key).cast("string"), F.col(question))).alias("variant", question))
-
-
 TABLE = r"(?i)\b(?:from|join)\s+([a-z_][a-z0-9_]*)"
 COLUMN = r"(?i)\b([a-z_]+)\.([a-z_]+)\b"
 
@@ -169,16 +94,16 @@ COLUMN = r"(?i)\b([a-z_]+)\.([a-z_]+)\b"
 def reference_errors(rows: DataFrame, key: str, query: str, catalog: DataFrame) -> DataFrame:
     """key, error for each table or table.column of a query that the catalog (table_name, column_name) lacks.
 
-    Pairs whose first part is no table are aliases and pass. The catalog is a few rows per table.
+    Pairs whose first part is no table are aliases and pass. Whether the catalog is broadcast is left to adaptive execution.
     """
     tables = catalog.select("table_name").distinct()
     used = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(TABLE), F.lit(1)))).alias("table_name"))
-    unknown = used.join(F.broadcast(tables), "table_name", "left_anti").select(key, F.concat(F.lit("Unknown table '"), "table_name", F.lit("' in query")).alias("error"))
+    unknown = used.join(tables, "table_name", "left_anti").select(key, F.concat(F.lit("Unknown table '"), "table_name", F.lit("' in query")).alias("error"))
     text = F.lower(query)
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(COLUMN), F.lit(1)).alias("t"), F.regexp_extract_all(text, F.lit(COLUMN), F.lit(2)).alias("c"))
     flat = rows.select(key, F.explode(F.array_distinct(pairs)).alias("_p")).select(key, F.col("_p.t").alias("table_name"), F.col("_p.c").alias("column_name"))
-    real = flat.join(F.broadcast(tables), "table_name", "left_semi")
-    missing = real.join(F.broadcast(catalog), ["table_name", "column_name"], "left_anti")
+    real = flat.join(tables, "table_name", "left_semi")
+    missing = real.join(catalog, ["table_name", "column_name"], "left_anti")
     return unknown.unionByName(missing.select(key, F.concat(F.lit("Unknown column '"), "table_name", F.lit("."), "column_name", F.lit("'")).alias("error")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, collapse
+from ..sources.shared import written
 
 #: Sides of up to so many rows are broadcast.
 BROADCAST_ROWS = 100_000
@@ -109,28 +110,35 @@ def terms(text: Column, stop: Sequence[str] = ()) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def tfidf(items: DataFrame, key: str, text: str, idf: DataFrame | None = None, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """key, term, weight with vectors of length one, and term, idf: smooth idf of these items, or the one given."""
-    flat = items.select(key, F.explode(terms(F.col(text), stop)).alias("term"))
-    if idf is not None:
-        flat = flat.join(idf.select("term"), "term", "left_semi")  # other terms count for nothing, so they aren't shuffled
-    tf = flat.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if idf is None:
-        n = items.agg(F.count(F.lit(1)).alias("n"))
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = df.join(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
-    raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), idf
+def idf_of(tf: DataFrame, items: DataFrame) -> DataFrame:
+    """term, idf: smooth idf of counted terms of items."""
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
 
 
 def tfidf_link(questions: DataFrame, key: str, text: str, targets: DataFrame, name: str, target_text: str, top: int = 3, stop: Sequence[str] = ()) -> DataFrame:
-    """key, target, score, rank: the targets with the highest cosine to each question (those above zero)."""
-    right, idf = tfidf(targets, name, target_text, stop=stop)
-    left, _ = tfidf(questions, key, text, idf, stop)
-    score = left.join(right.withColumnRenamed("weight", "w2"), "term").groupBy(key, name).agg(F.round(F.sum(F.col("weight") * F.col("w2")), 6).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), name)
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumnRenamed(name, "target")
+    """key, target, score, rank: the targets with the highest cosine to each question (those above zero).
+
+    Terms are counted once on either side. Targets with up to BROADCAST_ROWS terms in all are broadcast, so
+    a question's terms are dropped or weighted where they are read; sums for a question and a target are
+    added up before they are shuffled, however frequent a term is.
+    """
+    tf = written(targets.select(name, F.explode(terms(F.col(target_text), stop)).alias("term")).groupBy(name, "term").agg(F.count(F.lit(1)).alias("tf")), "link-targets")
+    small = tf.count() <= BROADCAST_ROWS
+    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    idf = idf_of(tf, targets)
+    right = tf.join(sized(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    lengths = right.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    right = written(right.join(lengths, name).select("term", name, (F.col("w") / F.col("length")).alias("weight"), "idf"), "link-weights")
+    known = right.select("term", "idf").distinct()
+    flat = questions.select(F.col(key).alias("_key"), F.explode(terms(F.col(text), stop)).alias("term")).join(sized(known), "term")
+    left = written(flat.groupBy("_key", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w")), "link-questions")
+    norms = left.groupBy("_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    sums = left.join(sized(right.select("term", name, "weight")), "term").groupBy("_key", name).agg(F.sum(F.col("w") * F.col("weight")).alias("sum"))
+    score = sums.join(norms, "_key").select(F.col("_key").alias(key), F.col(name).alias("target"), F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "target")
+    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(key, "target", "score", "rank")
 
 
 def match_columns(tokens: DataFrame, token: str, columns: Sequence[str]) -> DataFrame:
@@ -152,20 +160,33 @@ def match_columns(tokens: DataFrame, token: str, columns: Sequence[str]) -> Data
 def contained_in(items: DataFrame, key: str, text: str, documents: DataFrame, doc_text: str, width: int = 8) -> DataFrame:
     """key, contained: whether any document contains the item's text.
 
-    A document can only contain an item if it has the item's second to ninth word as a run; runs are
-    matched by hash, then the texts are compared. Items of fewer than ten words are compared directly.
+    A document can only contain an item if it has the words from the item's second on, `width` of them or
+    as many as there are before its last, as a run; runs are matched by hash, and the texts of the documents
+    that match are then fetched and compared. Items of one or two words are compared with every document.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, SPACE, " ")), " ")
-    run = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, width), " "))
-    named = items.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_w", words(F.col("_text")))
-    long = named.where(F.size("_w") >= width + 2).select("_key", "_text", run(F.col("_w"), F.lit(2)).alias("_run"))
-    short = named.where(F.size("_w") < width + 2).select("_key", "_text")
+    run = lambda ws, i, n: F.xxhash64(F.array_join(F.slice(ws, i, n), " "))
+    named = items.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_w", words(F.col("_text"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(width)))
+    long = named.where(F.col("_n") > 0).select("_key", "_text", "_n", run(F.col("_w"), F.lit(2), F.col("_n")).alias("_run"))
+    short = named.where(F.col("_n") <= 0).select("_key", "_text")
     few = named.count() <= BROADCAST_ROWS
+    sized = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     docs = documents.select(F.col(doc_text).alias("_doc")).where("_doc is not null")
-    ws = docs.withColumn("_w", words(F.col("_doc"))).where(F.size("_w") >= width)
-    runs = ws.select("_doc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: run(F.col("_w"), i)))).alias("_run"))
-    hits = runs.join(F.broadcast(long) if few else long, "_run").where(F.contains("_doc", "_text")).select("_key")
+    sizes = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # width numbers at most
+    found = None
+    if sizes:
+        ws = docs.select(F.xxhash64("_doc").alias("_place"), words(F.col("_doc")).alias("_w"))
+        runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: run(F.col("_w"), i, F.lit(n))))
+        each = F.array(*[F.struct(F.lit(n).alias("_n"), F.array_distinct(runs(n)).alias("_runs")) for n in sizes])
+        flat = ws.select("_place", F.explode(each).alias("_e")).select("_place", "_e._n", F.explode("_e._runs").alias("_run"))
+        met = flat.join(sized(long.select("_key", "_n", "_run")), ["_n", "_run"]).select("_place", "_key").distinct()
+        met = written(met, "contained-runs")
+        texts = docs.select(F.xxhash64("_doc").alias("_place"), "_doc").join(met, "_place").join(sized(long.select("_key", "_text")), "_key")
+        found = texts.where(F.contains("_doc", "_text")).select("_key")
     if short.limit(1).count():
-        hits = hits.unionByName(docs.join(F.broadcast(short) if few else short, F.contains("_doc", "_text")).select("_key"))
-    found = hits.distinct().withColumn("contained", F.lit(True))
+        direct = docs.join(sized(short), F.contains("_doc", "_text")).select("_key")
+        found = direct if found is None else found.unionByName(direct)
+    if found is None:
+        return items.select(key, F.lit(False).alias("contained"))
+    found = found.distinct().withColumn("contained", F.lit(True))
     return items.join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("contained", F.lit(False)).alias("contained"))

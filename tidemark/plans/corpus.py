@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import words as W
 from ..operators import corpus as C
+from ..operators import noise as N
 from .base import EDGES, Tables, query
 from .text import CLEANED, QUERY, QUESTION, TOKENS, documents_tokens, intent_sql, quoted
 
@@ -131,7 +132,7 @@ def k6_noise(t: Tables) -> DataFrame:
     """Noisy variants of the questions over parts and of the users' turns."""
     asked = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.expr(QUESTION).alias("question"))
     said = t.conversations.where("role = 'user'").select(F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("id"), F.col("text").alias("question"))
-    return C.augment(asked.unionByName(said), "id", "question", seed=7)
+    return N.augment(asked.unionByName(said), "id", "question", seed=7)
 
 
 CATALOG = [("part", c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")] + [("lineitem", c) for c in ("l_orderkey", "l_partkey", "l_suppkey")]
