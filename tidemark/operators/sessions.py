@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranges import quantiles
 
 
 def last_turns(turns: DataFrame, session: str, turn: str, n: int = 5) -> DataFrame:
@@ -50,8 +52,10 @@ def engine_stats(log: DataFrame, failed, session: str) -> DataFrame:
 
 def outcome_report(log: DataFrame, groups: Sequence[str], latency: str, failed) -> DataFrame:
     """Per group: n, failures, mean, median, p95 and most of a latency."""
-    return log.groupBy(*groups).agg(
+    sums = log.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(failed, 1)).alias("failures"),
-        F.round(F.sum(F.col(latency).cast("decimal(28,6)")).cast("double") / F.nullif(F.count(latency), F.lit(0)), 4).alias("mean"),
-        F.round(F.percentile(latency, 0.5), 6).alias("median"), F.round(F.percentile(latency, 0.95), 6).alias("p95"), F.max(latency).alias("most"),
+        F.round(F.sum(F.col(latency).cast("decimal(28,6)")).cast("double") / F.nullif(F.count(latency), F.lit(0)), 4).alias("mean"), F.max(latency).alias("most"),
     )
+    found = quantiles(log, groups, latency, {"median": 0.5, "p95": 0.95}).select(*[F.col(g).alias(f"_{g}") for g in groups], F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
+    same = reduce(lambda a, g: a & F.col(g).eqNullSafe(F.col(f"_{g}")), groups, F.lit(True))
+    return sums.join(found, same, "left").select(*groups, "n", "failures", "mean", "median", "p95", "most")

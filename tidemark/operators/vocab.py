@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .ranges import place
 
 SPECIALS = ("<pad>", "<sos>", "<eos>", "<unk>")
 PAD, SOS, EOS, UNKNOWN = range(4)
+#: Vocabularies of so many letters in all (and 16 for each token) are broadcast.
+BROADCAST_LETTERS = 32_000_000
 
 
 def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, force: Sequence[str] = ()) -> DataFrame:
     """token, idx, freq: specials first, then forced tokens in order, then by falling frequency (ties by token)."""
     spark = tokens.sparkSession
-    counts = tokens.select(F.explode(column).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    counts = written(tokens.select(F.explode(column).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq")), "vocab-counts")
     forced = [t for t in sorted(set(force)) if t not in SPECIALS]
     fixed = spark.createDataFrame([(t, i) for i, t in enumerate([*SPECIALS, *forced])], "token string, idx bigint")
     learnt = counts.where((F.col("freq") >= min_freq) & ~F.col("token").isin(*SPECIALS, *forced))
@@ -24,20 +27,27 @@ def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, fo
     return fixed.join(counts, "token", "left").select("token", "idx", F.coalesce("freq", F.lit(0)).alias("freq")).unionByName(learnt)
 
 
+def sized(vocab: DataFrame) -> DataFrame:
+    """vocab, to be broadcast if it is small."""
+    letters = vocab.agg(F.coalesce(F.sum(F.length("token") + 16), F.lit(0)).alias("n")).first()["n"]  # one number
+    return F.broadcast(vocab) if letters <= BROADCAST_LETTERS else vocab
+
+
 def encode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "tokens", name: str = "ids") -> DataFrame:
     """key, ids: the array of ids of each row's tokens, unknown ones as <unk>; rows without tokens get an empty array.
 
-    Whether the vocabulary is broadcast is left to adaptive execution, which knows its size by then; a
-    frequent token's rows are split as a skewed join's are.
+    A vocabulary of at most BROADCAST_LETTERS letters is broadcast, and tokens then stay where they are; of a
+    larger one, adaptive execution splits a frequent token's rows as a skewed join's.
     """
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "token"))
-    ids = flat.join(vocab.select("token", "idx"), "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
+    ids = flat.join(sized(vocab.select("token", "idx")), "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
     return ids.select(key, F.transform(F.sort_array("_a"), lambda x: x["idx"]).alias(name))
 
 
 def decode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "ids", name: str = "tokens") -> DataFrame:
+    """key, tokens: encode's way back; ids that the vocabulary lacks become <unk>, rows without ids get an empty array."""
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "idx"))
-    back = flat.join(vocab.select("token", "idx"), "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
+    back = flat.join(sized(vocab.select("token", "idx")), "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
     return back.select(key, F.transform(F.sort_array("_a"), lambda x: x["token"]).alias(name))
 
 
