@@ -39,10 +39,16 @@ def label_distribution(rows: DataFrame, split: str, label: str) -> DataFrame:
     return counts.join(sums, split).withColumn("percent", F.round(F.col("n") * 100.0 / F.col("_all"), 4)).drop("_all")
 
 
-def enrich(rows: DataFrame, source: str, split: str, order: Sequence[Column], columns: dict[str, Column]) -> DataFrame:
-    """rows with further columns and id = <source>_<split>_<number of the row in both, six digits>."""
-    numbered = number_in_groups(rows.withColumns(columns), [source, split], order, "_number")
-    return numbered.withColumn("id", F.format_string("%s_%s_%06d", F.coalesce(source, F.lit("")), F.col(split), "_number")).drop("_number")
+def enrich(rows: DataFrame, source: str, split: str, key: str, columns: dict[str, Column]) -> DataFrame:
+    """rows with further columns and id = <source>_<split>_<number of the row in both by key, six digits>.
+
+    Keys are unique; a row without one gets no id. Only keys, sources and splits are put in order; whole rows
+    are joined with their numbers.
+    """
+    numbered = number_in_groups(rows.select(key, source, split).where(F.col(key).isNotNull()), [source, split], [F.asc(key)], "_number").select(F.col(key).alias("_key"), "_number")
+    joined = rows.withColumns(columns).join(numbered, F.col(key) == F.col("_key"), "left")
+    name = F.format_string("%s_%s_%06d", F.coalesce(source, F.lit("")), F.col(split), "_number")
+    return joined.withColumn("id", F.when(F.col("_number").isNotNull(), name)).drop("_key", "_number")
 
 
 def choose(draw: Column, weights: dict[str, int]) -> Column:

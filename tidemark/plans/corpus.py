@@ -37,7 +37,7 @@ def k2_label_distribution(t: Tables) -> DataFrame:
 SELECT doc_id, cleaned, coalesce(source, '') || '_' || split || '_' || lpad(CAST(row_number() OVER (PARTITION BY source, split ORDER BY doc_id) - 1 AS VARCHAR), 6, '0') AS id FROM e""")
 def k3_enrich(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("split", C.split_of(F.col("doc_id")))
-    return C.enrich(docs, "source", "split", [F.asc("doc_id")], {"cleaned": X.clean_question(F.col("text"))}).select("doc_id", "cleaned", "id")
+    return C.enrich(docs, "source", "split", "doc_id", {"cleaned": X.clean_question(F.col("text"))}).select("doc_id", "cleaned", "id")
 
 
 #: Intent, question, query; {slots} are columns of the row.

@@ -62,7 +62,22 @@ QUESTION = """concat(CASE p_partkey % 6 WHEN 0 THEN 'Show all parts of ' WHEN 1
  WHEN 3 THEN 'Top 5 products ranked by price of ' WHEN 4 THEN 'List only the first items where size is at least 7 in ' ELSE 'Which of them cost less than 20, not more than 3 for each ' END, p_name, '?')"""
 
 
-@query()
+PHRASES = sorted(W.KEYWORDS, key=len, reverse=True)
+
+
+def hints_sql(name: str, legacy: bool = False) -> str:
+    """Tables of <name>(p_partkey, hints): the fold over phrases, one after another, as a recursion."""
+    pad = "" if legacy else " "
+    body = "lower(q)" if legacy else "' ' || regexp_replace(lower(q), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' '"
+    table = ", ".join(f"({i}, {quoted(pad + p + pad)}, {len(p)}, {quoted(W.KEYWORDS[p])})" for i, p in enumerate(PHRASES, 1))
+    return f"""{name}_p(i, phrase, n, keyword) AS (VALUES {table}), {name}_b AS (SELECT p_partkey, {body} AS body FROM (SELECT p_partkey, {QUESTION} AS q FROM part)),
+{name}_f(p_partkey, i, body, spans) AS (SELECT p_partkey, 0, body, CAST([] AS STRUCT(b BIGINT, e BIGINT, k VARCHAR)[]) FROM {name}_b
+ UNION ALL SELECT p_partkey, x.i, body, CASE WHEN spot > 0 AND len(list_filter(spans, lambda s: spot < s.e AND spot + n > s.b AND s.k <> keyword)) = 0 THEN list_append(spans, {{'b': spot, 'e': spot + n, 'k': keyword}}) ELSE spans END
+ FROM (SELECT f.p_partkey, p.i, body, spans, n, keyword, strpos(body, phrase) AS spot FROM {name}_f f JOIN {name}_p p ON p.i = f.i + 1) x),
+{name} AS (SELECT p_partkey, list_sort(list_distinct(list_transform(spans, lambda s: s.k))) AS hints FROM {name}_f WHERE i = {len(PHRASES)})"""
+
+
+@query(f"WITH RECURSIVE {hints_sql('h')}, {hints_sql('g', True)} SELECT p_partkey, array_to_string(h.hints, ',') AS hints, array_to_string(g.hints, ',') AS legacy_hints FROM h JOIN g USING (p_partkey)")
 def i4_keyword_hints(t: Tables) -> DataFrame:
     asked = t.part.select("p_partkey", F.expr(QUESTION).alias("question"))
     return asked.select("p_partkey", F.array_join(X.keyword_hints(F.col("question")), ",").alias("hints"), F.array_join(X.keyword_hints(F.col("question"), legacy=True), ",").alias("legacy_hints"))
@@ -104,7 +119,13 @@ def i7_sql_intent(t: Tables) -> DataFrame:
     return q.select("p_partkey", *[X.sql_intent(F.col("q"), r).alias(f"intent_{r}") for r in "abc"])
 
 
-@query()
+def hint_intent_sql() -> str:
+    has = lambda w: f"list_contains(hints, '{w}')"
+    agg = " OR ".join(map(has, W.SQL_AGGREGATES))
+    return f"CASE WHEN {has('JOIN')} THEN 'SELECT_JOIN' WHEN {has('GROUP BY')} THEN 'SELECT_GROUP' WHEN {agg} THEN 'SELECT_AGGREGATE' WHEN {has('ORDER BY')} AND {has('LIMIT')} THEN 'SELECT_ORDER' WHEN {has('WHERE')} THEN 'SELECT_WHERE' WHEN {has('LIMIT')} THEN 'SELECT_LIMIT' ELSE 'SELECT' END"
+
+
+@query(f"WITH RECURSIVE {hints_sql('h')} SELECT p_partkey, {hint_intent_sql()} AS intent FROM h")
 def i8_hint_intent(t: Tables) -> DataFrame:
     hints = t.part.select("p_partkey", X.keyword_hints(F.expr(QUESTION)).alias("hints"))
     return hints.select("p_partkey", X.hint_intent(F.col("hints")).alias("intent"))
