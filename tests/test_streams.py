@@ -36,8 +36,10 @@ def test_unread(spark, tmp_path):
     rows += rows[10:20]  # delivered again
     stream, batch = stream_of(spark, tmp_path, rows, "u bigint, action string, item bigint, ts timestamp, n bigint")
     args = ("u", "action", "item", "ts", "n")
-    last = dict(run(spark, tmp_path, S.unread_stream(stream, *args), "update"))
-    assert last == {r["u"]: r["unread"] for r in S.unread(batch, *args).collect()}
+    states = S.unread_states(stream, *args)
+    seen = spark.createDataFrame(run(spark, tmp_path, states, "update"), states.schema)
+    last = {r["u"]: r["unread"] for r in S.unread_counts(seen, "u", "item").collect()}
+    assert len(last) == 2 and last == {r["u"]: r["unread"] for r in S.unread(batch, *args).collect()}
 
 
 def test_session_context(spark, tmp_path):

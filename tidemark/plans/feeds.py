@@ -1,4 +1,4 @@
-"""Registered queries: the event feeds' folds in their batch form, and one as a stream run to its end."""
+"""Registered queries: the event feeds' folds in their batch form, and those with state as streams run to their end."""
 
 from __future__ import annotations
 
@@ -43,17 +43,27 @@ def o4_transitions(t: Tables) -> DataFrame:
 @query(f"WITH {PARSED_SQL}, l AS (SELECT *, lag(level) OVER (PARTITION BY retailer, k ORDER BY ts, event_id) AS before FROM parsed) SELECT retailer, k, ts, event_id, before, level AS after FROM l WHERE before <> level")
 def o4_transitions_stream(t: Tables) -> DataFrame:
     """The same as a stream over the events' files, run until they end; state is kept per retailer and product."""
-    out = folder(t, "transitions")
     events = Tables(t.spark, t.dir)
-    events["events"] = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet") if _is_folder(t) else t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    found = S.transitions_stream(updates(events), ("retailer", "k"), "level", "ts", "event_id")
-    run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(t, "transitions-progress")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.schema(found.schema).parquet(out)
+    events["events"] = arriving(t, "events")
+    return ended(t, S.transitions_stream(updates(events), ("retailer", "k"), "level", "ts", "event_id"), "append")
 
 
-def _is_folder(t: Tables) -> bool:
-    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/events.parquet")
+def arriving(t: Tables, name: str) -> DataFrame:
+    """A stream over a table's files."""
+    reader = t.spark.readStream.schema(t[name].schema)
+    return reader.parquet(f"{t.dir}/{name}.parquet") if _is_folder(t, name) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+
+
+def ended(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
+    """All rows that a stream gives until its files end; a batch that runs again overwrites what it wrote."""
+    out = folder(t, "stream")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", folder(t, "progress")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+
+
+def _is_folder(t: Tables, name: str) -> bool:
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/{name}.parquet")
     return path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
@@ -71,18 +81,41 @@ def actions(t: Tables) -> DataFrame:
     return t.events.select("user_id", F.expr(ACTION).alias("action"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), "ts", "event_id")
 
 
-@query(f"""WITH a AS (SELECT user_id, {ACTION} AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, ts, event_id FROM events),
+UNREAD_SQL = f"""WITH a AS (SELECT user_id, {ACTION} AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, ts, event_id FROM events),
 i AS (SELECT user_id, item, min((ts, event_id)) FILTER (action = 'incoming') AS came, max((ts, event_id)) FILTER (action = 'read_one') AS marked FROM a WHERE action <> 'read_all' GROUP BY ALL),
 e AS (SELECT user_id, max((ts, event_id)) AS marked_all FROM a WHERE action = 'read_all' GROUP BY user_id)
-SELECT user_id, count(*) FILTER (NOT coalesce(marked > came, false) AND NOT coalesce(marked_all > came, false)) AS unread FROM i LEFT JOIN e USING (user_id) WHERE came IS NOT NULL GROUP BY user_id""")
+SELECT user_id, count(*) FILTER (NOT coalesce(marked > came, false) AND NOT coalesce(marked_all > came, false)) AS unread FROM i LEFT JOIN e USING (user_id) WHERE came IS NOT NULL GROUP BY user_id"""
+
+
+@query(UNREAD_SQL)
 def o6_unread(t: Tables) -> DataFrame:
     return S.unread(actions(t), "user_id", "action", "item", "ts", "event_id")
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS topic_said, role AS topic_role, string_agg(CAST(turn AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query(UNREAD_SQL)
+def o6_unread_stream(t: Tables) -> DataFrame:
+    """The same as a stream over the events' files; state is kept per user and item."""
+    events = Tables(t.spark, t.dir)
+    events["events"] = arriving(t, "events")
+    return S.unread_counts(ended(t, S.unread_states(actions(events), "user_id", "action", "item", "ts", "event_id"), "update"), "user_id", "item")
+
+
+CONTEXT_SQL = "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS topic_said, role AS topic_role, string_agg(CAST(turn AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(CONTEXT_SQL)
 def o7_session_context(t: Tables) -> DataFrame:
-    turns = t.conversations.select("conv_id", "turn", "role", F.expr("CASE WHEN role = 'user' THEN text END").alias("said"))
-    return S.context(turns, "conv_id", "turn", "said", "role")
+    return S.context(said(t.conversations), "conv_id", "turn", "said", "role")
+
+
+def said(conversations: DataFrame) -> DataFrame:
+    return conversations.select("conv_id", "turn", "role", F.expr("CASE WHEN role = 'user' THEN text END").alias("said"))
+
+
+@query(CONTEXT_SQL)
+def o7_session_context_stream(t: Tables) -> DataFrame:
+    """The same as a stream over the conversations' files; state is the topic and the last turns of a session."""
+    return ended(t, S.context_stream(said(arriving(t, "conversations")), "conv_id", "turn", "said", "role"), "append")
 
 
 @query("""WITH s AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-30 12:00:00') AS s FROM events WHERE ts < TIMESTAMP '2024-01-30 12:00:00')

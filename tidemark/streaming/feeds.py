@@ -66,44 +66,33 @@ def notification(payload: DataFrame, kind: Column, title: Column, body: Column)
     return payload.withColumns({"type": F.when(kind == "DEAL", "deal").otherwise("stockUpdate"), "title": F.coalesce(title, F.lit("Stock Update")), "body": F.coalesce(body, F.lit("")), "is_read": F.lit(False)})
 
 
-def unread(actions: DataFrame, user: str, action: str, item: str, moment: str, tie: str) -> DataFrame:
-    """user, unread: items that came and weren't marked afterwards, singly (read_one) or all at once (read_all).
+def unread_states(actions: DataFrame, user: str, action: str, item: str, moment: str, tie: str) -> DataFrame:
+    """user, every, item, came, marked: when each item first came and was last marked as read, singly (read_one);
+    and, where every is true, when all were (read_all).
+
+    A stream in update mode keeps a row of state for each user and item; neither the order of arrival nor
+    redelivered rows matter.
+    """
+    when, what = F.struct(moment, tie), F.col(action)
+    rows = actions.where(what.isin("incoming", "read_one", "read_all")).select(user, (what == "read_all").alias("every"), F.when(what != "read_all", F.col(item)).alias(item), F.when(what == "incoming", when).alias("_came"), F.when(what != "incoming", when).alias("_marked"))
+    return rows.groupBy(user, "every", item).agg(F.min("_came").alias("came"), F.max("_marked").alias("marked"))
+
+
+def unread_counts(states: DataFrame, user: str, item: str) -> DataFrame:
+    """user, unread: items that came and weren't marked afterwards, from unread_states or all that its stream gave so far.
 
     An item that comes again counts as when it came first.
     """
-    when = F.struct(moment, tie)
-    items = actions.where(F.col(action).isin("incoming", "read_one")).groupBy(user, item).agg(F.min(F.when(F.col(action) == "incoming", when)).alias("came"), F.max(F.when(F.col(action) == "read_one", when)).alias("marked"))
-    every = actions.where(F.col(action) == "read_all").groupBy(user).agg(F.max(when).alias("marked_all"))
-    open_ = items.join(every, user, "left").where("came is not null")
+    last = states.groupBy(user, "every", item).agg(F.min("came").alias("came"), F.max("marked").alias("marked"))
+    every = last.where("every").select(user, F.col("marked").alias("marked_all"))
+    open_ = last.where("NOT every AND came IS NOT NULL").join(every, user, "left")
     left = ~F.coalesce(F.col("marked") > F.col("came"), F.lit(False)) & ~F.coalesce(F.col("marked_all") > F.col("came"), F.lit(False))
     return open_.groupBy(user).agg(F.count(F.when(left, 1)).alias("unread"))
 
 
-def unread_stream(actions: DataFrame, user: str, action: str, item: str, moment: str, tie: str, late: str = "7 days") -> DataFrame:
-    """unread over a stream, in update mode: redelivered rows are dropped within the watermark, and state holds
-    each item's first coming and last mark, so the order of arrival doesn't matter."""
-    types = dict(actions.dtypes)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        items, came, marked, every = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else ([], [], [], None)
-        seen = {i: (a, b) for i, a, b in zip(items, came, marked)}
-        rows = pd.concat(list(frames))
-        for what, i, at, n in zip(rows[action], rows[item], rows[moment], rows[tie]):
-            mark = f"{pd.Timestamp(at).value:020d}-{n:020d}"
-            a, b = seen.get(i, (None, None))
-            if what == "incoming":
-                seen[i] = (mark if a is None else min(a, mark), b)
-            elif what == "read_one":
-                seen[i] = (a, mark if b is None else max(b, mark))
-            elif what == "read_all":
-                every = mark if every is None else max(every, mark)
-        state.update((list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], every))
-        left = [1 for a, b in seen.values() if a and not (b and b > a) and not (every and every > a)]
-        yield pd.DataFrame({user: [key[0]], "unread": [len(left)]})
-
-    once = actions.withWatermark(moment, late).dropDuplicatesWithinWatermark([tie])
-    kept = f"items array<{types[item]}>, came array<string>, marked array<string>, every string"
-    return once.select(user, action, item, moment, tie).groupBy(user).applyInPandasWithState(step, f"{user} {types[user]}, unread bigint", kept, "update", GroupStateTimeout.NoTimeout)
+def unread(actions: DataFrame, user: str, action: str, item: str, moment: str, tie: str) -> DataFrame:
+    """user, unread of a table of actions."""
+    return unread_counts(unread_states(actions, user, action, item, moment, tie), user, item)
 
 
 def context_stream(turns: DataFrame, session: str, turn: str, said: str, role: str, n: int = 5) -> DataFrame:
