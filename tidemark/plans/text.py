@@ -189,6 +189,14 @@ def j4_encode(t: Tables) -> DataFrame:
     return V.encode(documents_tokens(t), documents_vocab(t), "doc_id").select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+@query(f"WITH {ENCODED_SQL}, back AS (SELECT doc_id, list(CASE WHEN idx IS NULL THEN '<unk>' ELSE token END ORDER BY pos) FILTER (pos IS NOT NULL) AS words FROM tokens LEFT JOIN flat USING (doc_id) LEFT JOIN vocab USING (token) GROUP BY doc_id) SELECT doc_id, coalesce(array_to_string(words, ' '), '') AS words FROM back")
+def j4_decode(t: Tables) -> DataFrame:
+    """Documents' tokens after encoding and decoding: those that the vocabulary lacks are <unk>."""
+    vocab = documents_vocab(t)
+    coded = V.encode(documents_tokens(t), vocab, "doc_id")
+    return V.decode(coded, vocab, "doc_id").select("doc_id", F.array_join("tokens", " ").alias("words"))
+
+
 PADDED = "list_concat(x, list_transform(range(128 - len(x)), lambda i: CAST(0 AS BIGINT)))"
 
 
