@@ -14,27 +14,52 @@ from tidemark.llm.common import discard, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or that the model, trained on labels, finds poor."""
+    """Drops documents that fail the base rules or that the model, trained on labels, finds poor.
+
+    Null, empty and short texts fail; very long ones are read whole; repeated rows share their fate; null
+    ids are judged by their text like any other; an empty table gives an empty one; other columns are handed
+    on. Without labels the base rules decide alone.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no known language or of an ambiguous one."""
+    """Drops documents of no known language or of an ambiguous one.
+
+    Null texts and those without a letter go; very long ones are read whole; repeated rows share their fate;
+    null languages aren't learnt from; with none to learn from, every document goes; an empty table gives an
+    empty one; other columns are handed on.
+    """
     return language.keep_known(docs, language.train_on_documents(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, leaves the row with the smallest doc_id."""
+    """Of equal texts, leaves the row with the smallest doc_id.
+
+    Null and empty texts are equal; a null id comes after all others; of rows repeated with one id the first
+    by file and row stays; very long texts are compared whole; an empty table gives an empty one; other
+    columns, whatever their names, are handed on.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more), leaves the row with the smallest doc_id."""
+    """Of each group of near copies (five-word Jaccard of 0.8 or more), leaves the row with the smallest doc_id.
+
+    The SimHash grid links the nearest copies, and prefixes of the shingle sets find the rest. Null and
+    empty texts are copies of one another; rows with a null id stay; of rows repeated with one id the first by
+    file and row stays; very long texts are read whole; an empty table gives an empty one; other columns,
+    whatever their names, are handed on.
+    """
     return near_copies.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 1024 tokens."""
+    """Packs what is left into sequences of at most 1024 tokens.
+
+    Null and empty texts are the end id alone; null ids come first; rows repeated with one id go by text;
+    very long texts are cut into many pieces; an empty table gives no pieces; other columns aren't read.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
