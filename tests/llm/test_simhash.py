@@ -84,10 +84,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     left = simhash.keep_one(odd_docs)
     assert left.columns == odd_docs.columns
-    assert {r["doc_id"] for r in left.collect()} == {None, 1, 3, 5, 7, 8, 9}
+    assert sorted(((r["doc_id"], r["text"]) for r in left.where("doc_id is not null").select("doc_id", "text").collect())) == sorted({(r["doc_id"], r["text"]) for r in odd_docs.where("doc_id in (1, 3, 5, 7, 8, 9)").select("doc_id", "text").collect()})
+    assert left.where("doc_id is null").count() == 2
     assert simhash.simhash_groups(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
 def test_long_texts_are_hashed_whole():
     words = [str(i) for i in range(70_000)]
     assert simhash.fingerprint(" ".join(words)) & (2**64 - 1) == plain_fingerprint(" ".join(words))
+
+
+def test_rows_are_kept_one_by_one(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    docs = [(1, text), (2, text), (2, " ".join(f"b{i}" for i in range(60))), (3, text), (3, text), (4, " ".join(f"c{i}" for i in range(60)))]
+    left = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
+    assert sorted(left) == sorted([docs[0], docs[2], docs[5]])

@@ -28,7 +28,7 @@ from xxhash import xxh64_intdigest
 from . import simhash
 from .common import discard, few_of_many, text_batches, written
 from .exact_dedup import located
-from .simhash import SEED, components
+from .simhash import SEED
 
 #: Least similarity of a link, as a fraction, and words of a shingle.
 SHARE, WORDS = (4, 5), 5
@@ -200,7 +200,7 @@ def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     found = verified(ordered, sets, texts, "near-first")
 
     # What is left: members of one bucket that are in different components so far, the drawn one apart, which has met them all.
-    roots = rooted(found)
+    roots = simhash.rooted(found, "set")
     left = shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     left = written(left, "near-left")
     mixed = left.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
@@ -210,12 +210,6 @@ def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     return found.unionByName(verified(across, sets, texts, "near-second"))
 
 
-def rooted(links: DataFrame) -> DataFrame:
-    """set, root of all sets that have a link."""
-    roots = components(links)
-    return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "set")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with one row of each group of near copies, with docs' columns.
 
@@ -229,12 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     prints = written(shingle_sets(rows, at, text_col, words), "near-prints")
     one = F.min(F.struct("at", "fp", "size", "first", "parity")).alias("_s")
     sets = written(prints.groupBy("set").agg(one).select("set", "_s.*"), "near-sets")
-    roots = rooted(near_links(sets, Texts(rows, at, text_col, words)))
+    roots = simhash.rooted(near_links(sets, Texts(rows, at, text_col, words)), "set")
     discard(sets)
-    placed = rows.where(F.col(f"`{id_col}`").isNotNull()).select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{at}`").alias("at")).alias("row"), F.col(f"`{at}`").alias("at"))
-    grouped = placed.join(prints.select("at", "set"), "at").join(roots, "set", "left").select("row", F.coalesce("root", "set").alias("root"))
-    grouped = written(grouped, "near-grouped")
-    discard(prints)
-    least = grouped.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dropped = grouped.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("row.at").alias(at))
-    return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = prints.select("at", "set").join(roots, "set", "left").select("at", F.coalesce("root", "set").alias("root"))
+    return simhash.without_copies(rows, at, id_col, groups).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fresh_name, text_batches, written
+from .common import text_batches, written
+from .exact_dedup import located
 
 SEED = 42
 CHUNK = 1 << 15
@@ -141,6 +142,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select("a", F.col("b").alias("root"))
 
 
+def rooted(links: DataFrame, name: str) -> DataFrame:
+    """name, root of all nodes that have a link."""
+    roots = components(links)
+    return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", name)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """<id_col>, fp, component_id of every row of docs.
 
@@ -153,8 +160,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "simhash-prints")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    roots = components(links(near_on_grid(classes.select("fp"))))
-    roots = roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "fp")
+    roots = rooted(links(near_on_grid(classes.select("fp"))), "fp")
     linked = classes.join(roots, "fp")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("fp", "component_id")
@@ -166,13 +172,29 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def without_copies(rows: DataFrame, at: str, id_col: str, groups: DataFrame) -> DataFrame:
+    """rows (located: at names each) without those that come after another of their group (groups: at, root).
+
+    The row with the smallest id stays, of several the first by file and row; rows with a null id stay and
+    don't count.
+    """
+    place = F.col(f"`{at}`")
+    placed = rows.where(F.col(f"`{id_col}`").isNotNull()).select(F.struct(F.col(f"`{id_col}`").alias("id"), place.alias("at")).alias("row"), place.alias("at"))
+    grouped = written(placed.join(groups, "at").select("row", "root"), "grouped")
+    least = grouped.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = grouped.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("row.at").alias(at))
+    return rows.join(dropped.hint("merge"), at, "left_anti")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """docs without the rows whose id isn't their group's component_id.
+    """docs with one row of each group of fingerprints that links reach, with docs' columns, whatever their names.
 
-    Rows with a null id stay. Rows repeated with one id share their fate, as equal texts have gone
-    before in a pipeline.
+    The row with the smallest id stays, of several the first by file and row; rows with a null id stay and
+    don't count. Null and empty texts are alike; very long ones are read whole; an empty table gives an empty
+    result.
     """
-    groups = simhash_groups(docs, id_col, text_col, words)
-    gone, again = fresh_name(docs, "gone"), groups.where((F.col(id_col) != F.col("component_id")))
-    dropped = again.select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(dropped.hint("merge"), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    rows, at = located(docs)
+    prints = written(fingerprints(rows, at, text_col, words), "simhash-prints")
+    roots = rooted(links(near_on_grid(prints.select("fp").distinct())), "fp")
+    groups = prints.join(roots, "fp", "left").select(F.col("id").alias("at"), F.coalesce("root", "fp").alias("root"))
+    return without_copies(rows, at, id_col, groups).select(*[F.col(f"`{c}`") for c in docs.columns])
