@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -51,17 +52,55 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / total).astype(np.float32) if total else counts.astype(np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, l2: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by rows: the columns and values of each row's entries, set end to end, and where each row begins. Every row has an entry."""
+
+    at: np.ndarray
+    v: np.ndarray
+    begin: np.ndarray
+    dim: int
+    #: Rows that are multiplied at once.
+    STEP = 500
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.begin) - 1, self.dim
+
+    def parts(self):
+        n = self.shape[0]
+        for i in range(0, n, self.STEP):
+            j = min(i + self.STEP, n)
+            yield slice(i, j), slice(self.begin[i], self.begin[j]), self.begin[i : j + 1] - self.begin[i]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        out = np.empty((self.shape[0], w.shape[1]), np.float32)
+        for rows, own, begin in self.parts():
+            for k in range(w.shape[1]):
+                out[rows, k] = np.add.reduceat(w[self.at[own], k] * self.v[own], begin[:-1])
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The transposed matrix times g."""
+        out = np.zeros((self.dim, g.shape[1]), np.float64)
+        for rows, own, begin in self.parts():
+            for k in range(g.shape[1]):
+                out[:, k] += np.bincount(self.at[own], self.v[own] * np.repeat(g[rows, k], np.diff(begin)), self.dim)
+        return out.astype(np.float32)
+
+
+def fit(x: np.ndarray | Sparse, y: np.ndarray, rounds: int = 300, rate: float = 0.5, l2: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of a logistic regression for each column of y (+1, -1), by Adam on all rows."""
     n, d = x.shape
     k = y.shape[1]
+    back = x.back if isinstance(x, Sparse) else lambda g: x.T @ g
     w, b = np.zeros((d, k), np.float32), np.zeros(k, np.float32)
     weight = np.ones((n, 1), np.float32) if weight is None else weight.reshape(n, 1).astype(np.float32)
     weight = weight / weight.sum()
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, rounds + 1):
         g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * weight
-        for p, m, v, q in ((w, mw, vw, x.T @ g + l2 * w), (b, mb, vb, g.sum(0))):
+        for p, m, v, q in ((w, mw, vw, back(g) + l2 * w), (b, mb, vb, g.sum(0))):
             m *= 0.9
             m += 0.1 * q
             v *= 0.99
@@ -97,3 +136,10 @@ def dense(vectors: pa.Table, dim: int) -> np.ndarray:
             x[i, at.values.to_numpy()] = v.values.to_numpy()
             i += 1
     return x
+
+
+def by_rows(vectors: pa.Table, dim: int) -> Sparse:
+    """The rows (at, v) of an Arrow table, none of them empty, as a sparse matrix."""
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in vectors["at"].chunks] or [np.zeros(0, np.int64)])
+    flat = lambda name: np.concatenate([c.flatten().to_numpy() for c in vectors[name].chunks])
+    return Sparse(flat("at"), flat("v"), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), dim)

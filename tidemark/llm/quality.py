@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of, held = found["y"].to_numpy(), found["held"].to_numpy().astype(bool)
     if len(set(of.tolist())) < 2:
         return None
-    x, y = linear.dense(found, 2 * DIM), np.where(of == 1, 1, -1).astype(np.float32)
+    x, y = linear.by_rows(found, 2 * DIM), np.where(of == 1, 1, -1).astype(np.float32)
     del found
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
