@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, language, packing, quality, simhash, token_files, warc
+from . import bpe, chat, compression, exact_dedup, html, language, packing, quality, runs, simhash, token_files, warc, whitening
 from .common import scratch, table
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,5 +112,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op7_warc, op8_token_files, op9_html_extraction, op10_simhash_near_dedup)}
+def op11_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = compression.assess(docs, compression.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return out.select("doc_id", compression.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.describe_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality_rules, op3_chat_formatting, op4_byte_bpe, op5_exact_dedup, op6_packing, op7_warc, op8_token_files, op9_html_extraction,
+        op10_simhash_near_dedup, op11_compression_quality, op12_periodic_runs, op13_whitening,
+    )
+}
 SQL = {"op3_chat_formatting": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL}
