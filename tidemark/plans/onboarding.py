@@ -24,6 +24,16 @@ def a1_ingest_csv(t: Tables) -> DataFrame:
     return df.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "market_segment", F.col("c_acctbal").cast("double").alias("c_acctbal_2"))
 
 
+@query("SELECT doc_id, md5(text) AS text_md5, length(text) AS chars FROM (SELECT doc_id, nullif(text, '') AS text FROM documents)")
+def a1_ingest_quoted_breaks(t: Tables) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read back from files that are split anywhere."""
+    path = folder(t, "csv-texts")
+    plain = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t.documents.select(F.col("doc_id").alias("Doc ID"), "text").write.options(**plain).csv(path)
+    df = S.ingest_csv(t.spark, path)
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
 @query("SELECT 'region' AS table_name, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
 def a2_ingest_csv_dir(t: Tables) -> DataFrame:
     root = folder(t, "csv-dir")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .records import read_records, typed
+
 
 def clean_names(names: Sequence[str]) -> list[str]:
     """Lower case, other characters as one underscore, none at the ends; empty: column; repeats get _2, _3."""
@@ -34,18 +36,27 @@ def _number(name: str) -> bool:
 
 
 def ingest_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with clean column names and inferred types.
+    """A CSV file, or a folder of them, with clean column names and inferred types.
 
     A first row of numbers is data, and the columns are col_0, col_1, ... Bytes that aren't UTF-8 make
-    the file be read as Latin-1.
+    the file be read as Latin-1. Quotes in quoted fields are doubled. Large files are split for reading,
+    also where quoted fields hold line breaks (records).
     """
 
     def read(header: bool, charset: str) -> DataFrame:
-        return spark.read.option("header", header).option("inferSchema", True).option("encoding", charset).option("multiLine", False).csv(path)
+        return spark.read.option("header", header).option("inferSchema", True).option("encoding", charset).option("escape", '"').option("multiLine", wide).csv(path)
 
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32"))  # their line ends aren't single bytes, so no file is split
     raw = spark.read.text(path)
     if encoding == "UTF-8" and raw.where(~F.is_valid_utf8("value")).limit(1).count():
         encoding = "ISO-8859-1"
+    found = None if wide else read_records(spark, path, encoding)
+    if found:
+        texts, head = found
+        if head and all(map(_number, head)):
+            texts = texts.unionByName(spark.createDataFrame([head], texts.schema))
+            return typed(texts).toDF(*[f"col_{i}" for i in range(len(head))])
+        return typed(texts).toDF(*clean_names(head))
     df = read(True, encoding)
     if df.columns and all(_number(c) for c in spark.read.option("header", False).csv(path).first() or ["x"]):
         df = read(False, encoding)
