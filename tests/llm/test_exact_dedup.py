@@ -72,3 +72,18 @@ def test_state_meets_the_rows_of_later_batches(spark, tmp_path):
     for files in (None, 1, 100):
         found = exact_dedup.first_seen(landing, str(tmp_path / "l"), files).collect()
         assert sorted((r["keep"]["id"], r["n"]) for r in found) == [(i, 8) for i in range(5)]
+
+
+def test_paths_named_twice(spark, tmp_path):
+    """A path twice, or a folder beside its own file, gives each row twice; one row of each text stays."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i, f"text {i % 2}") for i in range(4)], "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    part = next((tmp_path / "t").glob("*.parquet"))
+    assert exact_dedup.plain_scan(spark.read.parquet(path).where("doc_id > 0").select("text"))
+    for paths in ((path, path), (path, str(part)), (str(part), path + "/")):
+        docs = spark.read.parquet(*paths)
+        assert docs.count() == 8 and not exact_dedup.plain_scan(docs)
+        left = exact_dedup.keep_first(docs).collect()
+        assert sorted(map(tuple, left)) == [(0, "text 0"), (1, "text 1")]
+        rows = exact_dedup.exact_dedup(docs).collect()
+        assert len(rows) == 8 and sum(r["kept"] for r in rows) == 2 and {r["group_size"] for r in rows} == {4}

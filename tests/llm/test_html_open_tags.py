@@ -51,3 +51,10 @@ def test_pages_share_nodes_until_there_are_many():
         page = html.blocks("".join(f"<div class='c{k}x{i}'><p>t{i}</p></div>" for i in range(1000)))
         assert [b.text for b in page] == [f"t{i}" for i in range(1000)] and page[7].path == f"div c{k}x7/p"
     assert html.Node.made <= 53_000
+
+
+def test_comments_end_as_html_ends_them():
+    assert texts("<p>a<!-- x --!>b</p><p>c</p>") == ["ab", "c"]
+    assert texts("<!--><p>kept?</p>") == ["kept?"] and texts("<p>a<!--->b</p><p>c") == ["ab", "c"]
+    assert texts("<p>a<!-- <p>x</p> --><b>b</b><!-- never ended <p>c</p>") == ["ab"]
+    assert texts("<p>a<!---->b<!-- - -- > -->c<!----!>d</p>") == ["abcd"]

@@ -118,3 +118,11 @@ def test_large_ids_beside_null_stay_exact(spark):
     warc.write_archives(pages, folder)
     rows = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, folder).collect()}
     assert rows == {2**53: ("revisit", 2**53 + 1), 2**53 + 1: ("response", None), None: ("response", None), -(2**63): ("response", None)}
+
+
+def test_paths_named_twice(spark, tmp_path):
+    path, page = str(tmp_path / "pages"), "<p>" + "long page " * 200
+    spark.createDataFrame([(i, "u", page if i < 2 else "short") for i in range(3)], "page_id bigint, url string, html string").coalesce(1).write.parquet(path)
+    warc.write_archives(spark.read.parquet(path, path), str(tmp_path / "out"))
+    rows = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows) == [(0, "revisit", 1)] * 2 + [(1, "response", None)] * 2 + [(2, "response", None)] * 2

@@ -25,11 +25,18 @@ def sha256(text: Column) -> Column:
 
 
 def plain_scan(df: DataFrame) -> bool:
-    """Whether df is files read with columns and rows chosen, so that each row of a file comes once at most."""
+    """Whether df is files read with columns and rows chosen, so that each row of a file comes once at most.
+
+    Paths that were named twice, or a folder beside what lies in it, give rows twice.
+    """
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
-    return node.children().isEmpty()
+    if not node.nodeName().startswith("LogicalRelation"):
+        return False
+    paths = node.relation().location().rootPaths()
+    roots = sorted(paths.apply(i).toString().rstrip("/") + "/" for i in range(paths.size()))
+    return not any(b.startswith(a) for a, b in zip(roots, roots[1:]))
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, str]:

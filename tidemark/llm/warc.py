@@ -31,8 +31,8 @@ SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 #: Payloads of fewer bytes are never revisits.
 REVISIT_FROM = 1000
-#: Pages that the dictionary is trained on, about, in pieces of so many bytes, and its size. Pages of more than DICT_PAGE_MOST bytes aren't among them.
-DICT_PAGES, DICT_PIECE, DICT_BYTES, DICT_PAGE_MOST = 400, 16_384, 65_536, 1 << 20
+#: Pages that the dictionary is trained on, about, pieces of each at most, spread over the whole page, bytes of a piece, and bytes of the dictionary.
+DICT_PAGES, DICT_PIECES, DICT_PIECE, DICT_BYTES = 400, 4, 16_384, 65_536
 ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = 1 << 18
@@ -124,11 +124,17 @@ def frames(f) -> tuple[bytes, object]:
 
 
 def train_dictionary(pages: DataFrame, payload: Column, key: Column) -> bytes:
-    """A dictionary from about DICT_PAGES whole pages by hash of key; where they are too few to train on, their first DICT_BYTES bytes themselves."""
+    """A dictionary from pieces of about DICT_PAGES pages by hash of key; where they are too few to train on, their first DICT_BYTES bytes themselves.
+
+    The driver gets twice DICT_PAGES x DICT_PIECES x DICT_PIECE bytes (52 MB) at most, however long pages are.
+    """
     every = max(1, pages.count() // DICT_PAGES)
-    sample = pages.where((F.pmod(F.xxhash64(key), F.lit(every)) == 0) & (F.octet_length(payload) <= DICT_PAGE_MOST)).select(payload.cast("binary").alias("p"), F.xxhash64(key).alias("k"))
-    found = [bytes(r["p"]) for r in sample.orderBy("k").limit(2 * DICT_PAGES).toLocalIterator() if r["p"]]
-    pieces = [p[i : i + DICT_PIECE] for p in found for i in range(0, len(p), DICT_PIECE)]
+    size, data = F.ceil(F.octet_length("p") / DICT_PIECE), F.col("p")
+    count = F.least(size, F.lit(DICT_PIECES))
+    spread = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, F.floor(i * size / count).cast("int") * DICT_PIECE + 1, F.lit(DICT_PIECE)))
+    sample = pages.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(payload.cast("binary").alias("p"), F.xxhash64(key).alias("k")).where(F.octet_length("p") > 0)
+    found = sample.select("k", spread.alias("pieces")).orderBy("k").limit(2 * DICT_PAGES).toLocalIterator()
+    pieces = [bytes(p) for r in found for p in r["pieces"]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
