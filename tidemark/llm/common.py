@@ -74,6 +74,17 @@ def few_of_many(spark: SparkSession):
     return setting(spark, spark__sql__autoBroadcastJoinThreshold="-1", **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0", f"{bloom}creationSideThreshold": "1t"})
 
 
+#: So many places (a file's name and a number each, about 20 MB) are broadcast at most.
+FEW_PLACES = 100_000
+
+
+def without(rows: DataFrame, at: str, gone: DataFrame) -> DataFrame:
+    """rows but those whose place is among gone, a table of places. Few enough are broadcast, so that no text is shuffled."""
+    gone = written(gone.select(F.col(gone.columns[0]).alias(at)), "places-gone")
+    few = gone.limit(FEW_PLACES + 1).count() <= FEW_PLACES
+    return rows.join(F.broadcast(gone) if few else gone.hint("merge"), at, "left_anti")
+
+
 #: Rows and bytes of an Arrow batch that carries whole texts or pages: Spark's default of 10,000 rows may be hundreds of megabytes.
 TEXT_BATCH, TEXT_BATCH_BYTES = 500, 16 << 20
 

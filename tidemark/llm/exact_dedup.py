@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few_of_many, fresh_name, normalised, scratch, setting, written
+from .common import discard, few_of_many, fresh_name, normalised, scratch, setting, without, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Micro-batches in which a table is read, about.
@@ -158,4 +158,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows, at = located(docs)
     dropped = _decided(rows, at, id_col, text_col, sha256, files_per_batch).where(~F.col("kept")).select(F.col("at").alias(at))
-    return rows.join(dropped.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(rows, at, dropped).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -190,24 +190,34 @@ def grid_pairs(sets: DataFrame) -> DataFrame:
 
 def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     """Links a > b of distinct sets that join all sets of similarity SHARE or more, directly or through others."""
+    spark = sets.sparkSession
     heads = sets.select("set", "size", F.posexplode("first").alias("place", "shingle"))
+    counts = written(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
+    with few_of_many(spark):  # most shingles are of one set
+        shared = written(heads.join(counts.where("n > 1").hint("merge"), "shingle"), "near-shared")
     drawn = F.struct(F.xxhash64("set", F.pmod("shingle", F.lit(DRAWS))).alias("draw"), "set", "size", "place")
-    buckets = heads.groupBy("shingle").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(heads.join(buckets.hint("merge"), "shingle").where("set <> one.set"), "near-shared")
-    to_one = shared.select(F.col("set").alias("set_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
+    ones = shared.groupBy("shingle").agg(F.min(drawn).alias("one"))
+    to_one = shared.join(ones, "shingle").where("set <> one.set")
+    to_one = to_one.select(F.col("set").alias("set_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
     first = to_one.where(reachable(True)).select("set_a", "set_b").unionByName(grid_pairs(sets))
     ordered = first.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
     found = verified(ordered, sets, texts, "near-first")
 
-    # What is left: members of one bucket that are in different components so far, the drawn one apart, which has met them all.
+    # What is left: members of one bucket that are in different components so far. At least one of such a pair is outside the
+    # bucket's largest component, so members of that one, of which there may be many, aren't paired with one another.
     roots = simhash.rooted(found, "set")
-    left = shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    left = written(left, "near-left")
-    mixed = left.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = written(left.join(mixed, "shingle", "left_semi").join(sets.select("set", "parity"), "set"), "near-mixed")
-    apart = (F.col("root_a") != F.col("root_b")) & (F.col("set_a") > F.col("set_b")) & reachable(True) & even_enough()
-    across = side(left, "a").join(side(left, "b"), "shingle").where(apart).select("set_a", "set_b").distinct()
-    return found.unionByName(verified(across, sets, texts, "near-second"))
+    left = written(shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "near-left")
+    parts = left.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("members"))
+    mixed = parts.groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    left = written(left.join(mixed, "shingle").join(sets.select("set", "parity"), "set").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "near-mixed")
+    once = ~F.col("outside_b") | (F.col("set_a") > F.col("set_b"))
+    apart = (F.col("root_a") != F.col("root_b")) & once & reachable(True) & even_enough()
+    across = side(left.where("outside"), "a").join(side(left, "b"), "shingle").where(apart)
+    across = across.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
+    every = found.unionByName(verified(across, sets, texts, "near-second"))
+    for done in (counts, shared, left):
+        discard(done)
+    return every
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -1,5 +1,5 @@
 """Quality rules: text statistics with fixed limits, then a logistic regression on hashed word and
-character n-grams, trained on labelled rows and calibrated to probabilities, scored in Arrow batches."""
+character n-grams, trained on labelled rows by MLlib's L-BFGS and calibrated to probabilities, scored in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import linear
-from .common import fresh_name, text_batches
+from .common import discard, fresh_name, text_batches, written
 
 DIM = 8192
 ORDERS = (2, 3)
@@ -22,6 +25,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Labelled rows of each class that training reads, about.
 ROWS_PER_CLASS = 2000
+#: Rounds of L-BFGS at most, the change at which they end, and the weight of the penalty on squared weights.
+ROUNDS, TOLERANCE, PENALTY = 40, 1e-4, 1e-4
 #: Probability of good quality from which a text is kept.
 KEEP_FROM = 0.5
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -83,7 +88,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A calibrated model from about rows_per_class labelled rows of each class; None unless both classes have rows.
 
     A fifth of the rows, by crc32 of the id, is held back to fit the calibration. Ids with both labels
-    aren't used; of rows with one id the smallest text is.
+    aren't used; of rows with one id the smallest text is; null texts, null ids and texts too short for the
+    base rules aren't; very long texts are read whole; a table without rows gives None. The vectors are
+    written once and stay in the tasks: the driver gets sums of gradients, and two numbers of each row held back.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("most"))
     marks = marks.where(F.col("y") == F.col("most")).select("key", "y")
@@ -102,19 +109,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if out:
                 yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
 
-    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<float>").toArrow()
-    of, held = found["y"].to_numpy(), found["held"].to_numpy().astype(bool)
-    if len(set(of.tolist())) < 2:
+    entries = F.udf(lambda at, v: Vectors.sparse(2 * DIM, at, v), VectorUDT())
+    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<double>")
+    found = written(found.select("held", F.col("y").cast("double").alias("label"), entries("at", "v").alias("features")), "quality-vectors")
+    counts = {(r["held"], r["label"]): r["count"] for r in found.groupBy("held", "label").count().collect()}
+    sides = [{y for (h, y) in counts if h == held} for held in (False, True)]
+    if len(sides[0] | sides[1]) < 2:
         return None
-    x, y = linear.by_rows(found, 2 * DIM), np.where(of == 1, 1, -1).astype(np.float32)
-    del found
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
-    share = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
-    w, b = linear.fit(x, y[:, None], weight=share * ~held)  # held rows weigh nothing
-    judged = held if held.any() else ~held
-    slope, offset = linear.fit((x @ w + b)[judged], y[judged, None], rounds=200, rate=0.05, l2=1e-3)
-    return QualityModel(w[:, 0], float(b[0]), max(float(slope[0, 0]), 1e-3), float(offset[0]))
+    apart = all(len(s) == 2 for s in sides)
+    fitted, judged = (found.where("NOT held"), found.where("held")) if apart else (found, found)
+    of = lambda y: sum(n for (h, c), n in counts.items() if c == y and not (apart and h))
+    weighted = fitted.withColumn("weight", F.when(F.col("label") == 1, 1 / of(1)).otherwise(1 / of(0)))
+    model = LogisticRegression(weightCol="weight", maxIter=ROUNDS, regParam=PENALTY, tol=TOLERANCE, standardization=False).fit(weighted)
+    margins = model.transform(judged).select("label", vector_to_array("rawPrediction")[1].alias("z")).toPandas()
+    y = np.where(margins["label"] == 1, 1, -1).astype(np.float32)
+    slope, offset = linear.fit(margins[["z"]].to_numpy(np.float32), y[:, None], rounds=200, rate=0.05, l2=1e-3)
+    discard(found)
+    return QualityModel(model.coefficients.toArray().astype(np.float32), float(model.intercept), max(float(slope[0, 0]), 1e-3), float(offset[0]))
 
 
 def assess(docs: DataFrame, model: QualityModel | None, keep: list[str], text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:

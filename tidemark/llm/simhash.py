@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_batches, written
+from .common import discard, few_of_many, text_batches, without, written
 from .exact_dedup import located
 
 SEED = 42
@@ -92,11 +92,17 @@ def midpoints(fp: Column, cell: Column) -> Column:
 
 
 def near_on_grid(distinct: DataFrame) -> DataFrame:
-    """fp, cell: the range join. Each fingerprint with the cells, at most one step from its counts, that another one reaches too."""
-    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row makes some fifty probes
+    """fp, cell, the range join: each fingerprint with the cells, at most one step from its counts, that another one reaches too.
+
+    Cells are counted first; then probes of the few that several reach are all that is shuffled."""
+    spark = distinct.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a row makes some fifty probes
     probes = distinct.repartition(spread, "fp").select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
-    shared = probes.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    return probes.join(shared.hint("merge"), "cell", "left_semi")
+    reached = written(probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
+    with few_of_many(spark):
+        met = written(probes.join(reached.where("n > 1").hint("merge"), "cell", "left_semi"), "simhash-met")
+    discard(reached)
+    return met
 
 
 def links(met: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def without_copies(rows: DataFrame, at: str, id_col: str, groups: DataFrame) ->
     grouped = written(placed.join(groups, "at").select("row", "root"), "grouped")
     least = grouped.groupBy("root").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     dropped = grouped.join(least, "root").where(F.col("row") != F.col("least")).select(F.col("row.at").alias(at))
-    return rows.join(dropped.hint("merge"), at, "left_anti")
+    return without(rows, at, dropped)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
