@@ -119,3 +119,12 @@ AFFIXES = (
 )
 
 ERRORS = (("no such table", "table"), ("no such column", "column"), ("syntax error", "syntax"), ("no results", "empty"))
+
+#: English words that say nothing of a subject, in the usual order of such lists. Fixed values.
+STOP_WORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+    they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having
+    do does did doing a an the and but if or because as until while of at by for with about against between into through during before
+    after above below to from up down in out on off over under again further then once here there when where why how all any both each
+    few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
+)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import words as W
 from ..functions.text import SPACE, collapse
 from ..sources.shared import written
 
@@ -117,28 +118,148 @@ def idf_of(tf: DataFrame, items: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
 
 
-def tfidf_link(questions: DataFrame, key: str, text: str, targets: DataFrame, name: str, target_text: str, top: int = 3, stop: Sequence[str] = ()) -> DataFrame:
-    """key, target, score, rank: the targets with the highest cosine to each question (those above zero).
+def target_weights(targets: DataFrame, name: str, text: str, stop: Sequence[str], idf: DataFrame | None = None) -> DataFrame:
+    """term, <name>, weight, idf of the terms of targets, each target's weights a vector of length one; idf is counted over targets unless given."""
+    tf = written(targets.select(name, F.explode(terms(F.col(text), stop)).alias("term")).groupBy(name, "term").agg(F.count(F.lit(1)).alias("tf")), "link-targets")
+    right = tf.join(idf_of(tf, targets) if idf is None else idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    lengths = right.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return written(right.join(lengths, name).select("term", name, (F.col("w") / F.col("length")).alias("weight"), "idf"), "link-weights")
+
 
-    Terms are counted once on either side. Targets with up to BROADCAST_ROWS terms in all are broadcast, so
-    a question's terms are dropped or weighted where they are read; sums for a question and a target are
-    added up before they are shuffled, however frequent a term is.
+class TermIndex:
+    """Inverted lists of weighted terms, with the most that each can add to a score.
+
+    A text's terms are taken by what they can add at most. As soon as the rest together can't lift a new target
+    among the best, they only complete the targets met so far; so the long list of a frequent term isn't read.
     """
-    tf = written(targets.select(name, F.explode(terms(F.col(target_text), stop)).alias("term")).groupBy(name, "term").agg(F.count(F.lit(1)).alias("tf")), "link-targets")
-    small = tf.count() <= BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    idf = idf_of(tf, targets)
-    right = tf.join(sized(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = right.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    right = written(right.join(lengths, name).select("term", name, (F.col("w") / F.col("length")).alias("weight"), "idf"), "link-weights")
-    known = right.select("term", "idf").distinct()
-    flat = questions.select(F.col(key).alias("_key"), F.explode(terms(F.col(text), stop)).alias("term")).join(sized(known), "term")
-    left = written(flat.groupBy("_key", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w")), "link-questions")
-    norms = left.groupBy("_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = left.join(sized(right.select("term", name, "weight")), "term").groupBy("_key", name).agg(F.sum(F.col("w") * F.col("weight")).alias("sum"))
-    score = sums.join(norms, "_key").select(F.col("_key").alias(key), F.col(name).alias("target"), F.round(F.col("sum") / F.col("norm"), 6).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "target")
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(key, "target", "score", "rank")
+
+    def __init__(self, rows):
+        self.lists: dict[str, dict] = {}
+        self.idf: dict[str, float] = {}
+        for term, name, weight, idf in rows:
+            self.lists.setdefault(term, {})[name] = weight
+            self.idf[term] = idf
+        self.most = {t: max(found.values()) for t, found in self.lists.items()}
+
+    def weighted(self, found: Sequence[str]) -> dict[str, float]:
+        """Weights of a text's known terms."""
+        out: dict[str, float] = {}
+        for t in found:
+            if t in self.idf:
+                out[t] = out.get(t, 0.0) + self.idf[t]
+        return out
+
+    def best(self, weights: dict[str, float], top: int) -> list[tuple[float, object]]:
+        """The top targets (ties, to six digits: by name) with their products with the weights, not divided by the text's length."""
+        order = sorted(weights, key=lambda t: -weights[t] * self.most.get(t, 0.0))
+        left = [0.0]
+        for t in reversed(order):
+            left.append(left[-1] + weights[t] * self.most.get(t, 0.0))
+        left.reverse()
+        sums: dict = {}
+        for i, t in enumerate(order):
+            w, found = weights[t], self.lists.get(t, {})
+            if len(sums) >= top and len(found) > len(sums) and left[i] < (1 - 1e-5) * sorted(sums.values(), reverse=True)[top - 1]:
+                for name in sums:
+                    if name in found:
+                        sums[name] += w * found[name]
+            else:
+                for name, weight in found.items():
+                    sums[name] = sums.get(name, 0.0) + w * weight
+        return [(s, n) for n, s in sums.items()]
+
+
+#: Weighted terms of an index that one broadcast holds; targets beyond are dealt out to as many indexes as it takes, each of which reads the texts.
+INDEX_ROWS = 200_000
+
+
+def dealt(weights: DataFrame, by: str) -> list[DataFrame]:
+    """weights in parts of about INDEX_ROWS rows, whole targets (or what by names) in each."""
+    parts = -(-weights.count() // INDEX_ROWS)
+    return [weights.where(F.pmod(F.xxhash64(by), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [weights]
+
+
+def tfidf_link(questions: DataFrame, key: str, text: str, targets: DataFrame, name: str, target_text: str, top: int = 3, stop: Sequence[str] = (), idf: DataFrame | None = None) -> DataFrame:
+    """key, target, score, rank: the targets with the highest cosine to each question (those above zero; ties by name).
+
+    Questions meet an inverted index of the targets where they are read, so their terms are neither exploded
+    nor shuffled, and no frequent term makes all pairs; an index holds INDEX_ROWS terms, about.
+    """
+    weights = target_weights(targets, name, target_text, stop, idf)
+    known = weights.select("term", "idf").distinct()
+    whole = weights.count() <= INDEX_ROWS
+    kinds = dict([*questions.dtypes, *[(f"target {c}", t) for c, t in targets.dtypes]])
+    asked = questions.select(F.col(key).alias("_key"), terms(F.col(text), stop).alias("_terms"))
+    if not whole:  # lengths need the terms of all indexes
+        spread = asked.select("_key", F.explode("_terms").alias("term")).join(known, "term").groupBy("_key", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+        norms = spread.groupBy("_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    found = None
+    for part in dealt(weights, name):
+        index = questions.sparkSession.sparkContext.broadcast([(r["term"], r[name], r["weight"], r["idf"]) for r in part.collect()])
+
+        def run(batches, index=index):
+            own = TermIndex(index.value)
+            for pdf in batches:
+                out = []
+                for k, found in zip(pdf["_key"], pdf["_terms"]):
+                    w = own.weighted(() if found is None else found)
+                    norm = sum(x * x for x in w.values()) ** 0.5
+                    scored = [(round(s / norm, 6) if whole else s, n) for s, n in own.best(w, top)]
+                    scored = sorted(scored, key=lambda x: (-x[0], x[1]))[:top] if whole else scored
+                    out += [(k, n, s) for s, n in scored]
+                yield pd.DataFrame(out, columns=["_key", "target", "score"])
+
+        one = asked.mapInPandas(run, f"_key {kinds[key]}, target {kinds['target ' + name]}, score double")
+        found = one if found is None else found.unionByName(one)
+    if not whole:
+        found = found.join(norms, "_key").select("_key", "target", F.round(F.col("score") / F.col("norm"), 6).alias("score"))
+    order = Window.partitionBy("_key").orderBy(F.desc("score"), "target")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(F.col("_key").alias(key), "target", "score", "rank")
+
+
+def link_schema(questions: DataFrame, key: str, text: str, schema: DataFrame, top: int = 3, stop: Sequence[str] = W.STOP_WORDS) -> DataFrame:
+    """key, table, table_score, table_rank, confidence, column, column_score, column_rank: each question's tables, and the columns of each.
+
+    schema has table, column. Terms are weighed over all distinct names (without case). A question has the top tables
+    and, in each, the top columns, those of score zero by name at the end; confidence is the mean score of a
+    table's columns here. Names alone have terms, so all is counted on the schema; questions are read twice.
+    """
+    names = schema.select(F.explode(F.array("table", "column")).alias("name")).where("name is not null").groupBy(F.lower("name").alias("_low")).agg(F.min("name").alias("name")).select("name")
+    tf = names.select(F.explode(terms(F.col("name"), stop)).alias("term"), "name").groupBy("name", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = written(idf_of(tf, names), "link-idf")
+    tables = schema.select("table").where("table is not null").distinct()
+    return _linked_columns(questions, key, text, schema, tables, idf, top, stop)
+
+
+def _linked_columns(questions: DataFrame, key: str, text: str, schema: DataFrame, tables: DataFrame, idf: DataFrame, top: int, stop: Sequence[str]) -> DataFrame:
+    asked = questions.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    scored = written(tfidf_terms(asked, idf, stop), "link-questions")  # of all words only those of names are left
+    weigh = lambda df, name: target_weights(df.select(name), name, name, stop, idf).select("term", name, "weight")
+    table_sums = scored.join(weigh(tables, "table"), "term").groupBy("_key", "table").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    columns = schema.where("table is not null and column is not null").distinct()
+    column_names = columns.select("column").distinct()
+    column_sums = scored.join(weigh(column_names, "column"), "term").groupBy("_key", "column").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    first = [F.lit(r["table"]) for r in tables.orderBy("table").limit(top).collect()]  # what score zero falls back on
+    keys = asked.select("_key").distinct()
+    some = table_sums.unionByName(keys.select("_key", F.explode(F.array(*first).cast("array<string>")).alias("table"), F.lit(0.0).alias("score")))
+    some = some.groupBy("_key", "table").agg(F.round(F.max("score"), 6).alias("table_score"))
+    best = Window.partitionBy("_key").orderBy(F.desc("table_score"), "table")
+    linked = some.withColumn("table_rank", F.row_number().over(best)).where(F.col("table_rank") <= top)
+    each = linked.join(columns, "table").join(column_sums.withColumnRenamed("score", "_s"), ["_key", "column"], "left")
+    each = each.withColumn("column_score", F.round(F.coalesce("_s", F.lit(0.0)), 6))
+    inside = Window.partitionBy("_key", "table").orderBy(F.desc("column_score"), "column")
+    ranked = each.withColumn("column_rank", F.row_number().over(inside)).where(F.col("column_rank") <= top)
+    ranked = ranked.withColumn("confidence", F.round(F.avg("column_score").over(Window.partitionBy("_key", "table")), 6))
+    return ranked.select(F.col("_key").alias(key), "table", "table_score", "table_rank", "confidence", "column", "column_score", "column_rank")
+
+
+def tfidf_terms(asked: DataFrame, idf: DataFrame, stop: Sequence[str]) -> DataFrame:
+    """_key, term, w: the weights of the known terms of asked (_key, _text), each text's a vector of length one."""
+    counted = asked.select("_key", F.explode(terms(F.col("_text"), stop)).alias("term")).join(idf, "term").groupBy("_key", "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    counted = written(counted, "link-terms")
+    norms = counted.groupBy("_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return counted.join(norms, "_key").select("_key", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def match_columns(tokens: DataFrame, token: str, columns: Sequence[str]) -> DataFrame:

@@ -62,8 +62,9 @@ def l5_lexicon_correct(t: Tables) -> DataFrame:
     return M.lexicon_correct(rows, "id", "text", W.LEXICON)
 
 
-def terms_sql(rows: str, key: str, text: str) -> str:
-    words = f"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND w <> '')"
+def terms_sql(rows: str, key: str, text: str, stop: bool = False) -> str:
+    left_out = f" AND w NOT IN ({', '.join(map(quoted, W.STOP_WORDS))})" if stop else ""
+    words = f"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND w <> ''{left_out})"
     return f"SELECT {key}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {key}, {words} AS w FROM {rows})"
 
 
@@ -80,6 +81,36 @@ def l6_tfidf_link(t: Tables) -> DataFrame:
     return linked.select("doc_id", F.col("score").alias("best"))
 
 
+SCHEMA = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate", "order item": "quantity|unit price|ship date|order key|customer name", "part type": "part name|brand|size|price",
+}
+SCHEMA_ROWS = [(t, c) for t, cs in SCHEMA.items() for c in (cs.split("|") if "|" in cs else cs.split())]
+ASKED = "concat(CASE turn % 5 WHEN 0 THEN 'what is the unit price and quantity of each order item?' WHEN 1 THEN 'Customer name, c_acctbal and order key by nation' WHEN 2 THEN 'the brand, the size, the price of a part type in orders' WHEN 3 THEN 'o_totalprice by o_orderdate for the customer' ELSE '' END, ' ', coalesce(text, ''))"
+
+
+def asked_sql(name: str, source: str) -> str:
+    """Unit vectors of the terms of a column of names that the schema knows."""
+    return f"""{name}t AS (SELECT name, term, count(*) * min(idf) AS w FROM ({terms_sql(source, 'name', 'name', stop=True)}) JOIN idf USING (term) GROUP BY ALL),
+{name}w AS (SELECT name, term, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM {name}t)"""
+
+
+@query(f"""WITH sc("table", col) AS (VALUES {', '.join(f"('{t}', '{c}')" for t, c in SCHEMA_ROWS)}), names AS (SELECT min(name) AS name FROM (SELECT "table" AS name FROM sc UNION ALL SELECT col FROM sc) GROUP BY lower(name)),
+nt AS (SELECT DISTINCT name, term FROM ({terms_sql('names', 'name', 'name', stop=True)})), idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM names)) / (1.0 + count(*))) + 1.0 AS idf FROM nt GROUP BY term),
+q AS (SELECT conv_id || '/' || turn AS name0, {ASKED} AS words FROM conversations), qq AS (SELECT name0 AS name, words FROM q),
+qt AS (SELECT name, term, count(*) * min(idf) AS w FROM ({terms_sql('qq', 'name', 'words', stop=True)}) JOIN idf USING (term) GROUP BY ALL), qw AS (SELECT name, term, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM qt),
+tn AS (SELECT DISTINCT "table" AS name FROM sc), cn AS (SELECT DISTINCT col AS name FROM sc), {asked_sql('t', 'tn')}, {asked_sql('c', 'cn')},
+ts AS (SELECT qq.name AS id, tn.name AS "table", round(coalesce(sum(qw.w * tw.w), 0), 6) AS table_score FROM qq, tn LEFT JOIN tw ON tw.name = tn.name LEFT JOIN qw ON qw.name = qq.name AND qw.term = tw.term GROUP BY ALL),
+tr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY table_score DESC, "table") AS table_rank FROM ts QUALIFY table_rank <= 3),
+cs AS (SELECT id, tr."table", table_score, table_rank, sc.col AS "column", round(coalesce(sum(qw.w * cw.w), 0), 6) AS column_score FROM tr JOIN sc ON sc."table" = tr."table" LEFT JOIN cw ON cw.name = sc.col LEFT JOIN qw ON qw.name = tr.id AND qw.term = cw.term GROUP BY ALL),
+cr AS (SELECT *, row_number() OVER (PARTITION BY id, "table" ORDER BY column_score DESC, "column") AS column_rank FROM cs QUALIFY column_rank <= 3)
+SELECT id, "table", table_score, table_rank, round(avg(column_score) OVER (PARTITION BY id, "table"), 6) AS confidence, "column", column_score, column_rank FROM cr""")
+def l6_link_schema(t: Tables) -> DataFrame:
+    """Tables, and columns of each, for a question before each turn's text."""
+    schema = t.spark.createDataFrame(SCHEMA_ROWS, "table string, column string")
+    return M.link_schema(t.conversations.select(F.concat("conv_id", F.lit("/"), "turn").alias("id"), F.expr(ASKED).alias("words")), "id", "words", schema)
+
+
 FIXTURE_COLUMNS = ["name", "brand", "type", "size", "retail_price", "order", "customers", "in", "es", "th", "the"]
 TOKEN_WORDS = "SELECT DISTINCT unnest(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), ' ')) AS token FROM conversations"
 
