@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import simhash
-from .common import discard, few_of_many, text_batches, written
+from .common import discard, few_of_many, text_batches, without, written
 from .exact_dedup import located
 from .simhash import SEED
 
@@ -171,10 +171,13 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: Texts, label: str) -> Dat
     fine, whole = full.select("set", "fine"), full.select("set", "all")
     close = pairs.join(side(fine, "a"), "set_a").join(side(fine, "b"), "set_b").where(even_enough(finely_differing(F.col("fine_a"), F.col("fine_b"))))
     close = written(close.select("set_a", "set_b"), f"{label}-close")
+    near = written(close.select(F.explode(F.array("set_a", "set_b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("pairs")), f"{label}-near")
+    with few_of_many(sets.sparkSession):  # whole sets travel for these only
+        whole = written(whole.join(near.where("pairs > 0").hint("merge"), "set").select("set", "all"), f"{label}-whole")
     both, either = F.size(F.array_intersect("all_a", "all_b")), F.size("all_a") + F.size("all_b")
     similar = close.join(side(whole, "a"), "set_a").join(side(whole, "b"), "set_b").where(both * (n + d) >= either * n)  # both / (either - both) >= n / d
     found = similar.select(F.greatest("set_a", "set_b").alias("a"), F.least("set_a", "set_b").alias("b")).checkpoint()
-    for done in (pairs, full, close):
+    for done in (pairs, full, close, near, whole):
         discard(done)
     return found
 
@@ -231,8 +234,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     rows, at = located(docs)
     prints = written(shingle_sets(rows, at, text_col, words), "near-prints")
-    one = F.min(F.struct("at", "fp", "size", "first", "parity")).alias("_s")
-    sets = written(prints.groupBy("set").agg(one).select("set", "_s.*"), "near-sets")
+    same = prints.groupBy("set").agg(F.min("at").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    others = prints.select("set", "at").join(same, "set").where("at <> one").select("at")  # their first shingles and parities needn't travel
+    sets = written(without(prints, "at", others), "near-sets")
     roots = simhash.rooted(near_links(sets, Texts(rows, at, text_col, words)), "set")
     discard(sets)
     groups = prints.select("at", "set").join(roots, "set", "left").select("at", F.coalesce("root", "set").alias("root"))

@@ -29,6 +29,8 @@ END = 0
 #: What a cut truncates, in tokens of padding: at a document's end, after a sentence, inside one.
 COST = (0, 2, 16)
 KINDS = ("document", "sentence", "inside")
+#: Characters of the texts whose pieces are looked up at once.
+GROUP_CHARS = 500_000
 #: What each sequence costs besides, so that short ones aren't taken for the sake of a power of two.
 EACH = 24
 #: Spare places stand so many ids apart in a stretch that no sentence or document ends.
