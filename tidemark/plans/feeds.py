@@ -35,6 +35,15 @@ def o3_latest_levels(t: Tables) -> DataFrame:
     return S.latest_levels(updates(t), ("retailer", "k"), "level", "ts", "event_id")
 
 
+@query(f"WITH {PARSED_SQL} SELECT retailer, k, arg_max(level, (ts, event_id)) AS level, max(ts) AS updated_at FROM parsed GROUP BY retailer, k")
+def o3_latest_levels_stream(t: Tables) -> DataFrame:
+    """The same as a stream in update mode, whose changes are put into a keyed table."""
+    states = S.latest_levels(updates(streamed(t, "events")), ("retailer", "k"), "level", "ts", "event_id")
+    table = S.levels_upsert(states, ("retailer", "k"), folder(t, "levels"))
+    states.writeStream.outputMode("update").option("checkpointLocation", folder(t, "progress")).trigger(availableNow=True).foreachBatch(table.upsert).start().awaitTermination()
+    return table.read()
+
+
 @query(f"WITH {PARSED_SQL}, l AS (SELECT *, lag(level) OVER (PARTITION BY retailer, k ORDER BY ts, event_id) AS before FROM parsed) SELECT retailer, k, ts, event_id, before, level AS after FROM l WHERE before <> level")
 def o4_transitions(t: Tables) -> DataFrame:
     return S.transitions(updates(t), ("retailer", "k"), "level", "ts", "event_id")
@@ -43,9 +52,21 @@ def o4_transitions(t: Tables) -> DataFrame:
 @query(f"WITH {PARSED_SQL}, l AS (SELECT *, lag(level) OVER (PARTITION BY retailer, k ORDER BY ts, event_id) AS before FROM parsed) SELECT retailer, k, ts, event_id, before, level AS after FROM l WHERE before <> level")
 def o4_transitions_stream(t: Tables) -> DataFrame:
     """The same as a stream over the events' files, run until they end; state is kept per retailer and product."""
-    events = Tables(t.spark, t.dir)
-    events["events"] = arriving(t, "events")
-    return ended(t, S.transitions_stream(updates(events), ("retailer", "k"), "level", "ts", "event_id"), "append")
+    found = updates(streamed(t, "events"))
+    return folded(t, found, S.transitions_fold(found, ("retailer", "k"), "level", "ts", "event_id", folder(t, "transitions")), "retailer bigint, k bigint, ts timestamp, event_id bigint, before string, after string")
+
+
+def streamed(t: Tables, name: str) -> Tables:
+    """The tables, of which one is a stream."""
+    other = Tables(t.spark, t.dir)
+    other[name] = arriving(t, name)
+    return other
+
+
+def folded(t: Tables, stream: DataFrame, fold: S.Fold, columns: str) -> DataFrame:
+    """All rows that a fold emits until a stream's files end."""
+    stream.writeStream.option("checkpointLocation", folder(t, "progress")).trigger(availableNow=True).foreachBatch(fold).start().awaitTermination()
+    return fold.emitted(columns)
 
 
 def arriving(t: Tables, name: str) -> DataFrame:
@@ -78,7 +99,7 @@ ACTION = "CASE event_type WHEN 'signup' THEN 'read_all' WHEN 'error' THEN 'read_
 
 
 def actions(t: Tables) -> DataFrame:
-    return t.events.select("user_id", F.expr(ACTION).alias("action"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), "ts", "event_id")
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", F.expr(ACTION).alias("action"), F.get_json_object("props", "$.k").cast("bigint").alias("item"), "ts", "event_id")
 
 
 UNREAD_SQL = f"""WITH a AS (SELECT user_id, {ACTION} AS action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, ts, event_id FROM events),
@@ -94,10 +115,9 @@ def o6_unread(t: Tables) -> DataFrame:
 
 @query(UNREAD_SQL)
 def o6_unread_stream(t: Tables) -> DataFrame:
-    """The same as a stream over the events' files; state is kept per user and item."""
-    events = Tables(t.spark, t.dir)
-    events["events"] = arriving(t, "events")
-    return S.unread_counts(ended(t, S.unread_states(actions(events), "user_id", "action", "item", "ts", "event_id"), "update"), "user_id", "item")
+    """The same as a stream over the events' files; actions may come 40 days late, and state is kept per user, item and ten days."""
+    states = S.unread_states_within(actions(streamed(t, "events")), "user_id", "action", "item", "ts", "event_id", late="40 days", span="10 days")
+    return S.unread_counts(ended(t, states, "update").drop("span"), "user_id", "item")
 
 
 CONTEXT_SQL = "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS topic_said, role AS topic_role, string_agg(CAST(turn AS VARCHAR), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -115,7 +135,10 @@ def said(conversations: DataFrame) -> DataFrame:
 @query(CONTEXT_SQL)
 def o7_session_context_stream(t: Tables) -> DataFrame:
     """The same as a stream over the conversations' files; state is the topic and the last turns of a session."""
-    return ended(t, S.context_stream(said(arriving(t, "conversations")), "conv_id", "turn", "said", "role"), "append")
+    turns = said(arriving(t, "conversations"))
+    types = dict(turns.dtypes)
+    fold = S.context_fold(turns, "conv_id", "turn", "said", "role", folder(t, "context"))
+    return folded(t, turns, fold, f"conv_id {types['conv_id']}, turn {types['turn']}, topic_said string, topic_role string, recent string")
 
 
 @query("""WITH s AS (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-30 12:00:00') AS s FROM events WHERE ts < TIMESTAMP '2024-01-30 12:00:00')

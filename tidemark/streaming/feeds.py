@@ -6,12 +6,10 @@ batch form that gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .keyed import Fold, KeyedTable
 
 UPDATE = "k bigint"
 
@@ -39,26 +37,33 @@ def transitions(updates: DataFrame, keys: tuple[str, ...], level: str, moment: s
     return updates.withColumn("before", before).where(F.col("before") != F.col(level)).select(*keys, moment, tie, "before", F.col(level).alias("after"))
 
 
-def transitions_stream(updates: DataFrame, keys: tuple[str, ...], level: str, moment: str, tie: str) -> DataFrame:
-    """transitions over a stream; state is the newest update per key, and an update older than it is skipped."""
+def transitions_fold(updates: DataFrame, keys: tuple[str, ...], level: str, moment: str, tie: str, folder: str, **more) -> Fold:
+    """transitions over a stream of updates, for foreachBatch; the state is the newest update per key, and an update older than it is skipped.
+
+    folder holds the state and what is emitted: keys, moment, tie, before, after. Updates of a key may come in any
+    order within a batch, and are sorted by Spark, however many there are.
+    """
     types = dict(updates.dtypes)
+    columns = ", ".join(f"`{c}` {types[c]}" for c in keys) + f", at {types[moment]}, number {types[tie]}, level {types[level]}"
+    state = KeyedTable(updates.sparkSession, f"{folder}/state", columns, keys)
+
+    def step(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = batch.select(*keys, F.col(moment).alias("at"), F.col(tie).alias("number"), F.col(level).alias("level")).withColumn("known", F.lit(False))
+        both = rows.unionByName(last.withColumn("known", F.lit(True)))
+        newest = F.max(F.when(F.col("known"), F.struct("at", "number"))).over(Window.partitionBy(*keys))
+        both = both.withColumn("newest", newest).where("known OR newest IS NULL OR struct(at, number) > newest")
+        before = F.lag("level").over(Window.partitionBy(*keys).orderBy("at", "number", F.desc("known")))
+        changes = both.withColumn("before", before).where("NOT known AND before <> level")
+        emitted = changes.select(*keys, F.col("at").alias(moment), F.col("number").alias(tie), "before", F.col("level").alias("after"))
+        left = both.groupBy(*keys).agg(F.max_by(F.struct("at", "number", "level"), F.struct("at", "number")).alias("_s")).select(*keys, "_s.*")
+        return emitted, left
+
+    return Fold(state, f"{folder}/out", step, **more)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values([moment, tie])
-        out = []
-        for at, n, now in zip(rows[moment], rows[tie], rows[level]):
-            if last is not None and (at, n) <= (last[0], last[1]):
-                continue
-            if last is not None and last[2] != now:
-                out.append((*key, at, n, last[2], now))
-            last = (at, n, now)
-        state.update(last)
-        yield pd.DataFrame(out, columns=[*keys, moment, tie, "before", "after"])
 
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, moment, tie)) + f", before {types[level]}, after {types[level]}"
-    kept = f"at {types[moment]}, n {types[tie]}, level {types[level]}"
-    return updates.select(*keys, moment, tie, level).groupBy(*keys).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+def levels_upsert(states: DataFrame, keys: tuple[str, ...], folder: str) -> KeyedTable:
+    """The table to which a stream of latest_levels in update mode puts its rows, by foreachBatch(table.upsert)."""
+    return KeyedTable(states.sparkSession, folder, ", ".join(f"`{c}` {t}" for c, t in states.dtypes), keys)
 
 
 def notification(payload: DataFrame, kind: Column, title: Column, body: Column) -> DataFrame:
@@ -78,6 +83,19 @@ def unread_states(actions: DataFrame, user: str, action: str, item: str, moment:
     return rows.groupBy(user, "every", item).agg(F.min("_came").alias("came"), F.max("_marked").alias("marked"))
 
 
+def unread_states_within(actions: DataFrame, user: str, action: str, item: str, moment: str, tie: str, late: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """unread_states of each span of time, for a stream whose state doesn't grow for ever.
+
+    An action that is delivered again within `late` of its moment is dropped, and one that comes later than
+    that after the newest isn't counted; the state of a span is given up once no action of it can count. What the
+    stream gives, of all spans, is put together by unread_counts.
+    """
+    fresh = actions.withWatermark(moment, late).dropDuplicatesWithinWatermark([user, action, item, tie])
+    when, what = F.struct(moment, tie), F.col(action)
+    rows = fresh.where(what.isin("incoming", "read_one", "read_all")).select(user, moment, (what == "read_all").alias("every"), F.when(what != "read_all", F.col(item)).alias(item), F.when(what == "incoming", when).alias("_came"), F.when(what != "incoming", when).alias("_marked"))
+    return rows.groupBy(F.window(moment, span).alias("span"), user, "every", item).agg(F.min("_came").alias("came"), F.max("_marked").alias("marked"))
+
+
 def unread_counts(states: DataFrame, user: str, item: str) -> DataFrame:
     """user, unread: items that came and weren't marked afterwards, from unread_states or all that its stream gave so far.
 
@@ -95,27 +113,30 @@ def unread(actions: DataFrame, user: str, action: str, item: str, moment: str, t
     return unread_counts(unread_states(actions, user, action, item, moment, tie), user, item)
 
 
-def context_stream(turns: DataFrame, session: str, turn: str, said: str, role: str, n: int = 5) -> DataFrame:
-    """session, turn, topic_said, topic_role, recent after each turn of a stream: the last value of said that isn't
-    null, the turn's own role, and the numbers of the last n turns. Turns of a session must come in order."""
+def context_fold(turns: DataFrame, session: str, turn: str, said: str, role: str, folder: str, n: int = 5, **more) -> Fold:
+    """session, turn, topic_said, topic_role, recent after each turn of a stream, for foreachBatch: the last value of said that isn't
+    null, the turn's own role, and the numbers of the last n turns. A session's turns may come in any order within a batch, but none before
+    those of an earlier batch. folder holds the state (topic and last turns of each session) and what is emitted."""
     types = dict(turns.dtypes)
+    state = KeyedTable(turns.sparkSession, f"{folder}/state", f"`{session}` {types[session]}, topic {types[said]}, turns array<{types[turn]}>", (session,))
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        topic, recent = state.get if state.exists else (None, [])
-        recent, out = list(recent), []
-        for at, words, who in pd.concat(list(frames)).sort_values(turn)[[turn, said, role]].itertuples(index=False):
-            topic = topic if words is None or words != words else words
-            recent = [*recent, at][-n:]
-            out.append((key[0], at, topic, who, ",".join(map(str, recent))))
-        state.update((topic, recent))
-        yield pd.DataFrame(out, columns=[session, turn, "topic_said", "topic_role", "recent"])
+    def step(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy(session).orderBy(turn)
+        rows = batch.select(session, turn, said, F.col(role).alias("topic_role")).join(last, session, "left")
+        topic = F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "topic")
+        own = F.collect_list(turn).over(w.rowsBetween(-(n - 1), Window.currentRow))
+        every = F.concat(F.coalesce("turns", F.array().cast(f"array<{types[turn]}>")), own)
+        rows = rows.withColumn("topic_said", topic).withColumn("every", every)
+        rows = rows.withColumn("every", F.slice("every", F.greatest(F.size("every") - (n - 1), F.lit(1)), F.lit(n)))
+        emitted = rows.select(session, turn, "topic_said", "topic_role", F.array_join(F.col("every").cast("array<string>"), ",").alias("recent"))
+        left = rows.groupBy(session).agg(F.max_by(F.struct(F.col("topic_said").alias("topic"), F.col("every").alias("turns")), turn).alias("_s")).select(session, "_s.*")
+        return emitted, left
 
-    schema = f"{session} {types[session]}, {turn} {types[turn]}, topic_said string, topic_role string, recent string"
-    return turns.select(session, turn, said, role).groupBy(session).applyInPandasWithState(step, schema, f"topic string, recent array<{types[turn]}>", "append", GroupStateTimeout.NoTimeout)
+    return Fold(state, f"{folder}/out", step, **more)
 
 
 def context(turns: DataFrame, session: str, turn: str, said: str, role: str, n: int = 5) -> DataFrame:
-    """context_stream over a table."""
+    """What context_fold emits, over a table."""
     w = Window.partitionBy(session).orderBy(turn)
     recent = F.array_join(F.collect_list(turn).over(w.rowsBetween(-(n - 1), Window.currentRow)).cast("array<string>"), ",")
     return turns.select(session, turn, F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("topic_said"), F.col(role).alias("topic_role"), recent.alias("recent"))
