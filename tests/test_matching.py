@@ -89,3 +89,13 @@ def test_containment_matches_plain_search(spark):
     items = [" ".join(r.choices("abc", k=r.randint(1, 14))) for _ in range(150)] + [t[3:-2] for t in texts if len(t) > 12]
     rows = M.contained_in(spark.createDataFrame(list(enumerate(items)), "item_id int, text string"), "item_id", "text", spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
     assert {r["item_id"]: r["contained"] for r in rows} == {i: any(x in t for t in texts) for i, x in enumerate(items)}
+
+
+def test_containment_of_odd_items_in_several_automata(spark, monkeypatch):
+    monkeypatch.setattr(M, "AUTOMATON_CHARS", 20)
+    items = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "bc d"), (5, "zz"), (6, "abc"), (7, "é\n日"), (8, "x" * 50)], "k int, t string")
+    docs = spark.createDataFrame([("xabc d",), (None,), ("é\n日本",), ("",)], "d string")
+    got = {r["k"]: r["contained"] for r in M.contained_in(items, "k", "t", docs, "d").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True, 8: False}
+    plan = M.contained_in(items, "k", "t", docs, "d")._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan

@@ -35,3 +35,22 @@ def test_splits_and_preview(spark, tmp_path):
     assert S.read_split(spark, str(tmp_path / "out"), "val").count() == 30
     shown, more = S.preview(df, 100)
     assert shown.count() == 100 and not more and S.preview(df, 99)[1]
+
+
+def test_merges_touch_their_own_source(spark, tmp_path):
+    base = [(i, f"s{i % 3}" if i % 4 else None) for i in range(40)]
+    table = S.SourceTable(spark, str(tmp_path / "t"))
+    table.load(spark.createDataFrame(base, "id long, source string"))
+    rows = lambda: sorted(((r["id"], r["source"]) for r in table.read().collect()), key=str)
+    files = lambda: {(f, f.stat().st_mtime_ns) for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    assert rows() == sorted(base, key=str)
+    before, new = files(), spark.createDataFrame([(100, 1.5), (101, 2.5)], "id long, extra double")
+    assert table.merge(new, "s1") and before < files()
+    after = files()
+    want = sorted([x for x in base if x[1] != "s1"] + [(100, "s1"), (101, "s1")], key=str)
+    assert rows() == want and "extra" in table.read().columns
+    assert not table.merge(new.orderBy("id", ascending=False), "s1") and files() == after  # the same rows again
+    table.load(spark.createDataFrame(base, "id long, source string").where("source = 's2'"))
+    assert files() == after and rows() == want
+    assert table.merge(new.where("false"), "s2") and rows() == [x for x in want if x[1] != "s2"]
+    assert table.merge(new, "s2") and {i for i, s in rows() if s == "s2"} == {100, 101}

@@ -278,36 +278,42 @@ def match_columns(tokens: DataFrame, token: str, columns: Sequence[str]) -> Data
     return best.select("token", F.col("_m.column").alias("column"), F.element_at(F.array(F.lit("exact"), F.lit("number"), F.lit("substring")), F.col("_m.kind")).alias("kind"))
 
 
-def contained_in(items: DataFrame, key: str, text: str, documents: DataFrame, doc_text: str, width: int = 8) -> DataFrame:
-    """key, contained: whether any document contains the item's text.
+#: Characters of the texts that one automaton finds, about; items beyond are dealt out to as many as it takes, each of which reads the documents.
+AUTOMATON_CHARS = 1_000_000
 
-    A document can only contain an item if it has the words from the item's second on, `width` of them or
-    as many as there are before its last, as a run; runs are matched by hash, and the texts of the documents
-    that match are then fetched and compared. Items of one or two words are compared with every document.
+
+def contained_in(items: DataFrame, key: str, text: str, documents: DataFrame, doc_text: str) -> DataFrame:
+    """key, contained: whether any document contains the item's text. An empty text is in every document, a null one in none.
+
+    An Aho-Corasick automaton of all the items' texts runs once over each document where it is read; documents are
+    neither joined nor shuffled. Memory is bounded by AUTOMATON_CHARS, or by one longer item.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, SPACE, " ")), " ")
-    run = lambda ws, i, n: F.xxhash64(F.array_join(F.slice(ws, i, n), " "))
-    named = items.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_w", words(F.col("_text"))).withColumn("_n", F.least(F.size("_w") - 2, F.lit(width)))
-    long = named.where(F.col("_n") > 0).select("_key", "_text", "_n", run(F.col("_w"), F.lit(2), F.col("_n")).alias("_run"))
-    short = named.where(F.col("_n") <= 0).select("_key", "_text")
-    few = named.count() <= BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    docs = documents.select(F.col(doc_text).alias("_doc")).where("_doc is not null")
-    sizes = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # width numbers at most
+    import ahocorasick
+
+    named = items.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    wanted = named.where("_text IS NOT NULL").select("_text").distinct()
+    parts = -(-(wanted.agg(F.sum(F.length("_text"))).first()[0] or 0) // AUTOMATON_CHARS) or 1
+    docs = documents.select(F.col(doc_text).alias("_doc")).where("_doc IS NOT NULL")
     found = None
-    if sizes:
-        ws = docs.select(F.xxhash64("_doc").alias("_place"), words(F.col("_doc")).alias("_w"))
-        runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: run(F.col("_w"), i, F.lit(n))))
-        each = F.array(*[F.struct(F.lit(n).alias("_n"), F.array_distinct(runs(n)).alias("_runs")) for n in sizes])
-        flat = ws.select("_place", F.explode(each).alias("_e")).select("_place", "_e._n", F.explode("_e._runs").alias("_run"))
-        met = flat.join(sized(long.select("_key", "_n", "_run")), ["_n", "_run"]).select("_place", "_key").distinct()
-        met = written(met, "contained-runs")
-        texts = docs.select(F.xxhash64("_doc").alias("_place"), "_doc").join(met, "_place").join(sized(long.select("_key", "_text")), "_key")
-        found = texts.where(F.contains("_doc", "_text")).select("_key")
-    if short.limit(1).count():
-        direct = docs.join(sized(short), F.contains("_doc", "_text")).select("_key")
-        found = direct if found is None else found.unionByName(direct)
-    if found is None:
-        return items.select(key, F.lit(False).alias("contained"))
+    for i in range(parts):
+        part = wanted.where(F.pmod(F.xxhash64("_text"), F.lit(parts)) == i) if parts > 1 else wanted
+        shared = items.sparkSession.sparkContext.broadcast([r["_text"] for r in part.collect()])
+
+        def run(batches, shared=shared):
+            automaton, seen = ahocorasick.Automaton(), set()
+            for t in shared.value:
+                if t:
+                    automaton.add_word(t, t)
+            automaton.make_automaton()
+            for pdf in batches:
+                for doc in pdf["_doc"]:
+                    met = {t for _, t in automaton.iter(doc)} if len(automaton) else set()
+                    met |= {t for t in shared.value if not t}
+                    if not met <= seen:
+                        yield pd.DataFrame({"_text": sorted(met - seen)})
+                        seen |= met
+
+        one = docs.mapInPandas(run, "_text string")
+        found = one if found is None else found.unionByName(one)
     found = found.distinct().withColumn("contained", F.lit(True))
-    return items.join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("contained", F.lit(False)).alias("contained"))
+    return named.join(found, "_text", "left").select(F.col("_key").alias(key), F.coalesce("contained", F.lit(False)).alias("contained"))

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import words as W
 from ..operators import corpus as C
 from ..operators import noise as N
+from ..operators.families import family_split
 from .base import EDGES, Tables, query
 from .text import CLEANED, QUERY, QUESTION, TOKENS, documents_tokens, intent_sql, quoted
 
@@ -209,3 +210,17 @@ def k12_leakage_safe_split(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null").select(parent.alias("parent"), C.split_of(F.col("doc_id")).alias("by_row")).withColumn("by_parent", C.split_of(F.col("parent")))
     s = d.groupBy("parent").agg((F.min("by_row") != F.max("by_row")).alias("r"), (F.min("by_parent") != F.max("by_parent")).alias("p"))
     return s.agg(F.count(F.lit(1)).alias("parents"), F.count(F.when(F.col("r"), 1)).alias("leaks_by_row"), F.count(F.when(F.col("p"), 1)).alias("leaks_by_parent"))
+
+
+FAMILY_SPLIT = bucket_sql("CAST(family AS VARCHAR)")
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, md5({CLEANED}) AS k1, md5(substr({CLEANED}, 1, 30)) AS k2 FROM documents WHERE text IS NOT NULL),
+e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM d a JOIN d b USING (k1) UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b USING (k2)),
+r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x), f AS (SELECT x AS doc_id, min(root) AS family FROM r GROUP BY x)
+SELECT doc_id, family, CASE WHEN {FAMILY_SPLIT} < 70 THEN 'train' WHEN {FAMILY_SPLIT} < 85 THEN 'val' ELSE 'test' END AS split FROM f""")
+def k12_family_split(t: Tables) -> DataFrame:
+    """A split for every text, the same for all that share their cleaned text or its beginning, directly or through others."""
+    clean = X.clean_question(F.col("text"))
+    rows = t.documents.where("text IS NOT NULL").select("doc_id", F.md5(clean).alias("whole"), F.md5(F.substring(clean, 1, 30)).alias("beginning"))
+    return family_split(rows, "doc_id", ["whole", "beginning"]).select("doc_id", "family", "split")

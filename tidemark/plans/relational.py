@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators.matching import contained_in
+from ..sources.files import SourceTable
+from ..sources.shared import scratch
 from ..operators.ranges import place
 from .base import EDGES, Tables, amount, mean_sql, query, total_sql
 
@@ -330,6 +332,18 @@ def h2_merge_source(t: Tables) -> DataFrame:
     return R.merge_source(once, incoming, "source", "src1")
 
 
+@query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src1' UNION ALL SELECT doc_id + 1000000, 'src1' FROM documents WHERE source = 'src2'")
+def h2_merge_by_partition(t: Tables) -> DataFrame:
+    """The same in a stored table, of which a merge writes its own source's partition only."""
+    table = SourceTable(t.spark, scratch(t.spark, "sources"))
+    base = t.documents.select("doc_id", "source")
+    table.load(base)
+    incoming = base.where("source = 'src2'").select((F.col("doc_id") + 1000000).alias("doc_id"))
+    for _ in range(2):
+        table.merge(incoming, "src1")
+    return table.read()
+
+
 @query("""SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE lower(trim(d.text)) = lower(trim(b.text))) AS in_corpus,
 EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS contained FROM benchmark b""")
 def h3_overlap(t: Tables) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -102,3 +105,69 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
 def preview(df: DataFrame, n: int = 1000) -> tuple[DataFrame, bool]:
     """The first n rows, and whether there are more, found by fetching n + 1."""
     return df.limit(n), df.limit(n + 1).count() > n
+
+
+@dataclass
+class SourceTable:
+    """A table whose rows are replaced source by source, in a folder that driver and executors share.
+
+    A manifest says for each source which write holds its rows; so a merge writes the rows of its own source and leaves all
+    other files as they are, and counts once its line of the manifest is written. There are few sources.
+    """
+
+    spark: SparkSession
+    path: str
+    source_col: str = "source"
+
+    def _newest(self) -> dict:
+        try:
+            lines = self.spark.read.schema("source string, number bigint, place string, digest string").parquet(f"{self.path}/manifest")
+        except AnalysisException:
+            return {}
+        return {r["source"]: r for r in lines.groupBy("source").agg(F.max_by(F.struct("number", "place", "digest"), "number").alias("l")).select("source", "l.*").collect()}
+
+    def _write(self, rows: DataFrame, digests: dict, known: dict) -> None:
+        place, number = uuid.uuid4().hex[:12], 1 + max([r["number"] for r in known.values()], default=-1)
+        rows.write.partitionBy(self.source_col).parquet(f"{self.path}/rows/{place}")
+        lines = [(s, number, place, d) for s, d in digests.items()]
+        self.spark.createDataFrame(lines, "source string, number bigint, place string, digest string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _digests(self, rows: DataFrame) -> dict:
+        """What the rows of each source are, however they are ordered."""
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+        found = rows.groupBy(F.col(self.source_col).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("t"))
+        return {r["s"]: f"{r['n']}/{r['x']}/{r['t']}" for r in found.collect()}
+
+    def load(self, rows: DataFrame) -> None:
+        """Puts rows in the place of those of all their sources."""
+        digests, known = self._digests(rows), self._newest()
+        changed = {s: d for s, d in digests.items() if s not in known or known[s]["digest"] != d}
+        if changed:
+            named = [s for s in changed if s is not None]
+            hit = F.col(self.source_col).isin(named) | (F.col(self.source_col).isNull() if None in changed else F.lit(False))
+            self._write(rows.where(hit), changed, known)
+
+    def merge(self, incoming: DataFrame, source: str) -> bool:
+        """Puts incoming in the place of the source's rows; merging the same rows again writes nothing, and gives False."""
+        rows, known = incoming.withColumn(self.source_col, F.lit(source)), self._newest()
+        digest = self._digests(rows).get(source, "none")
+        if source in known and known[source]["digest"] == digest:
+            return False
+        self._write(rows, {source: digest}, known)
+        return True
+
+    def read(self) -> DataFrame:
+        """The rows of all sources. Of each write only the sources that it still holds are read."""
+        by_place: dict[str, list] = {}
+        for source, line in self._newest().items():
+            if line["digest"] != "none":
+                by_place.setdefault(line["place"], []).append(source)
+        frames = []
+        for place, sources in sorted(by_place.items()):
+            c = F.col(self.source_col)
+            hit = c.isin([s for s in sources if s is not None]) | (c.isNull() if None in sources else F.lit(False))
+            with_text = self.spark.read.option("basePath", f"{self.path}/rows/{place}").parquet(f"{self.path}/rows/{place}").withColumn(self.source_col, c.cast("string"))
+            frames.append(with_text.where(hit))
+        if not frames:
+            raise ValueError("no source has rows")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
