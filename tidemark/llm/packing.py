@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for pdf in frames:
             keys, texts, found = pdf["id"].tolist(), pdf["text"].tolist(), []
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, GROUP_CHARS):
                 for key, ids in zip(keys[a:b], coder.encode(texts[a:b])):
                     found.extend(packer.add(key, np.append(ids, coder.dtype.type(END))))
             if found:
