@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .ranges import place
 SPECIALS = ("<pad>", "<sos>", "<eos>", "<unk>")
 PAD, SOS, EOS, UNKNOWN = range(4)
 #: Vocabularies of so many letters in all (and 16 for each token) are broadcast.
-BROADCAST_LETTERS = 32_000_000
+BROADCAST_LETTERS = 16_000_000
 
 
 def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, force: Sequence[str] = ()) -> DataFrame:
@@ -27,27 +29,48 @@ def build_vocab(tokens: DataFrame, column: str = "tokens", min_freq: int = 1, fo
     return fixed.join(counts, "token", "left").select("token", "idx", F.coalesce("freq", F.lit(0)).alias("freq")).unionByName(learnt)
 
 
-def sized(vocab: DataFrame) -> DataFrame:
-    """vocab, to be broadcast if it is small."""
+def small(vocab: DataFrame) -> bool:
     letters = vocab.agg(F.coalesce(F.sum(F.length("token") + 16), F.lit(0)).alias("n")).first()["n"]  # one number
-    return F.broadcast(vocab) if letters <= BROADCAST_LETTERS else vocab
+    return letters <= BROADCAST_LETTERS
+
+
+def looked_up(rows: DataFrame, key: str, column: str, name: str, known: DataFrame, default: object) -> DataFrame:
+    """key, name: each row's array with every entry replaced by what known (two columns, a small table) says, or by default; null arrays are empty."""
+    kind = known.dtypes[1][1]
+    table = known.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+    values = F.coalesce(F.col(column), F.array().cast(dict(rows.dtypes)[column]))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        names, meanings = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            found = pc.fill_null(meanings.take(pc.index_in(lists.flatten(), value_set=names)), default)
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, found)], names=[key, name])
+
+    return rows.select(F.col(key), values.alias(name)).mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, `{name}` array<{kind}>")
 
 
 def encode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "tokens", name: str = "ids") -> DataFrame:
     """key, ids: the array of ids of each row's tokens, unknown ones as <unk>; rows without tokens get an empty array.
 
-    A vocabulary of at most BROADCAST_LETTERS letters is broadcast, and tokens then stay where they are; of a
-    larger one, adaptive execution splits a frequent token's rows as a skewed join's.
+    A vocabulary of at most BROADCAST_LETTERS letters is broadcast, and arrays are encoded where they are read. With a
+    larger one tokens are joined and put together by key; adaptive execution splits a frequent token's rows.
     """
+    if small(vocab):
+        return looked_up(rows, key, column, name, vocab.select("token", "idx"), UNKNOWN)
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "token"))
-    ids = flat.join(sized(vocab.select("token", "idx")), "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
+    ids = flat.join(vocab.select("token", "idx"), "token", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN)).alias("idx")))).alias("_a"))
     return ids.select(key, F.transform(F.sort_array("_a"), lambda x: x["idx"]).alias(name))
 
 
 def decode(rows: DataFrame, vocab: DataFrame, key: str, column: str = "ids", name: str = "tokens") -> DataFrame:
     """key, tokens: encode's way back; ids that the vocabulary lacks become <unk>, rows without ids get an empty array."""
+    if small(vocab):
+        return looked_up(rows, key, column, name, vocab.select("idx", "token"), SPECIALS[UNKNOWN])
     flat = rows.select(key, F.posexplode_outer(column).alias("pos", "idx"))
-    back = flat.join(sized(vocab.select("token", "idx")), "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
+    back = flat.join(vocab.select("token", "idx"), "idx", "left").groupBy(key).agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(SPECIALS[UNKNOWN])).alias("token")))).alias("_a"))
     return back.select(key, F.transform(F.sort_array("_a"), lambda x: x["token"]).alias(name))
 
 
