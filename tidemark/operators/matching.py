@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,49 +42,173 @@ def partial_ratio(a: str, b: str) -> int:
     return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)) if a else 100
 
 
-def fuzzy_score(a: Column, b: Column) -> Column:
-    """The larger of the ratio and nine tenths of the partial ratio, in Arrow batches."""
+def edit_score(a: Column, b: Column) -> Column:
+    """100 (1 - edits / longer length), cut to an integer."""
+    return F.floor((F.greatest(F.length(a), F.length(b)) - F.levenshtein(a, b)) * 100 / F.greatest(F.length(a), F.length(b), F.lit(1))).cast("int")
 
-    @F.pandas_udf("int")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([max(ratio(i, j), int(partial_ratio(i, j) * 0.9)) for i, j in zip(x, y)], dtype="int32")
 
-    return of(a, b)
+def edits(a: str, b: str) -> int:
+    """Letters to insert, leave out or change to make one of the other, with one row of bits."""
+    if not a or not b:
+        return len(a) or len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, n = full, 0, len(a)
+    for c in b:
+        hit = places.get(c, 0)
+        level = (((hit & more) + more) ^ more) | hit | less
+        up, down = less | ~(level | more) & full, more & level
+        n += bool(up & last) - bool(down & last)
+        up = up << 1 | 1
+        more, less = (down << 1 | ~(level | up)) & full, up & level
+    return n
 
 
-def edit_score(a: Column, b: Column) -> Column:
-    """100 (1 - edits / longer length), cut to an integer."""
-    return F.floor((F.greatest(F.length(a), F.length(b)) - F.levenshtein(a, b)) * 100 / F.greatest(F.length(a), F.length(b), F.lit(1))).cast("int")
+@dataclass(frozen=True)
+class Score:
+    """A score of two values, and the most it can be, given how many letters they have in common at most, and the lengths of both."""
+
+    exact: Callable[[str, str], int]
+    most: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    #: Whether repeated letters of a value count once.
+    once: bool = False
+    #: A closer bound of two values, cheaper than the score.
+    closer: Callable[[str, str], int] | None = None
+
+
+def _most_ratio(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    short = np.maximum(np.minimum(a, b), 1)
+    return np.maximum(np.rint(200 * common / np.maximum(a + b, 1)), np.floor(np.rint(200 * np.minimum(common, short) / (2 * short)) * 0.9 + 1e-9))
+
+
+def _closer_ratio(a: str, b: str) -> int:
+    """No window has more of a subsequence in common than the whole value."""
+    found, short = common_length(a, b), min(len(a), len(b))
+    return max(round(200 * found / (len(a) + len(b))), int(round(200 * found / (2 * short)) * 0.9)) if short else 100
 
 
-def char_overlap(a: Column, b: Column) -> Column:
-    """100 x the Jaccard similarity of the sets of characters, cut to an integer."""
-    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    both, either = F.size(F.array_intersect(chars(a), chars(b))), F.size(F.array_union(chars(a), chars(b)))
-    return F.when(either > 0, F.floor(both * 100 / either)).otherwise(0).cast("int")
+def _overlap(a: str, b: str) -> int:
+    x, y = set(a), set(b)
+    return len(x & y) * 100 // len(x | y) if x or y else 0
 
 
-def boosted(score: Column, a: Column, b: Column) -> Column:
-    """At least 60 where the first letters (three at most) agree, at least 70 where one contains the other."""
-    least = F.least(F.length(a), F.length(b))
-    n = F.least(least, F.lit(3))
-    start = (least >= 2) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
-    return F.greatest(score, F.when(a.contains(b) | b.contains(a), 70).when(start, 60).otherwise(0))
+#: The larger of the ratio and nine tenths of the partial ratio; 100 (1 - edits / longer length); 100 x the Jaccard similarity of the sets of letters. All are cut to integers.
+FUZZY = Score(lambda a, b: max(ratio(a, b), int(partial_ratio(a, b) * 0.9)), _most_ratio, closer=_closer_ratio)
+EDITS = Score(lambda a, b: (max(len(a), len(b)) - edits(a, b)) * 100 // max(len(a), len(b), 1), lambda c, a, b: np.floor(100 * c / np.maximum(np.maximum(a, b), 1) + 1e-9))
+OVERLAP = Score(_overlap, lambda c, a, b: np.floor(100 * c / np.maximum(a + b - c, 1) + 1e-9), once=True)
+#: Classes of letters whose counts bound what two values have in common, values and typed values of a block, and typed values that are broadcast at once.
+CLASSES, BLOCK, TYPED_BLOCK, TYPED_ROWS = 32, 2000, 200, 20_000
 
 
-def did_you_mean(typed: DataFrame, values: DataFrame, score=fuzzy_score, least: int = 50, top: int = 3) -> DataFrame:
-    """typed, value, score, rank: up to `top` values for each typed one that is no value itself (without case).
+def started_alike(a: str, b: str) -> bool:
+    """Whether the first letters (three at most) agree, of two or more each."""
+    n = min(len(a), len(b))
+    return n >= 2 and a[: min(n, 3)] == b[: min(n, 3)]
 
-    Both frames have one column. Every distinct typed value is scored against every distinct value, at any
-    size; up to BROADCAST_ROWS / 10 values are broadcast.
+
+def boosted(score: int, a: str, b: str) -> int:
+    """At least 70 where one value contains the other, at least 60 where they start alike."""
+    return max(score, 70 if a in b or b in a else 60 if started_alike(a, b) else 0)
+
+
+def letter_counts(values: Sequence[str], once: bool) -> np.ndarray:
+    """How many letters of each value are in each class."""
+    out = np.zeros((len(values), CLASSES), np.uint8)
+    for i, v in enumerate(values):
+        for c in set(v) if once else v[:255]:
+            out[i, ord(c) % CLASSES] += 1
+    return out
+
+
+class Suggestions:
+    """The best values for typed ones, among the blocks of values that are shown one after another.
+
+    Of a block a typed value is compared with those values only whose letters leave them a place among its best so
+    far, the likeliest first. tried counts these values, and compared those that a closer bound leaves, whose score is computed.
+    """
+
+    def __init__(self, typed: Sequence[str], score: Score, least: int, top: int):
+        self.typed, self.score, self.least, self.top = typed, score, least, top
+        self.counts, self.sizes = letter_counts(typed, score.once), self._sizes(typed)
+        self.starts = [t[:3] for t in typed]
+        self.best: list[list[tuple[int, str]]] = [[] for _ in typed]  # (-score, value), the best first
+        self.tried = self.compared = 0
+
+    def _sizes(self, values: Sequence[str]) -> np.ndarray:
+        return np.array([len(set(v)) if self.score.once else len(v) for v in values], np.int64)
+
+    def show(self, values: Sequence[str], lower: Sequence[str]) -> None:
+        """values, and the same in lower case."""
+        counts, sizes = letter_counts(lower, self.score.once), self._sizes(lower)
+        long = np.array([len(v) > 255 for v in lower])  # their counts aren't whole
+        alike: dict[str, list[int]] = {}
+        for k, v in enumerate(lower):
+            for n in (2, 3):
+                alike.setdefault(v[:n], []).append(k)
+        letters = np.array([len(v) for v in lower], np.int64)
+        for i in range(0, len(self.typed), TYPED_BLOCK):
+            part = slice(i, i + TYPED_BLOCK)
+            common = np.minimum(self.counts[part, None, :], counts[None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = self.sizes[part, None], sizes[None, :]
+            bound = self.score.most(common, a, b)
+            bound = np.where((common >= np.minimum(a, b)) | long[None, :], 100, bound)  # one may contain the other
+            for k, t in enumerate(self.typed[part]):
+                self._meet(i + k, t, bound[k], values, lower, alike, letters)
+
+    def _meet(self, at: int, t: str, bound: np.ndarray, values, lower, alike, letters) -> None:
+        if len(t) > 255:
+            bound = np.full(len(bound), 100)
+        for start in {t[:2], t[:3]}:
+            near = alike.get(start, [])
+            bound[near] = np.maximum(bound[near], 60)
+        best = self.best[at]
+        floor = self.least if len(best) < self.top else max(self.least, -best[-1][0])
+        some = np.flatnonzero(bound >= floor)
+        for k in some[np.argsort(-bound[some], kind="stable")].tolist():
+            if len(best) >= self.top and bound[k] < -best[-1][0]:
+                break
+            self.tried += 1
+            if self.score.closer:
+                nearer, floor = boosted(self.score.closer(t, lower[k]), t, lower[k]), self.least if len(best) < self.top else -best[-1][0]
+                if nearer < max(floor, self.least):
+                    continue
+            self.compared += 1
+            found = boosted(self.score.exact(t, lower[k]), t, lower[k])
+            if found >= self.least:
+                insort(best, (-found, values[k]))
+                del best[self.top :]
+
+
+def did_you_mean(typed: DataFrame, values: DataFrame, score: Score = FUZZY, least: int = 50, top: int = 3) -> DataFrame:
+    """typed, value, score, rank: up to `top` values for each typed one that is no value itself (without case), ties by value.
+
+    Both frames have one column; nulls are left out. Values are read in blocks, each of which meets the typed values by bounds on
+    their letters (Suggestions); no pair becomes a row but the best of each task. TYPED_ROWS typed values are broadcast at once.
     """
-    t = typed.select(F.col(typed.columns[0]).alias("typed")).where("typed is not null").distinct().withColumn("a", F.lower("typed"))
-    v = values.select(F.col(values.columns[0]).alias("value")).where("value is not null").distinct().withColumn("b", F.lower("value"))
-    t = t.join(v.select(F.col("b").alias("a")), "a", "left_anti")
-    pairs = t.crossJoin(F.broadcast(v) if v.count() <= BROADCAST_ROWS // 10 else v)
-    scored = pairs.withColumn("score", boosted(score(F.col("a"), F.col("b")), F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    t = typed.select(F.col(typed.columns[0]).cast("string").alias("typed")).where("typed is not null").distinct().withColumn("a", F.lower("typed"))
+    v = values.select(F.col(values.columns[0]).cast("string").alias("value")).where("value is not null").distinct().withColumn("b", F.lower("value"))
+    v = written(v, "known-values")
+    t = written(t.join(v.select(F.col("b").alias("a")), "a", "left_anti").select("typed", "a"), "typed-values")
+    parts = -(-t.count() // TYPED_ROWS) or 1
+    found = None
+    for i in range(parts):
+        part = t.where(F.pmod(F.xxhash64("typed"), F.lit(parts)) == i) if parts > 1 else t
+        shared = typed.sparkSession.sparkContext.broadcast([(r["typed"], r["a"]) for r in part.collect()])
+
+        def run(batches, shared=shared):
+            met = Suggestions([a for _, a in shared.value], score, least, top)
+            for pdf in batches:
+                for i in range(0, len(pdf), BLOCK):
+                    met.show(pdf["value"].tolist()[i : i + BLOCK], pdf["b"].tolist()[i : i + BLOCK])
+            out = [(t, value, -s) for (t, _), best in zip(shared.value, met.best) for s, value in best]
+            yield pd.DataFrame(out, columns=["typed", "value", "score"])
+
+        one = v.mapInPandas(run, "typed string, value string, score int")
+        found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("typed").orderBy(F.desc("score"), "value")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("typed", "value", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("typed", "value", "score", "rank")
 
 
 def apply_corrections(df: DataFrame, column: str, corrections: DataFrame) -> DataFrame:

@@ -34,19 +34,19 @@ SELECT * FROM r WHERE rank <= 3"""
 
 @query(suggestions_sql(BOOST.replace(EDIT, "CAST(floor(jaccard(a, b) * 100 + 1e-9) AS INT)")))
 def l2_char_overlap(t: Tables) -> DataFrame:
-    return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.char_overlap)
+    return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.OVERLAP)
 
 
 @query(suggestions_sql(BOOST))
 def l3_did_you_mean_by_edits(t: Tables) -> DataFrame:
-    return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.edit_score)
+    return M.did_you_mean(typed(t), t.part.select("p_name"), score=M.EDITS)
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def l4_apply_corrections(t: Tables) -> DataFrame:
     """Every third segment is spelt without its second letter, then corrected by the best match."""
     dirty = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.expr("concat(substr(c_mktsegment, 1, 1), substr(c_mktsegment, 3))")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
-    found = M.did_you_mean(dirty.select("c_mktsegment"), t.customer.select("c_mktsegment"), score=M.edit_score, top=1)
+    found = M.did_you_mean(dirty.select("c_mktsegment"), t.customer.select("c_mktsegment"), score=M.EDITS, top=1)
     return M.apply_corrections(dirty, "c_mktsegment", found)
 
 
