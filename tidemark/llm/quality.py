@@ -110,8 +110,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame(out, columns=["held", "y", "at", "v"])
 
     entries = F.udf(lambda at, v: Vectors.sparse(2 * DIM, at, v), VectorUDT())
-    found = rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<double>")
-    found = written(found.select("held", F.col("y").cast("double").alias("label"), entries("at", "v").alias("features")), "quality-vectors")
+    # Written in between, so that no task has two kinds of Python workers at once.
+    arrays = written(rows.mapInPandas(vectors, "held boolean, y int, at array<int>, v array<double>"), "quality-entries")
+    found = written(arrays.select("held", F.col("y").cast("double").alias("label"), entries("at", "v").alias("features")), "quality-vectors")
+    discard(arrays)
     counts = {(r["held"], r["label"]): r["count"] for r in found.groupBy("held", "label").count().collect()}
     sides = [{y for (h, y) in counts if h == held} for held in (False, True)]
     if len(sides[0] | sides[1]) < 2:
