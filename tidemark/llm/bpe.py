@@ -247,7 +247,11 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", offsets_col: str =
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """<id_col>, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one task, so that ids needn't leave it."""
+    """<id_col>, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one task, so that ids needn't leave it.
+
+    Null and empty texts have no tokens; very long ones are encoded whole; repeated rows and null ids each get a row; an empty
+    table gives an empty result; other columns, whatever their names, aren't read.
+    """
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def of(text: pd.Series) -> pd.DataFrame:
