@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ END = 0
 #: What a cut truncates, in tokens of padding: at a document's end, after a sentence, inside one.
 COST = (0, 2, 16)
 KINDS = ("document", "sentence", "inside")
-#: Characters of the texts whose pieces are looked up at once.
-GROUP_CHARS = 500_000
+#: Characters of the texts whose pieces are looked up at once, and pieces that a worker remembers.
+GROUP_CHARS, PIECES = 500_000, 600_000
 #: What each sequence costs besides, so that short ones aren't taken for the sake of a power of two.
 EACH = 24
 #: Spare places stand so many ids apart in a stretch that no sentence or document ends.
@@ -42,7 +43,7 @@ SEGMENT = 1 << 17
 @lru_cache(maxsize=2)
 def sentence_ends(tokenizer: str) -> np.ndarray:
     """For each id, whether its token ends a sentence or a line."""
-    coder = encoder(tokenizer).tokenizer
+    coder = encoder(tokenizer, PIECES).tokenizer
     return np.array([coder.decode([i], skip_special_tokens=False).rstrip(" ").endswith((".", "!", "?", "\n", "…", "。")) for i in range(coder.get_vocab_size())], bool)
 
 
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ends_at"]
 
     def pieces(frames):
-        coder, base = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        coder, base = encoder(tokenizer, PIECES), TaskContext.get().partitionId() << 40
         packer = Packer(sentence_ends(tokenizer), capacity)
 
         def frame(found):
@@ -179,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         found = list(packer.cut(True))
         if found:
             yield frame(found)
+        pa.default_memory_pool().release_unused()
 
     packed = rows.mapInPandas(pieces, "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ends_at string")
     return packed.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .pieces import PieceTable, by_text, code_points
+from .pieces import LIMIT, PieceTable, by_text, code_points
 
 MARKS = ".,;:!?%$#&*|"
 GROUP = 2000
@@ -50,7 +50,7 @@ class Encoder:
     find_added: the file's added tokens are found in texts, as the library does unless it is told to spell them out.
     """
 
-    def __init__(self, path: str, find_added: bool = True):
+    def __init__(self, path: str, find_added: bool = True, limit: int = LIMIT):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,7 +67,7 @@ class Encoder:
         feed = self._ids(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
         self.alphabet[10] = f" {line_feed} "
-        self.table = PieceTable(self._learn, self.dtype)
+        self.table = PieceTable(self._learn, self.dtype, limit)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,7 +134,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file; one thread, as Spark runs several tasks."""
+def encoder(path: str, limit: int = LIMIT) -> Encoder:
+    """One encoder for each worker process and file, whose table holds up to so many pieces; one thread, as Spark runs several tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path)
+    return Encoder(path, limit=limit)
