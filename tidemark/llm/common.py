@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +106,26 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=1)
+def trim() -> Callable[[int], int]:
+    """The C library's malloc_trim; where it has none, nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns free memory to the system. A worker lives on after its task, and would else keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim()(0)
+
+
+def batch_by_batch(batches: Iterator, of: Callable) -> Iterator:
+    """of(batch) of each batch of a task; at the end, or where the task ends early, its memory is given back."""
+    try:
+        yield from map(of, batches)
+    finally:
+        give_back()
+
+
 def in_bytes(value: str) -> int:
     """A number as Spark writes it, with b, kb, mb or gb after it or not."""
     number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", value.strip().lower()).groups()

@@ -18,6 +18,8 @@ from .common import discard, few_of_many, fresh_name, normalised, scratch, setti
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Micro-batches in which a table is read, about.
 BATCHES = 3
+#: Megabytes of an executor, outside the heap, that RocksDB's caches and write buffers share, over all partitions; state beyond is on disk.
+STATE_MB = 64
 
 
 def sha256(text: Column) -> Column:
@@ -70,7 +72,7 @@ def first_seen(landing: DataFrame, path: str, files_per_batch: int | None = None
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     store = "spark__sql__streaming__stateStore__"
-    with setting(spark, **{f"{store}providerClass": ROCKSDB, f"{store}rocksdb__allowFAllocate": "false"}):
+    with setting(spark, **{f"{store}providerClass": ROCKSDB, f"{store}rocksdb__allowFAllocate": "false", f"{store}rocksdb__boundedMemoryUsage": "true", f"{store}rocksdb__maxMemoryUsageMB": str(STATE_MB)}):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", scratch(spark, "dedup-progress"))

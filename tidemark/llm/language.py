@@ -7,6 +7,7 @@ second-best codeword is nearly as good.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import fresh_name, text_batches
+from .common import batch_by_batch, fresh_name, text_batches
 
 DIM = 4096
 ORDERS = (1, 2, 3)
@@ -129,7 +130,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.predict(t)[2] for t in text], dtype="bool")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return batch_by_batch(texts, lambda text: pd.Series([not shared.value.predict(t)[2] for t in text], dtype="bool"))
 
     return text_batches(docs).where(known(F.col("text")))

@@ -16,6 +16,7 @@ of shingles is that of their hashes, except that those a sample of the documents
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import simhash
-from .common import discard, few_of_many, text_batches, without, written
+from .common import batch_by_batch, discard, few_of_many, text_batches, without, written
 from .exact_dedup import located
 from .simhash import SEED
 
@@ -89,8 +90,8 @@ def often_found(rows: DataFrame, at: str, text_col: str, words: int) -> np.ndarr
     """The shingles that many documents of a sample have, at most MOST."""
 
     @F.pandas_udf("array<long>")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in text])
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return batch_by_batch(texts, lambda text: pd.Series([shingles(t, words).view(np.int64) for t in text]))
 
     every = max(1, rows.count() // SAMPLE)
     sample = text_batches(rows.where(F.pmod(F.xxhash64(f"`{at}`"), F.lit(every)) == 0)).select(F.explode(of(F.col(f"`{text_col}`"))).alias("shingle"))
@@ -102,8 +103,7 @@ def shingle_sets(rows: DataFrame, at: str, text_col: str, words: int) -> DataFra
     """at, set (hash of the shingles, the same for equal sets), fp, size, first, parity of every row."""
     often = rows.sparkSession.sparkContext.broadcast(often_found(rows, at, text_col, words))  # bounded
 
-    @F.pandas_udf("set long, fp long, size int, first array<long>, parity array<long>")
-    def of(text: pd.Series) -> pd.DataFrame:
+    def one(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             s = shingles(t, words)
@@ -111,6 +111,10 @@ def shingle_sets(rows: DataFrame, at: str, text_col: str, words: int) -> DataFra
             out.append((name, simhash.majority(s), len(s), prefix(s, often.value).view(np.int64), parity(s)))
         return pd.DataFrame(out, columns=["set", "fp", "size", "first", "parity"])
 
+    @F.pandas_udf("set long, fp long, size int, first array<long>, parity array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return batch_by_batch(texts, one)
+
     return text_batches(rows).select(F.col(f"`{at}`").alias("at"), of(F.col(f"`{text_col}`")).alias("_s")).select("at", "_s.*")
 
 
@@ -148,11 +152,14 @@ class Texts:
         """set, all (its shingles), fine (their parity) for members: set, at, pairs (how many, one at least)."""
         words = self.words
 
-        @F.pandas_udf("struct<all:array<bigint>,fine:array<bigint>>")
-        def whole(text: pd.Series) -> pd.DataFrame:
+        def one(text: pd.Series) -> pd.DataFrame:
             found = [shingles(t, words) for t in text]
             return pd.DataFrame({"all": [s.view(np.int64) for s in found], "fine": [parity(s, fine_bits(len(s))) for s in found]})
 
+        @F.pandas_udf("struct<all:array<bigint>,fine:array<bigint>>")
+        def whole(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            return batch_by_batch(texts, one)
+
         place = F.col(f"`{self.at}`")
         with few_of_many(self.rows.sparkSession):
             spots = written(members.select(F.xxhash64("at").alias("spot"), "at", "set", "pairs"), "near-members")

@@ -16,12 +16,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import give_back, text_batches
 from .pieces import in_groups
 from .tokens import encoder
 
@@ -180,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         found = list(packer.cut(True))
         if found:
             yield frame(found)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     packed = rows.mapInPandas(pieces, "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ends_at string")
     return packed.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

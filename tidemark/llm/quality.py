@@ -4,6 +4,7 @@ character n-grams, trained on labelled rows by MLlib's L-BFGS and calibrated to
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import linear
-from .common import discard, fresh_name, text_batches, written
+from .common import batch_by_batch, discard, fresh_name, text_batches, written
 
 DIM = 8192
 ORDERS = (2, 3)
@@ -164,15 +165,15 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        def one(t):
-            data = (t or "").encode("utf-8", "surrogatepass")
-            words = data.split()
-            if statistics(data, len(t or ""), words)[-1]:
-                return False
-            return shared.value is None or shared.value.probability(t, words) >= keep_from
+    def one(t):
+        data = (t or "").encode("utf-8", "surrogatepass")
+        words = data.split()
+        if statistics(data, len(t or ""), words)[-1]:
+            return False
+        return shared.value is None or shared.value.probability(t, words) >= keep_from
 
-        return pd.Series([one(t) for t in text], dtype="bool")
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return batch_by_batch(texts, lambda text: pd.Series([one(t) for t in text], dtype="bool"))
 
     return text_batches(docs).where(good(F.col(f"`{text_col}`")))
