@@ -79,6 +79,31 @@ def test_shared_shingles_that_the_sample_cannot_see(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == plain_kept(docs) and 100 < len(plain_kept(docs)) < 290
 
 
+def test_a_group_is_linked_through_its_middle(spark, monkeypatch):
+    """Texts with two words changed, below the similarity to one another, all similar to each of a few with one word changed."""
+    pairs, plain = [], near_copies.verified
+
+    def counted(found, *rest):
+        found = written(found, "near-pairs")
+        pairs.append(found.count())
+        return plain(found, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(400):
+        w = list(base)
+        for at in r.sample(range(4, 146), 1 if i < 40 else 2):
+            w[at] = f"x{r.randrange(10**6)}"
+        docs.append(" ".join(w))
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = pipeline.near(spark, written(spark.createDataFrame(docs, "doc_id bigint, text string"), "near-middle"), compare.SF)
+    assert sorted(map(tuple, got.collect())) == plain_kept(docs) == docs[:1]
+    assert sum(pairs[1:]) < len(docs)  # what the first comparison leaves to the later ones
+
+
 def test_paths_named_twice(spark, tmp_path):
     path, text = str(tmp_path / "t"), " ".join(f"w{i}" for i in range(40))
     spark.createDataFrame([(0, text), (1, text + " end"), (2, "other words"), (3, None)], "doc_id bigint, text string").coalesce(1).write.parquet(path)

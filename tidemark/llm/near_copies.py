@@ -8,7 +8,9 @@ one order of all shingles: of n, the first n - ceil(SHARE n) + 1. Nothing is est
 SHARE or more is linked, directly or through others, and no other.
 
 Groups of copies don't make all their pairs. Of the sets that share a first shingle, each is compared with
-one of them, drawn for that shingle; then only sets of different components are compared, where sizes,
+two of them: one drawn for that shingle, and the one that has it at the earliest place, which is mostly the text
+nearest to what the group has in common. Sets that this leaves outside the largest component are compared with two
+of that in the same way. Then only sets of different components are compared, where sizes,
 places and the parity of the sets' hashed shingles leave it open whether they can reach SHARE. Whole
 shingle sets travel only for pairs that a parity as fine as their size leaves open too. The order
 of shingles is that of their hashes, except that those a sample of the documents finds often come last.
@@ -198,6 +200,35 @@ def grid_pairs(sets: DataFrame) -> DataFrame:
     return across.select("set_a", "set_b").unionByName(same)
 
 
+def chosen(rows: DataFrame, turn: int) -> DataFrame:
+    """shingle, ones: two of the sets that have a shingle, one drawn (anew in each turn) and one that has it at the earliest place."""
+    draw = F.xxhash64("set", F.pmod("shingle", F.lit(DRAWS)), F.lit(turn)).alias("draw")
+    both = rows.groupBy("shingle").agg(F.min(F.struct(draw, "set", "size", "place")).alias("drawn"), F.min(F.struct("place", draw, "set", "size")).alias("early"))
+    return both.select("shingle", F.array_distinct(F.array(*[F.struct(*[F.col(f"{one}.{c}").alias(c) for c in ("set", "size", "place")]) for one in ("drawn", "early")])).alias("ones"))
+
+
+def with_chosen(rows: DataFrame, ones: DataFrame) -> DataFrame:
+    """Pairs set_a, set_b of rows with the ones of their shingles, where sizes and places leave a similarity of SHARE."""
+    met = rows.join(ones, "shingle").select("set", "size", "place", F.explode("ones").alias("one")).where("set <> one.set")
+    met = met.select(*[F.col(c).alias(f"{c}_a") for c in ("set", "size", "place")], *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
+    return met.where(reachable(True)).select("set_a", "set_b")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
+
+
+def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """shingle, set, size, place, root, outside (of the bucket's largest component) where sets of several components, by the links found, share a shingle."""
+    roots = simhash.rooted(found, "set")
+    left = written(shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "near-left")
+    parts = left.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("members"))
+    mixed = parts.groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    out = written(left.join(mixed, "shingle").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "near-mixed")
+    discard(left)
+    return out
+
+
 def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     """Links a > b of distinct sets that join all sets of similarity SHARE or more, directly or through others."""
     spark = sets.sparkSession
@@ -205,27 +236,23 @@ def near_links(sets: DataFrame, texts: Texts) -> DataFrame:
     counts = written(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-counts")
     with few_of_many(spark):  # most shingles are of one set
         shared = written(heads.join(counts.where("n > 1").hint("merge"), "shingle"), "near-shared")
-    drawn = F.struct(F.xxhash64("set", F.pmod("shingle", F.lit(DRAWS))).alias("draw"), "set", "size", "place")
-    ones = shared.groupBy("shingle").agg(F.min(drawn).alias("one"))
-    to_one = shared.join(ones, "shingle").where("set <> one.set")
-    to_one = to_one.select(F.col("set").alias("set_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), *[F.col(f"one.{c}").alias(f"{c}_b") for c in ("set", "size", "place")])
-    first = to_one.where(reachable(True)).select("set_a", "set_b").unionByName(grid_pairs(sets))
-    ordered = first.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
-    found = verified(ordered, sets, texts, "near-first")
+    found = verified(ordered(with_chosen(shared, chosen(shared, 0)).unionByName(grid_pairs(sets))), sets, texts, "near-first")
 
     # What is left: members of one bucket that are in different components so far. At least one of such a pair is outside the
     # bucket's largest component, so members of that one, of which there may be many, aren't paired with one another.
-    roots = simhash.rooted(found, "set")
-    left = written(shared.where("n > 2").select("shingle", "set", "size", "place").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")), "near-left")
-    parts = left.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("members"))
-    mixed = parts.groupBy("shingle").agg(F.max_by("root", F.struct("members", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    left = written(left.join(mixed, "shingle").join(sets.select("set", "parity"), "set").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "near-mixed")
+    left = mixed_buckets(shared, found)
+    more = verified(ordered(with_chosen(left.where("outside"), chosen(left.where("NOT outside"), 1))), sets, texts, "near-second")
+    if not more.isEmpty():
+        discard(left)
+        found = found.unionByName(more).checkpoint()
+        left = mixed_buckets(shared, found)
+    # The rest of these pairs, all of them.
+    mixed, left = left, written(left.join(sets.select("set", "parity"), "set"), "near-apart")
     once = ~F.col("outside_b") | (F.col("set_a") > F.col("set_b"))
     apart = (F.col("root_a") != F.col("root_b")) & once & reachable(True) & even_enough()
     across = side(left.where("outside"), "a").join(side(left, "b"), "shingle").where(apart)
-    across = across.select(F.greatest("set_a", "set_b").alias("set_a"), F.least("set_a", "set_b").alias("set_b")).distinct()
-    every = found.unionByName(verified(across, sets, texts, "near-second"))
-    for done in (counts, shared, left):
+    every = found.unionByName(verified(ordered(across), sets, texts, "near-third"))
+    for done in (counts, shared, mixed, left):
         discard(done)
     return every
 
